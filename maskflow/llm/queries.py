@@ -21,7 +21,43 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.warc import read_records, write_bundles
+
+    return read_records(spark, write_bundles(_table(spark, sf_dir, "pages")))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("matched")
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.secrets import digested, scan
+
+    return digested(scan(_table(spark, sf_dir, "documents")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.decontaminate import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_bundles": op2_warc_bundles,
+    "op4_license_scans": op4_license_scans,
+    "op7_secret_scans": op7_secret_scans,
+    "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
 
