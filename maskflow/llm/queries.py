@@ -21,6 +21,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskflow.llm.warc import read_records, write_bundles
 
@@ -33,6 +39,12 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents")).drop("matched")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.encoding import encode
+
+    return encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_pieces.n_pieces", "_pieces.ids", "_pieces.round_trip")
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskflow.llm.secrets import digested, scan
 
@@ -54,8 +66,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_warc_bundles": op2_warc_bundles,
     "op4_license_scans": op4_license_scans,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_secret_scans": op7_secret_scans,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
