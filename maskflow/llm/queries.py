@@ -33,6 +33,12 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, write_bundles(_table(spark, sf_dir, "pages")))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.similarity import JaccardRule, similar
+
+    return similar(_table(spark, sf_dir, "documents"), JaccardRule(words=4, num=85, den=100))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskflow.llm.licenses import scan
 
@@ -68,6 +74,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_bundles": op2_warc_bundles,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_license_scans": op4_license_scans,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secret_scans": op7_secret_scans,
