@@ -45,6 +45,12 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents")).drop("matched")
 
 
+def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.repeats import repeats
+
+    return repeats(_table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskflow.llm.encoding import encode
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_bundles": op2_warc_bundles,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_license_scans": op4_license_scans,
+    "op5_repeat_removal": op5_repeat_removal,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secret_scans": op7_secret_scans,
     "op8_decontamination": op8_decontamination,
