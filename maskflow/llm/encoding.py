@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from maskflow.llm.arraystore import Shards, shard_bits
 from maskflow.llm.pieces import DEFAULT_MODEL, SPACE, SPACE_BYTES, Decoder, PieceTable, Viterbi, load, spread
-from maskflow.llm.shared import scratch
+from maskflow.llm.shared import scratch, stored
 from maskflow.llm.textbytes import SLICE, as_bytes, groups, prefix_hash, span_hash
 
 NEWLINE = ord("\n")
@@ -41,15 +41,23 @@ def distinct_words(docs: DataFrame, longest: int) -> DataFrame:
     )
 
 
+#: Distinct words in a task's lattice; the number of tasks follows from it.
+WORDS_PER_TASK = 30_000
+
+
 def _piece_frame(spark, table: PieceTable) -> DataFrame:
     import pandas as pd
 
-    rows = pd.DataFrame(table.pieces, columns=["piece", "score", "id"])
-    return spark.createDataFrame(rows, "piece string, score double, id int")
+    rows = pd.DataFrame(table.pieces, columns=["p_piece", "score", "id"])
+    return spark.createDataFrame(rows, "p_piece string, score double, id int").withColumn("p_key", F.xxhash64("p_piece"))
 
 
 def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, edges): every edge of a word's lattice as (end, start, score, ids)."""
+    """(word, n, edges): every edge of a word's lattice as (end, start, score, id).
+
+    The join is on a hash of the substring and on the substring itself, so that its
+    key is a number.  A character that is no piece has the id -1 - code point.
+    """
     pieces = F.broadcast(_piece_frame(words.sparkSession, table))  # a vocabulary: its size doesn't follow the data
     starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     substrings = starts.select(
@@ -57,57 +65,56 @@ def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
         "start",
         F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1))).alias("len"),
     ).withColumn("piece", F.substring("word", F.col("start"), F.col("len")))
-    edges = substrings.join(pieces, "piece", "left").filter(F.col("id").isNotNull() | (F.col("len") == 1))
-    fallback = F.transform(
-        F.regexp_extract_all(F.hex(F.encode("piece", "utf-8")), F.lit(".."), F.lit(0)),
-        lambda x: F.conv(x, 16, 10).cast("int") + table.bytes_from,
+    keyed = substrings.withColumn("key", F.xxhash64("piece"))
+    edges = keyed.join(pieces, (F.col("key") == F.col("p_key")) & (F.col("piece") == F.col("p_piece")), "left").filter(
+        F.col("id").isNotNull() | (F.col("len") == 1)
     )
-    return edges.groupBy("word").agg(
-        F.collect_list(
-            F.struct(
-                (F.col("start") + F.col("len") - 1).alias("end"),
-                (F.col("start") - 1).alias("start"),
-                F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
-                F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"),
-            )
-        ).alias("edges")
+    edge = F.struct(
+        (F.col("start") + F.col("len") - 1).alias("end"),
+        (F.col("start") - 1).alias("start"),
+        F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
+        F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
     )
+    return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def best_cuts(lattices: DataFrame) -> DataFrame:
-    """(word, ids): the best cut, folded over the ends of the lattice."""
-    n = F.array_max(F.transform("edges", lambda e: e["end"]))
-    df = lattices.select("word", n.alias("n"), F.array_sort("edges").alias("edges"))
-    ends = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.filter("edges", lambda e: e["end"] == k))
-    df = df.select("word", "n", ends.alias("ends"))
-    step = "struct<score:double,before:int,ids:array<int>>"
-
-    def grow(acc: Column, hits: Column) -> Column:
-        # of equal scores the earliest start: the largest -start
-        best = F.array_max(
-            F.transform(
-                hits,
-                lambda e: F.struct((F.get(acc, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("before"), e["ids"].alias("ids")),
-            )
-        )
-        return F.array_append(acc, F.struct(best["score"].alias("score"), (-best["before"]).alias("before"), best["ids"].alias("ids")))
+    """(word, ids): the best cut.
+
+    The fold carries the best edge into every place before the current end, and
+    the best so far into that end; edges come by end, then start, and a later one
+    must be strictly better.
+    """
+    into = "struct<score:double,start:int,id:int>"
+    begin = F.struct(
+        F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(into)).alias("done"),
+        F.lit(1).alias("end"),
+        F.struct(F.lit(float("-inf")).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(into).alias("top"),
+    )
 
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("before"), F.array().cast("array<int>").alias("ids"))).cast(f"array<{step}>")
-    df = df.select("word", "n", F.aggregate("ends", begin, lambda acc, hits: grow(acc, hits).cast(f"array<{step}>")).alias("path"))
+    def grow(acc: Column, e: Column) -> Column:
+        same = acc["end"] == e["end"]
+        done = F.when(same, acc["done"]).otherwise(F.array_append(acc["done"], acc["top"]))
+        before = F.when(e["start"] == acc["end"], acc["top"]["score"]).otherwise(F.get(acc["done"], e["start"])["score"])
+        score = before + e["score"]
+        own = F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id"))
+        top = F.when(same & (score <= acc["top"]["score"]), acc["top"]).otherwise(own)
+        return F.struct(done.alias("done"), e["end"].alias("end"), top.alias("top"))
+
+    folded = lattices.select("word", F.aggregate("edges", begin, grow).alias("path"))
+    paths = folded.select("word", F.array_append("path.done", F.col("path.top")).alias("path"))
+    n = F.size("path") - 1
     back = F.aggregate(
-        F.sequence(F.lit(1), F.col("n")),
-        F.struct(F.col("n").alias("at"), F.array().cast("array<int>").alias("ids")),
+        F.sequence(F.lit(1), n),
+        F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids")),
         lambda acc, _: F.when(acc["at"] <= 0, acc).otherwise(
-            F.struct(
-                F.get("path", acc["at"])["before"].alias("at"),
-                F.concat(F.get("path", acc["at"])["ids"], acc["ids"]).alias("ids"),
-            )
+            F.struct(F.get("path", acc["at"])["start"].alias("at"), F.array_append(acc["ids"], F.get("path", acc["at"])["id"]).alias("ids"))
         ),
     )
-    return df.select("word", back["ids"].alias("ids"))
+    return paths.select("word", F.reverse(back["ids"]).alias("ids"))
 
 
-def store_lexicon(cuts: DataFrame, uri: str, bits: int) -> Shards:
+def store_lexicon(cuts: DataFrame, uri: str, bits: int, bytes_from: int) -> Shards:
     """Write (word, ids) as arrays sorted by word hash; shard by shard, in tasks."""
     shards = Shards(uri, bits, ("offset", "count"))
 
@@ -115,12 +122,18 @@ def store_lexicon(cuts: DataFrame, uri: str, bits: int) -> Shards:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        def plain(ids):
+            return ids if min(ids) >= 0 else [i for k in ids for i in ([k] if k >= 0 else [bytes_from + x for x in chr(-1 - k).encode()])]
+
         for batch in batches:
             raw = [w.replace(SPACE_BYTES, b" ") for w in as_bytes(batch.column(0))]
             ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
             hashes = span_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+            ids = batch.column(1)
+            if ids.flatten().to_numpy().min(initial=0) < 0:
+                ids = pa.array([plain(x) for x in ids.to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards.shard_of(hashes).astype(np.int32)), pa.array(hashes.view(np.int64)), pc.cast(batch.column(1), pa.list_(pa.int32()))], names=["shard", "hash", "ids"]
+                [pa.array(shards.shard_of(hashes).astype(np.int32)), pa.array(hashes.view(np.int64)), pc.cast(ids, pa.list_(pa.int32()))], names=["shard", "hash", "ids"]
             )
 
     def write(key, table):
@@ -220,7 +233,9 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, longest: int = 64) -> Da
     spark = docs.sparkSession
     table = load(model)
     bits = shard_bits(docs.rdd.getNumPartitions())
-    shards = store_lexicon(best_cuts(lattice(distinct_words(docs, longest), table)), scratch(spark, "lexicon"), bits)
+    words = stored(distinct_words(docs, longest).select("word"), "words")
+    dealt = words.repartition(words.count() // WORDS_PER_TASK + 1, "word")
+    shards = store_lexicon(best_cuts(lattice(dealt, table)), scratch(spark, "lexicon"), bits, table.bytes_from)
     return encode_with(docs, table, shards.store.uri, bits)
 
 
