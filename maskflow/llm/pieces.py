@@ -85,21 +85,34 @@ class Viterbi:
 
     def count(self, word: str) -> tuple[int, float]:
         """(number of pieces, best score); no cut is kept."""
-        unknown = self.table.unknown_score
+        unknown, lowest = self.table.unknown_score, float("-inf")
         best, counts = [0.0], [0]
-        for e, hits in enumerate(self._ends(word)):
-            top, n = float("-inf"), 0
-            for length, score, _ in hits:
-                at = e + 1 - length
-                s = best[at] + score
-                if s > top:
-                    top, n = s, counts[at] + 1
-            if not hits or hits[-1][0] != 1:
-                s = best[e] + unknown
+        at, top, n, length_before = 0, lowest, 0, 0
+        # the automaton gives the pieces by their ends, the longest of an end first
+        for end, (length, score, _) in self.automaton.iter(word):
+            while at < end:
+                if length_before != 1:
+                    s = best[at] + unknown
+                    if s > top:
+                        top, n = s, counts[at] + len(word[at].encode())
+                best.append(top)
+                counts.append(n)
+                at += 1
+                top, n, length_before = lowest, 0, 0
+            start = end + 1 - length
+            s = best[start] + score
+            if s > top:
+                top, n = s, counts[start] + 1
+            length_before = length
+        while at < len(word):
+            if length_before != 1:
+                s = best[at] + unknown
                 if s > top:
-                    top, n = s, counts[e] + len(word[e].encode())
+                    top, n = s, counts[at] + len(word[at].encode())
             best.append(top)
             counts.append(n)
+            at += 1
+            top, n, length_before = lowest, 0, 0
         return counts[-1], best[-1]
 
     def encode(self, word: str) -> list[int]:

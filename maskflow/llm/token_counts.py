@@ -2,7 +2,8 @@
 
 For each word an Aho-Corasick automaton lists the vocabulary's pieces and dynamic
 programming carries the best score and the number of pieces; no cut is kept.
-Words recur, so each worker remembers the counts of the last ``memory`` words.
+Words recur, so each worker remembers the counts of the last words: when ``memory``
+new ones have come, those not seen since the time before are forgotten.
 
 Defined results: null and empty texts have no tokens; a space mark in a text
 counts as a space; repeated rows each get their own row; an empty table gives an
@@ -27,22 +28,23 @@ def words(text: str) -> list[str]:
 
 class Counter:
     def __init__(self, table: PieceTable, memory: int):
-        self.viterbi, self.memory, self.known = Viterbi(table), memory, {}
+        self.viterbi, self.memory, self.known, self.older = Viterbi(table), memory, {}, {}
 
     def __call__(self, text: str | None) -> tuple[int, float]:
-        known, tokens, score = self.known, 0, 0.0
+        known, older, tokens, score = self.known, self.older, 0, 0.0
         for w in words(text or ""):
             got = known.get(w)
             if got is None:
                 if len(known) >= self.memory:
-                    known.clear()
-                got = known[w] = self.viterbi.count(w)
+                    older = self.older = known
+                    known = self.known = {}
+                got = known[w] = older.get(w) or self.viterbi.count(w)
             tokens += got[0]
             score += got[1]
         return tokens, score
 
 
-def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, memory: int = 150_000) -> DataFrame:
+def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, memory: int = 300_000) -> DataFrame:
     """doc_id, n_chars (code points), n_tokens, score (of the best cut)."""
     table = docs.sparkSession.sparkContext.broadcast(load(model))  # a vocabulary: its size doesn't follow the data
     out = T.StructType(
