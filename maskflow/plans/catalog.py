@@ -4,8 +4,280 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskflow.functions.spans import finditer
+from maskflow.operators import incremental, names, pseudonyms, scaling
+from maskflow.operators import mapping as M
+from maskflow.operators.dictionary import find_keywords, parse_keywords
+from maskflow.operators.resolve import detect_each, exploded
+from maskflow.operators.rules import RULES, passes_china_id, passes_luhn, raw_matches
+from maskflow.plans import oracle
+from maskflow.plans.oracle import KEYWORDS, KEYWORD_LINES, RESPONSES
+from maskflow.sources import files, html
 
 FLAGSHIP = "sanitized_emails"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
+EPOCH = "2000-01-01 00:00:00"
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", "source", "text")
+
+
+def built(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): one text with every kind of identifier for each customer."""
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(oracle.BUILT_SPARK).alias("text"))
+
+
+def _rule_query(k: int) -> Query:
+    rule = RULES[k]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        source = _documents(spark, d) if rule.name in oracle.NATURAL else built(spark, d)
+        found = source.select("doc_id", raw_matches(F.col("text"), rule).alias("spans"))
+        return exploded(found, "doc_id").select("doc_id", "s", "e", "original")
+
+    return run
+
+
+for _k, _rule in enumerate(RULES):
+    QUERIES[f"spans_{_rule.name}"] = _rule_query(_k)
+
+
+@query
+def spans_resolved(spark, d):
+    return exploded(detect_each(_documents(spark, d)), "doc_id").select("doc_id", "s", "e", "entity_type", "original")
+
+
+@query
+def spans_resolved_built(spark, d):
+    return exploded(detect_each(built(spark, d)), "doc_id").select("doc_id", "s", "e", "entity_type", "original")
+
+
+@query
+def luhn_check(spark, d):
+    x = F.concat(F.lit("4"), F.lpad(F.col("o_orderkey").cast("string"), 15, "0"))
+    return _table(spark, d, "orders").select("o_orderkey", x.alias("number"), passes_luhn(x).alias("ok"))
+
+
+@query
+def china_id_check(spark, d):
+    k = F.col("o_orderkey")
+    x = F.concat(F.lit("11010519900101"), F.lpad((k % 1000).cast("string"), 3, "0"), F.when(k % 11 == 10, F.lit("X")).otherwise((k % 11).cast("string")))
+    return _table(spark, d, "orders").select("o_orderkey", x.alias("number"), passes_china_id(x).alias("ok"))
+
+
+@query
+def entity_counts_by_type(spark, d):
+    return exploded(detect_each(_documents(spark, d)), "doc_id").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def entity_counts_by_source(spark, d):
+    return exploded(detect_each(_documents(spark, d)), "source").groupBy("source", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def dictionary_matches(spark, d):
+    found = _documents(spark, d).select("doc_id", find_keywords(F.col("text"), KEYWORDS).alias("spans"))
+    return exploded(found, "doc_id").select("doc_id", "s", "e", "entity_type", "original")
+
+
+@query
+def cross_layer_resolution(spark, d):
+    return exploded(detect_each(_documents(spark, d), KEYWORDS), "doc_id").select("doc_id", "s", "e", "layer", "entity_type", "original")
+
+
+@query
+def keyword_file_parse(spark, d):
+    lines = spark.createDataFrame(list(enumerate(KEYWORD_LINES)), "ord int, value string")
+    return parse_keywords(lines)
+
+
+def _numbered_query(name: str, table: str, column: str, key: str, kind: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        seen = _table(spark, d, table).groupBy(F.col(column).alias("original")).agg(F.min(key).alias("seen"))
+        placed = M.numbered(seen.withColumn("entity_type", F.lit(kind)))
+        return placed.select("original", pseudonyms.labelled(F.lit(kind), F.col("number").cast("bigint")).alias("replacement"))
+
+    QUERIES[name] = run
+
+
+for _args in oracle.NUMBERED:
+    _numbered_query(*_args)
+
+
+def _email_spans(spark: SparkSession, d: str) -> DataFrame:
+    rule = next(r for r in RULES if r.name == "email")
+    return _documents(spark, d).withColumn("spans", finditer(F.col("text"), rule.pattern, 1, 0, "email"))
+
+
+def _mapping_of(detected: DataFrame, order: list[str]) -> DataFrame:
+    seen = M.first_seen(exploded(detected, *order), order)
+    return M.upsert(seen, M.empty_mapping(detected.sparkSession), created_at=EPOCH)
+
+
+@query
+def map_email(spark, d):
+    return _mapping_of(_email_spans(spark, d), ["doc_id"]).select("original", "replacement")
+
+
+@query
+def sanitized_emails(spark, d):
+    detected = _email_spans(spark, d)
+    return M.rewrite(detected, _mapping_of(detected, ["doc_id"]), ["doc_id"]).select("doc_id", "sanitized")
+
+
+@query
+def sanitized_documents(spark, d):
+    detected = detect_each(_documents(spark, d), KEYWORDS)
+    return M.rewrite(detected, _mapping_of(detected, ["doc_id"]), ["doc_id"]).select("doc_id", "sanitized")
+
+
+def _formed_query(kind: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        x = F.expr(oracle.ORIGINALS_SPARK[kind])
+        return _table(spark, d, "customer").select("c_custkey", x.alias("original"), pseudonyms.formed(F.lit(kind), x).alias("replacement"))
+
+    QUERIES[f"mask_{kind}"] = run
+
+
+for _kind in pseudonyms.FORMED:
+    _formed_query(_kind)
+
+
+@query
+def mapping_upsert(spark, d):
+    first = _table(spark, d, "customer").filter("c_custkey % 2 = 0").groupBy(F.col("c_name").alias("original")).agg(F.min("c_custkey").alias("seen"))
+    second = _table(spark, d, "customer").groupBy(F.col("c_name").alias("original")).agg(F.min("c_custkey").alias("seen"))
+    kind, nowhere = F.lit("company").alias("entity_type"), F.lit(None).cast("string").alias("first_seen_file")
+    before = M.upsert(first.select("original", kind, "seen", nowhere), M.empty_mapping(spark), created_at=EPOCH)
+    return M.upsert(second.select("original", kind, "seen", nowhere), before, created_at=EPOCH).select("original", "entity_type", "replacement")
+
+
+def _customer_mapping(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("c_name", "company"), ("c_mktsegment", "bank_name")]
+    seen = None
+    for column, kind in rows:
+        one = _table(spark, d, "customer").groupBy(F.col(column).alias("original")).agg(F.min("c_custkey").alias("seen"))
+        one = one.select("original", F.lit(kind).alias("entity_type"), "seen", F.lit(None).cast("string").alias("first_seen_file"))
+        seen = one if seen is None else seen.unionByName(one)
+    return M.upsert(seen, M.empty_mapping(spark), created_at=EPOCH)
+
+
+@query
+def mapping_statistics(spark, d):
+    return M.statistics(_customer_mapping(spark, d))
+
+
+@query
+def mapping_report(spark, d):
+    return M.report(_customer_mapping(spark, d)).select("section", "entity_type", "original", "replacement", "note")
+
+
+@query
+def scale_factors(spark, d):
+    seeds = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("seed")).distinct()
+    return seeds.select("seed", scaling.drawn_factor(F.col("seed"), "salt", 0.7, 1.3).alias("factor"))
+
+
+def _scaled(spark: SparkSession, d: str, seed: Column, v: Column, table: str, *keys: str) -> DataFrame:
+    factors = spark.createDataFrame([], "seed string, factor double")
+    df = scaling.with_factors(_table(spark, d, table).withColumn("seed", seed), "seed", factors, "salt", 0.7, 1.3)
+    return df.select(*keys, F.round(F.when(scaling.is_year(v), v).otherwise(scaling.scale_number(v, F.col("factor"))), 1).alias("scaled"))
+
+
+@query
+def scale_unified(spark, d):
+    return _scaled(spark, d, F.lit(scaling.GLOBAL_SEED), F.floor("l_extendedprice").cast("double"), "lineitem", "l_orderkey", "l_linenumber")
+
+
+@query
+def scale_per_seed(spark, d):
+    return _scaled(spark, d, F.col("o_orderpriority"), F.floor("o_totalprice").cast("double"), "orders", "o_orderkey")
+
+
+@query
+def csv_cells(spark, d):
+    df = _table(spark, d, "part").select("p_partkey", F.expr(oracle.CSV_CELL).alias("cell"))
+    return df.select("p_partkey", "cell", scaling.csv_number(F.col("cell")).alias("number"), scaling.scale_csv_cell(F.col("cell"), F.lit(2.0)).alias("scaled"))
+
+
+@query
+def excel_cell_dispatch(spark, d):
+    df = _table(spark, d, "orders").select(
+        "o_orderkey",
+        F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'string' WHEN o_orderkey % 3 = 1 THEN 'number' ELSE 'boolean' END").alias("cell_type"),
+        F.expr("CASE o_orderkey % 4 WHEN 0 THEN '=SUM(A1)' WHEN 1 THEN ' ' ELSE o_orderpriority END").alias("s"),
+        F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 2024D ELSE o_totalprice END").alias("d"),
+        F.expr("CASE o_orderkey % 7 WHEN 0 THEN 'yyyy-mm-dd' WHEN 1 THEN '' ELSE 'General' END").alias("number_format"),
+    )
+    return df.withColumn("action", scaling.cell_action(df)).select("o_orderkey", "action")
+
+
+@query
+def scale_text(spark, d):
+    return _documents(spark, d).select("doc_id", scaling.scale_in_text(F.col("text"), F.lit(1.5)).alias("scaled"))
+
+
+@query
+def html_text_nodes(spark, d):
+    return html.text_nodes(_table(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def sanitized_pages(spark, d):
+    pages = _table(spark, d, "pages").select("page_id", "html")
+    nodes = detect_each(html.text_nodes(pages), KEYWORDS)
+    rewritten = M.rewrite(nodes, _mapping_of(nodes, ["page_id", "frag_ord"]), ["page_id", "frag_ord"])
+    return html.with_nodes(pages, rewritten).select("page_id", "sanitized")
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.expr(oracle.PATH_SPARK).alias("path"), F.col("n_chars").alias("size"))
+
+
+@query
+def file_type_histogram(spark, d):
+    return files.file_type_histogram(files.manifest(_listed(spark, d), "/root"))
+
+
+@query
+def folder_manifest(spark, d):
+    return files.manifest(_listed(spark, d), "/root").select("relative", "extension", "size", "file_ord")
+
+
+@query
+def output_paths(spark, d):
+    parts = detect_each(files.path_parts(files.manifest(_listed(spark, d), "/root")), [("company", "src1")])
+    return files.joined_paths(M.rewrite(parts, _mapping_of(parts, ["relative", "part_ord"]), ["relative", "part_ord"]))
+
+
+@query
+def new_keywords(spark, d):
+    current = spark.createDataFrame([(k,) for _, k in KEYWORDS], "keyword string")
+    return incremental.new_keywords(current, spark.createDataFrame([(KEYWORDS[0][1],), ("gone",)], "keyword string"))
+
+
+@query
+def incremental_documents(spark, d):
+    return incremental.affected(_documents(spark, d), [k for _, k in KEYWORDS]).select("doc_id")
+
+
+@query
+def response_parse(spark, d):
+    df = spark.createDataFrame(list(enumerate(RESPONSES)), "n int, response string")
+    return df.select("n", F.to_json(names.parse_response(F.col("response"))).alias("entities"))
