@@ -13,6 +13,11 @@ SPAN = "struct<s:int,e:int,layer:int,rule_id:int,entity_type:string,original:str
 SPANS = f"array<{SPAN}>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 

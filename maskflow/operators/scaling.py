@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskflow.functions.spans import let
+
 
 GLOBAL_SEED = "__global__"
 DEFAULT_RANGE = (0.01, 100.0)
@@ -45,12 +47,15 @@ def decimals_of(v: Column) -> Column:
 
 def scale_number(v: Column, factor: Column) -> Column:
     """Zero stays; whole numbers stay whole (half to even); others keep ``decimals_of`` places."""
-    scaled = v * factor
-    places = decimals_of(v)
-    rounded = F.bround(scaled, 4)
-    for k in range(3, -1, -1):
-        rounded = F.when(places == k, F.bround(scaled, k)).otherwise(rounded)
-    return F.when(v == 0, F.lit(0.0)).when(v == F.floor(v), F.rint(scaled)).otherwise(rounded)
+
+    def rounded(scaled: Column) -> Column:
+        places = decimals_of(v)
+        out = F.bround(scaled, 4)
+        for k in range(3, -1, -1):
+            out = F.when(places == k, F.bround(scaled, k)).otherwise(out)
+        return F.when(v == F.floor(v), F.rint(scaled)).otherwise(out)
+
+    return F.when(v == 0, F.lit(0.0)).otherwise(let(v * factor, rounded))
 
 
 #: What Python's float() reads, but for infinities and NaN, which aren't scaled.
@@ -66,13 +71,20 @@ def csv_number(cell: Column) -> Column:
 
 def scale_csv_cell(cell: Column, factor: Column) -> Column:
     """A numeric cell scaled in its own style; null for text cells. Years stay."""
-    v = csv_number(cell)
-    scaled = scale_number(v, factor)
     places = F.length(F.trim(F.substring_index(cell, ".", -1)))
-    whole = F.when(scaled >= 0, F.floor(scaled)).otherwise(F.ceil(scaled)).cast("bigint")
-    fixed = fixed_places(scaled, places, False)
-    styled = F.when(F.contains(cell, F.lit(".")), fixed).when(F.contains(cell, F.lit(",")), F.format_number(whole, 0)).otherwise(whole.cast("string"))
-    return F.when(v.isNull(), F.lit(None).cast("string")).when(is_year(v), cell).otherwise(styled)
+
+    def styled(scaled: Column) -> Column:
+        whole = F.when(scaled >= 0, F.floor(scaled)).otherwise(F.ceil(scaled)).cast("bigint")
+        return (
+            F.when(F.contains(cell, F.lit(".")), fixed_places(scaled, places, False))
+            .when(F.contains(cell, F.lit(",")), F.format_number(whole, 0))
+            .otherwise(whole.cast("string"))
+        )
+
+    def of(v: Column) -> Column:
+        return F.when(v.isNull(), F.lit(None).cast("string")).when(is_year(v), cell).otherwise(let(scale_number(v, factor), styled))
+
+    return let(csv_number(cell), of)
 
 
 def fixed_places(v: Column, places: Column, grouped: bool, most: int = 10) -> Column:
@@ -116,11 +128,13 @@ def prose_replacement(hit: Column, factor: Column) -> Column:
     currency = F.regexp_extract(hit, PROSE_NUMBER, 1)
     number = F.regexp_extract(hit, PROSE_NUMBER, 2)
     v = F.replace(number, F.lit(","), F.lit("")).cast("double")
-    scaled = scale_number(v, factor)
     places = F.when(F.contains(number, F.lit(".")), F.length(F.substring_index(number, ".", -1))).otherwise(F.lit(0))
-    value = F.when(places > 0, scaled).otherwise(F.rint(scaled))
-    styled = F.when(F.contains(number, F.lit(",")), fixed_places(value, places, True)).otherwise(fixed_places(value, places, False))
-    return F.when(is_year(v) | (v < LEAST_IN_PROSE), hit).otherwise(F.concat(currency, styled))
+
+    def styled(scaled: Column) -> Column:
+        value = F.when(places > 0, scaled).otherwise(F.rint(scaled))
+        return F.when(F.contains(number, F.lit(",")), fixed_places(value, places, True)).otherwise(fixed_places(value, places, False))
+
+    return F.when(is_year(v) | (v < LEAST_IN_PROSE), hit).otherwise(F.concat(currency, let(scale_number(v, factor), styled)))
 
 
 def scale_in_text(text: Column, factor: Column) -> Column:
