@@ -245,7 +245,8 @@ def per_text(spans: DataFrame, kind: int, rule: RepeatRule) -> DataFrame:
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
-    return sized_join(keyed, spans, "doc", how).select("doc_id", "text", "spans")
+    # both grow with the texts: they are shuffled at every size
+    return sized_join(keyed, spans, "doc", how, bound=0).select("doc_id", "text", "spans")
 
 
 def _own(spans, text: bytes):
@@ -283,9 +284,15 @@ def compare_runs(docs: DataFrame, needed: DataFrame, rule: RepeatRule, bits: int
 
     def gather(key, table):
         doc, text, start, place, size = _joined(table, 0, (np.int64,) * 5)
-        blob = b"".join(table.column("c5").to_pylist())
-        repeated = repeated_windows(doc, text, start, place, size, np.frombuffer(blob, np.uint8), rule)
-        k, at = repeated
+        blob = np.frombuffer(b"".join(table.column("c5").to_pylist()), np.uint8)
+        begin = np.cumsum(size) - size
+        # a row that repeats doc_id and text brings its runs again
+        order = np.lexsort((start, text, doc))
+        again = np.zeros(len(order), bool)
+        a, b = order[1:], order[:-1]
+        again[1:] = (doc[a] == doc[b]) & (text[a] == text[b]) & (start[a] == start[b])
+        doc, text, start, place, size, begin = (c[order[~again]] for c in (doc, text, start, place, size, begin))
+        k, at = repeated_windows(doc, text, start, place, size, begin, blob, rule)
         return _table(list(_by_text(1, bits, doc[k], text[k].astype(np.uint32), at, np.ones(len(k), np.uint8))))
 
     fetched = _with_spans(docs, needed, "inner").mapInArrow(fetch, PACKED)
@@ -298,12 +305,11 @@ def anchor_places(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule:
     return place[np.searchsorted(begin, starts)]
 
 
-def repeated_windows(doc, text, start, place, size, blob, rule: RepeatRule) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(doc, text, start, place, size, begin, blob, rule: RepeatRule) -> tuple[np.ndarray, np.ndarray]:
     """(run number, window start) of every window that an earlier run has too."""
     n, length = len(doc), rule.length
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.cumsum(size) - size
     behind = length - rule.gram  # most bytes before an anchor
 
     def matrix(first, step, count, width):
