@@ -30,7 +30,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskflow.llm.warc import read_records, write_bundles
 
-    return read_records(spark, write_bundles(_table(spark, sf_dir, "pages")))
+    found = read_records(spark, write_bundles(_table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kneser_ney": op10_kneser_ney,
 }
 
-SQL: dict[str, str] = {}
-
-
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The numbered queries and, where the repository has it, the corpus pipeline."""
     import importlib.util
@@ -112,4 +110,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
+    from maskflow.llm.sql import SQL
+
     return dict(SQL)
