@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskflow.functions.session import ship
 from maskflow.llm import decontaminate, encoding, quality, secrets, similarity
 from maskflow.llm.shared import scratch
 
@@ -55,6 +56,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
