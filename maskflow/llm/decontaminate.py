@@ -19,7 +19,6 @@ columns aren't read by :func:`contamination` and pass through
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -232,10 +231,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule
     return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items", "spans", "contaminated")
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule = ContaminationRule()) -> DataFrame:
     """``docs`` without its contaminated rows, columns as they came."""
     names = [f"_c{i}" for i in range(len(docs.columns))]

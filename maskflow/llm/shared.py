@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -68,14 +67,3 @@ def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return uri if uri.startswith("/") else None
-
-
-def drop_folder(spark: SparkSession, uri: str) -> None:
-    """Remove a folder of the shared storage through Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def local_files_left(path: str) -> list[str]:
-    return sorted(os.listdir(path)) if os.path.isdir(path) else []
