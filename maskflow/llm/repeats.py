@@ -17,7 +17,9 @@ strings are judged on the input.
    the window that begins ``d`` bytes before the anchor if their suffixes agree
    for ``length - d`` bytes and their reversed parts for ``d``; neighbours' common
    prefixes give these classes for all ``d``, and all but the first of a class
-   are repeats.
+   are repeats.  An anchor's windows are dealt in a few parts by ``d``, and a task
+   sends a part with equal bytes once, so an anchor with very many surroundings
+   isn't one task's.
 4. Repeated spans come back to their texts, merged.
 
 Texts travel neither whole nor in part but for the runs of step 3.  Defined
@@ -50,10 +52,11 @@ COLUMNS = (("anchor", np.uint64), ("run", np.uint64), ("doc", np.int64), ("text"
 
 @dataclass(frozen=True)
 class RepeatRule:
-    """``gram`` bytes make an anchor; a window has ``length - gram + 1`` of them."""
+    """``gram`` bytes make an anchor; a window has ``length - gram + 1`` of them.  An anchor's runs are compared in ``parts``."""
 
     length: int = 100
     gram: int = 32
+    parts: int = 4
 
 
 def text_mark(text: bytes) -> int:
@@ -261,28 +264,60 @@ def _own(spans, text: bytes):
 def compare_runs(docs: DataFrame, needed: DataFrame, rule: RepeatRule, bits: int) -> DataFrame:
     """Spans by text (kind 1) that the sorted first runs of shared anchors show to be repeats."""
 
+    behind = rule.length - rule.gram
+    cuts = [-(-(behind + 1) * k // rule.parts) for k in range(rule.parts + 1)]
+
     def fetch(batches):
+        # (part's hash, bytes) -> the places that have them
+        held: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}
+        n = 0
+
+        def flush():
+            rows: dict[int, list[tuple]] = {}
+            again: list[tuple[int, int, int, int]] = []
+            for (key, own), places in held.items():
+                places = sorted(set(places))
+                again += [(*at[:3], len(own) - rule.length + 1) for at in places[1:]]
+                doc, mark, start, place = places[0]
+                rows.setdefault(key >> (64 - bits), []).append((doc, mark, start, place, own))
+            out = []
+            for shard, found in rows.items():
+                numbers = [np.array(c, np.int64) for c in list(zip(*found))[:4]]
+                sizes = np.fromiter((len(f[4]) for f in found), np.int64, len(found))
+                out.append(_packed(shard, 0, *numbers, sizes) + [b"".join(f[4] for f in found)])
+            if again:
+                doc, mark, start, windows = (np.array(c, np.int64) for c in zip(*again))
+                out += list(_by_text(1, bits, doc, mark.astype(np.uint32), start, windows.astype(np.uint8)))
+            for b in range(0, len(out), 256):
+                yield _batch(out[b : b + 256])
+
         for batch in batches:
-            rows: dict[int, list[list[bytes]]] = {}
             for doc, text, spans in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 own = _own(spans, text)
                 if own is None:
                     continue
+                doc, mark = LAST if doc is None else doc, own["text"]
                 starts, ends, anchors = (np.frombuffer(own[c], t) for c, t in (("starts", np.int64), ("ends", np.int64), ("anchors", np.uint64)))
-                mark = own["text"]
                 place = anchor_places(np.frombuffer(text, np.uint8), starts, ends, rule)
-                for s, e, p, shard in zip(starts.tolist(), ends.tolist(), place.tolist(), _top(anchors, bits).tolist()):
-                    row = rows.setdefault(shard, [])
-                    row.append((LAST if doc is None else doc, mark, s, p - s, text[s:e]))
-            out = []
-            for shard, found in rows.items():
-                numbers = [np.array(c, np.int64) for c in list(zip(*found))[:4]]
-                sizes = np.fromiter((len(f[4]) for f in found), np.int64, len(found))
-                out.append(_packed(shard, 0, *numbers, sizes) + [b"".join(f[4] for f in found)])
-            if out:
-                yield _batch(out)
+                for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    # the part's windows begin from ``low`` to before ``high`` bytes ahead of the anchor
+                    first = np.maximum(starts, place - high + 1)
+                    last = np.minimum(ends - rule.length, place - low)
+                    part = np.flatnonzero(first <= last)
+                    keys = mix(anchors[part] ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                    for key, f, e, p in zip(keys.tolist(), first[part].tolist(), last[part].tolist(), place[part].tolist()):
+                        held.setdefault((key, text[f : e + rule.length]), []).append((doc, mark, f, p - f))
+                        n += 1
+            if n >= PIECE // 8:
+                yield from flush()
+                held.clear()
+                n = 0
+        if n:
+            yield from flush()
 
     def gather(key, table):
+        if key[0].as_py() >= 1 << bits:
+            return table
         doc, text, start, place, size = _joined(table, 0, (np.int64,) * 5)
         blob = np.frombuffer(b"".join(table.column("c5").to_pylist()), np.uint8)
         begin = np.cumsum(size) - size
