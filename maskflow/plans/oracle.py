@@ -196,9 +196,10 @@ def _fill(length: str, alphabet: str, offset: int = 0) -> str:
     return f"array_to_string(list_transform(range(0, {length}), lambda i: {_draw(f'i + {offset}', alphabet)}), '')"
 
 
-def _formed(kind: str) -> str:
+def _made(kind: str) -> str:
+    """The replacement of ``x``, whose stream is ``st``."""
     digits = f"array_to_string(list_transform(range(0, len(x)), lambda i: CASE WHEN strpos('{DIGITS}', substr(x, i + 1, 1)) > 0 THEN {_draw('i', DIGITS)} ELSE substr(x, i + 1, 1) END), '')"
-    made = {
+    return {
         "bank_account": f"{_draw('0', DIGITS[1:])} || {_fill('len(x) - 1', DIGITS, 1)}",
         "iban": "substr(x, 1, 2) || " + _fill("len(replace(x, ' ', '')) - 2", DIGITS),
         "phone": digits,
@@ -210,7 +211,10 @@ def _formed(kind: str) -> str:
         "crypto_address": f"'0x' || {_fill('len(x) - 2', HEXADECIMAL)}",
         "tx_hash": "CASE WHEN x[1:2] = '0x' THEN '0x' ELSE '' END || sha256('tx' || x)",
     }[kind]
-    return f"SELECT c_custkey, x AS original, {made} AS replacement FROM (SELECT c_custkey, x, {_stream('x')} AS st FROM (SELECT c_custkey, {originals(kind, False)} AS x FROM customer))"
+
+
+def _formed(kind: str) -> str:
+    return f"SELECT c_custkey, x AS original, {_made(kind)} AS replacement FROM (SELECT c_custkey, x, {_stream('x')} AS st FROM (SELECT c_custkey, {originals(kind, False)} AS x FROM customer))"
 
 
 _EMAILS = _rule([r.name for r in RULES].index("email"), DOCUMENTS)
@@ -218,6 +222,28 @@ _EMAIL_MAP = f"""SELECT original, {_label('email', 'n')} AS replacement FROM (SE
  FROM (SELECT original, doc_id, s, row_number() OVER (PARTITION BY original ORDER BY doc_id, s DESC) AS k FROM ({_EMAILS})) WHERE k = 1)"""
 
 
+def _across_layers(source: str) -> str:
+    """Keywords and rules: by start, then layer, each span that begins where the last kept one has ended."""
+    kind = "STRUCT(layer INTEGER, s INTEGER, e INTEGER, entity_type VARCHAR, original VARCHAR)"
+    return f"""SELECT doc_id, m.s AS s, m.e AS e, m.layer AS layer, m.entity_type AS entity_type, m.original AS original FROM (SELECT doc_id,
+ unnest(list_filter(list_reduce(l, lambda acc, m: CASE WHEN m.s >= acc[len(acc)].e THEN list_append(acc, m) ELSE acc END,
+ [CAST({{'layer': -1, 's': -1, 'e': 0, 'entity_type': '', 'original': ''}} AS {kind})]), lambda z: z.s >= 0)) AS m
+ FROM (SELECT doc_id, list(CAST({{'layer': layer, 's': s, 'e': e, 'entity_type': entity_type, 'original': original}} AS {kind}) ORDER BY s, layer) AS l
+ FROM (SELECT 0 AS layer, doc_id, s, e, entity_type, original FROM ({_keywords(source)}) UNION ALL SELECT 1, doc_id, s, e, entity_type, original FROM ({_all_rules(source)})) GROUP BY doc_id))"""
+
+
+def _sanitized(source: str) -> str:
+    label = " ".join(f"WHEN '{k}' THEN {_label(k, 'n')}" for k in ("company", *LABELS))
+    form = " ".join(f"WHEN '{k}' THEN {_made(k)}" for k in FORMED)
+    return f"""WITH spans AS ({_across_layers(source)}),
+ firsts AS (SELECT entity_type, original, row_number() OVER (PARTITION BY entity_type ORDER BY doc_id, s DESC) AS n
+  FROM (SELECT entity_type, original, doc_id, s, row_number() OVER (PARTITION BY entity_type, original ORDER BY doc_id, s DESC) AS k FROM spans) WHERE k = 1),
+ map AS (SELECT entity_type, x, CASE entity_type {form} {label} END AS replacement FROM (SELECT entity_type, original AS x, n, {_stream('original')} AS st FROM firsts)),
+ cut AS (SELECT doc_id, s, e, replacement, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans JOIN map ON spans.entity_type = map.entity_type AND spans.original = map.x),
+ done AS (SELECT doc_id, string_agg(substr(text, CAST(before + 1 AS BIGINT), CAST(s - before AS BIGINT)) || replacement, '' ORDER BY s) AS head, max(e) AS last FROM cut JOIN documents USING (doc_id) GROUP BY doc_id)
+ SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || substr(text, CAST(last + 1 AS BIGINT)) END AS sanitized FROM documents LEFT JOIN done USING (doc_id)"""
+
+
 def _factor(seed: str) -> str:
     sha = f"sha256({seed} || '::salt')"
     value = " + ".join(f"CAST(strpos('{HEXADECIMAL}', substr({sha}, {i + 1}, 1)) - 1 AS BIGINT) * {16 ** (7 - i)}" for i in range(8))
@@ -250,6 +276,8 @@ SQL: dict[str, str] = {
     "entity_counts_by_type": f"SELECT entity_type, count(*) AS n FROM ({_all_rules(DOCUMENTS)}) GROUP BY entity_type",
     "entity_counts_by_source": f"SELECT source, entity_type, count(*) AS n FROM ({_all_rules(DOCUMENTS)}) JOIN documents USING (doc_id) GROUP BY source, entity_type",
     "dictionary_matches": _keywords(DOCUMENTS),
+    "cross_layer_resolution": _across_layers(DOCUMENTS),
+    "sanitized_documents": _sanitized(DOCUMENTS),
     "keyword_file_parse": "SELECT * FROM (VALUES "
     + ", ".join(
         f"({_quoted(kind)}, {_quoted(word)}, CAST({k} AS INTEGER))"
@@ -289,6 +317,22 @@ SQL: dict[str, str] = {
     "file_type_histogram": f"""SELECT CASE WHEN extension IN ('.xlsx', '.xls') THEN 'Excel' WHEN extension IN ('.csv', '.tsv') THEN 'CSV' WHEN extension = '.docx' THEN 'Word' WHEN extension = '.pdf' THEN 'PDF'
  WHEN extension = '.txt' THEN 'Text' ELSE 'HTML' END AS file_type, count(*) AS n FROM ({_MANIFEST}) GROUP BY file_type""",
     "folder_manifest": f"SELECT relative, extension, size, CAST(row_number() OVER (ORDER BY relative) AS INTEGER) AS file_ord FROM ({_MANIFEST})",
+    "output_paths": f"SELECT relative, regexp_replace(replace(relative, 'src1', 'Company_A'), '\\.xls$', '.xlsx') AS output FROM ({_MANIFEST})",
+    "response_parse": "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"(CAST({k} AS INTEGER), {_quoted(x)})"
+        for k, x in enumerate(
+            (
+                '[{"text":"Acme","type":"company"}]',
+                '[{"text":"Zhang","type":"person"}]',
+                "[]",
+                "[]",
+                '[{"text":"B","type":"company"}]',
+                '[{"text":"Ali","type":"company"}]',
+            )
+        )
+    )
+    + ") AS t(n, entities)",
     "new_keywords": "SELECT * FROM (VALUES ('MIT License'), ('License'), ('anthe'), ('token')) AS t(keyword)",
     "incremental_documents": f"SELECT doc_id FROM documents WHERE text IS NULL OR {_HOLDS}",
 }
