@@ -66,8 +66,10 @@ RULES: tuple[Rule, ...] = (
     Rule("bank_account", "bank_account", r"(?U)\b\d{9,18}\b"),
 )
 
-#: What every match of any rule contains; texts without it aren't searched.
-ANY_RULE = r"(?iU)\d{4}|\d{2}\(|\d\)|@|www\.|https?://|[A-Z]{6}|发票号|票号|合同|协议|Inv|Contract|Agreement"
+#: What every match of any of RULES contains; texts without it aren't searched.  Matches
+#: have a digit, an @, the start of a link or a label, or else (swift_code, and tron and
+#: tx_hash of letters alone) six ASCII letters in a row.
+ANY_RULE = r"(?iU)\d|@|www\.|https?://|[A-Z]{6}|发票号|票号|合同|协议|Inv|Contract|Agreement"
 
 
 def raw_matches(text: Column, rule: Rule) -> Column:
@@ -80,7 +82,10 @@ def find_all(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     found = []
     for k, rule in enumerate(rules):
         found.append(_checked(finditer(text, rule.pattern, 1, k, rule.entity_type), rule))
-    return F.when(is_blank(text) | ~text.rlike(ANY_RULE), no_spans()).otherwise(first_wins(F.concat(*found)))
+    unsearched = is_blank(text)
+    if all(rule in RULES for rule in rules):  # of other rules ANY_RULE knows nothing
+        unsearched = unsearched | ~text.rlike(ANY_RULE)
+    return F.when(unsearched, no_spans()).otherwise(first_wins(F.concat(*found)))
 
 
 def _checked(spans: Column, rule: Rule) -> Column:

@@ -37,6 +37,58 @@ def test_rules(spark, text, expected):
     assert spans(spark, text) == expected
 
 
+def lone_matches():
+    """Fragments that hold one match each, of every rule, without six letters or four digits in a row where the rule allows it."""
+    return [
+        "0xa1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6e7f8a9b0",
+        "1a2b3c4d5e6f7g8h9i1j2k3m4n5p6q7r8s",
+        "bc1qa2b3c4d5e6f7g8h9j2k3m4n5p6q7r8s9",
+        "Ta2b3c4d5e6f7g8h9i1j2k3m4n5p6q7r8s",
+        "T" + "abcdefghijk" * 3,
+        "a1" * 32,
+        "0x" + "b2" * 32,
+        "abcdef" * 10 + "abcd",
+        "GB29 NW1K 6R1A 3B1C 9D2E 1F",
+        "A123456(7)",
+        "AB123456(1)",
+        "4111 1111 1111 1111",
+        "11010519491231002X",
+        "BKCHCNBJ110",
+        "BKCHCNBJ",
+        "Inv# abc-de-f",
+        "票号 ab-cd-ef",
+        "合同 ab-cd",
+        "协议 ab-cd",
+        "a@b.co",
+        "www.a.io",
+        "http://a.io",
+        "+1 2 3456",
+        "13812345678",
+        "12123456ABCDEFGHJK",
+        "123456789",
+    ]
+
+
+def test_prefilter_is_a_superset(spark):
+    from maskflow.functions.spans import first_wins
+    from maskflow.operators.rules import RULES, find_all, raw_matches
+
+    df = spark.createDataFrame([(t,) for t in lone_matches()], "text string")
+    raw = first_wins(F.concat(*[raw_matches(F.col("text"), rule) for rule in RULES]))
+    rows = df.select("text", find_all(F.col("text")).alias("found"), raw.alias("raw")).collect()
+    for r in rows:
+        assert r["raw"] and r["found"] == r["raw"], r["text"]
+    hit = df.select(*[F.max(F.size(raw_matches(F.col("text"), rule))).alias(rule.name) for rule in RULES]).first()
+    assert all(hit), hit  # each rule has a fragment
+
+
+def test_rules_of_others_are_not_prefiltered(spark):
+    from maskflow.operators.rules import Rule, find_all
+
+    df = spark.createDataFrame([("a-b",)], "text string")
+    assert [m["original"] for m in df.select(find_all(F.col("text"), (Rule("x", "x", "a-b"),)).alias("s")).first()["s"]] == ["a-b"]
+
+
 def test_layers(spark):
     kw = [("company", "acme")]
     assert spans(spark, "Acme@x.com", kw) == [("company", "Acme")]  # a tie in start: keywords win
