@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.llm.textbytes import ALNUM, as_bytes
+from maskflow.llm.textbytes import ALNUM, as_bytes, word_spans
 
 #: Bytes of item text in one automaton.
 BLOCK_BYTES = 8 << 20
@@ -231,9 +231,63 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule
     return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items", "spans", "contaminated")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule = ContaminationRule()) -> DataFrame:
-    """``docs`` without its contaminated rows, columns as they came."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    inner = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    checked = contamination(inner, benchmark, rule, keep=names).filter("NOT contaminated")
-    return checked.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without disjoint spans of words, in order; what separates words around them stays."""
+    starts, ends = word_spans(np.frombuffer(text.translate(ALNUM), np.uint8))
+    out, at = [], 0
+    for b, e in spans:
+        out.append(text[at : int(starts[b])])
+        at = int(ends[e - 1])
+    return b"".join(out) + text[at:]
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule = ContaminationRule(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without its contaminated rows; from the texts of the others the hit spans are cut.
+
+    Spans that only come about where a cut joins two parts are cut as well.
+    ``n_chars``, if there, follows a text that changes; other columns stay as they came.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
+    key = uuid.uuid4().hex
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        items = shared.value
+
+        def hits(texts):
+            """Words and merged hit spans of each text."""
+            split = [t.translate(ALNUM).split() for t in texts]
+            spans = [[] for _ in split]
+            for automaton in _automata_for(key, items, rule, block_bytes):
+                for k, words in enumerate(split):
+                    spans[k] += automaton.stream(words)[0]
+            return [len(w) for w in split], [merged(s) for s in spans]
+
+        for batch in batches:
+            texts = [bytes(t) for t in as_bytes(batch.column(at))]
+            n_words, spans = hits(texts)
+            n_hit = [sum(e - b for b, e in s) for s in spans]
+            keep = [not (h > 0 and rule.share * h >= n) for h, n in zip(n_hit, n_words)]
+            cut: dict[int, bytes] = {}
+            left = {k: spans[k] for k in range(len(texts)) if keep[k] and spans[k]}
+            while left:
+                cut |= {k: without_spans(cut.get(k, texts[k]), s) for k, s in left.items()}
+                left = {k: s for k, s in zip(left, hits([cut[k] for k in left])[1]) if s}
+            columns = list(batch.columns)
+            if cut:
+                clean = columns[at].to_pylist()
+                for k, t in cut.items():
+                    clean[k] = t.decode()
+                columns[at] = pa.array(clean, columns[at].type)
+                if "n_chars" in names:
+                    c = names.index("n_chars")
+                    kept = columns[c].to_pylist()
+                    for k in cut:
+                        kept[k] = len(clean[k])
+                    columns[c] = pa.array(kept, columns[c].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -387,6 +387,29 @@ def test_decontamination(spark):
 # 9
 
 
+def test_decontamination_cuts_spans(spark):
+    from maskflow.llm.decontaminate import contamination, remove_contaminated
+
+    rng = random.Random(8)
+    words = lambda n, c: " ".join(f"{c}{rng.randrange(10**6)}" for _ in range(n))
+    item, short = words(200, "q"), words(20, "s")
+    a, b, c = words(2400, "é"), words(2400, "b"), words(900, "c")
+    w = short.split()
+    nested = f"{c} {' '.join(w[:10])} {item.split()[0]} {' '.join(item.split()[1:15])} {' '.join(w[10:])} {c}"  # the cut joins the halves of another item
+    docs = [f"{a}, {item.upper()}!\n{b}", item + " " + words(300, "d"), a, None, "", f"{a} {b} {item}", nested]
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id bigint, text string")
+    for block_bytes in (8 << 20, 60):
+        kept = remove_contaminated(table(spark, docs), bench, block_bytes=block_bytes)
+        assert kept.columns == table(spark).columns
+        rows = by_id(kept)
+        assert set(rows) == {0, 2, 3, 4, 5, 6}
+        assert rows[0]["text"] == f"{a}, !\n{b}" and rows[5]["text"] == f"{a} {b} " and rows[6]["text"].split() == f"{c} {c}".split()
+        assert [rows[k]["text"] for k in (2, 3, 4)] == [a, None, ""]
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows.values())
+        assert contamination(kept, bench).filter("n_hit > 0").count() == 0
+    assert remove_contaminated(empty(spark), bench).count() == 0
+
+
 def quality_counts(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
