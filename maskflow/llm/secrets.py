@@ -4,6 +4,8 @@ The patterns give the base spans.  The method then looks at strings of key
 characters that stand shortly after a sensitive word and aren't in a base span.
 Each is compressed after its surroundings, with a dictionary of code and common
 identifiers; the bytes it adds, in proportion to its length, are its novelty.
+Copies of it and other candidates are blanked out of the surroundings.  A string
+that is novel at one place is reported wherever the text has it.
 Words and identifiers compress well against them, random keys don't, and those
 that stay incompressible are reported as ``novel``.
 
@@ -16,6 +18,7 @@ read by :func:`scan`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,7 +32,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as runs of any length, of which the short ones are dropped
 
 SENSITIVE = re.compile(r"(?:secret|passwd|password|passphrase|credential|private|bearer|authori[sz]ation|api.?key|access.?key|token|signature)", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CANDIDATE = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
 
 #: Raw content that primes the compressor: code idioms and common identifiers.
 PRIMER = "\n".join(
@@ -70,15 +74,26 @@ class Novelty:
         primer = zstandard.ZstdCompressionDict(PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_dict_id=False)
 
-    def share(self, text: str, start: int, end: int) -> float:
-        around = (text[max(0, start - self.rule.before) : start] + text[end : end + self.rule.after]).encode()
-        own = text[start:end].encode()
-        return (len(self.compressor.compress(around + own)) - len(self.compressor.compress(around))) / len(own)
-
-    def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def share(self, text: str, start: int, end: int, others: list[tuple[int, int]] = ()) -> float:
+        """Novelty of a candidate; its copies and ``others`` in its surroundings are blanked out."""
+        rule, own = self.rule, text[start:end]
+        low, high = max(0, start - rule.before - len(own)), end + rule.after + len(own)  # copies that reach over the edge are whole
+        near = text[low:high]
+        for s, e in others:
+            s, e = max(s, low) - low, min(e, high) - low
+            if s < e and s != start - low:
+                near = near[:s] + " " * (e - s) + near[e:]
+        before, after = near[: start - low], near[end - low :]
+        blank = " " * len(own)
+        before, after = before.replace(own, blank), after.replace(own, blank)
+        around = (before[max(0, len(before) - rule.before) :] + after[: rule.after]).encode()
+        return (len(self.compressor.compress(around + own.encode())) - len(self.compressor.compress(around))) / len(own.encode())
+
+    def candidates(self, text: str) -> list[tuple[int, int]]:
+        """Strings of key characters that begin within reach of a sensitive word, in order."""
         found, end_before = [], 0
         for word in SENSITIVE.finditer(text):
-            # candidates that begin within reach of the word, each looked at once
+            # each looked at once
             for m in CANDIDATE.finditer(text, max(word.end(), end_before), word.end() + self.rule.reach + 4096):
                 if m.start() > word.end() + self.rule.reach:
                     break
@@ -86,12 +101,41 @@ class Novelty:
                 while e < len(text) and CANDIDATE_CHARACTER(text[e]):
                     e += 1
                 end_before = e
-                if any(s < b and a < e for a, b in taken) or not self._mixed(text[s:e]):
-                    continue
-                if self.share(text, s, e) >= self.rule.least:
-                    found.append((s, e))
+                found.append((s, e))
         return found
 
+    def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Places of the candidates that are novel anywhere; one decision for each distinct string."""
+        found = [c for c in self.candidates(text) if self._mixed(text[c[0] : c[1]])]
+        starts = [s for s, _ in found]
+        reach = max((e - s for s, e in found), default=0)
+        novel: set[str] = set()
+        for s, e in found:
+            own = text[s:e]
+            if own in novel or any(s < b and a < e for a, b in taken):
+                continue
+            low, high = s - self.rule.before - len(own), e + self.rule.after + len(own)
+            others = found[bisect_left(starts, low - reach) : bisect_left(starts, high)]
+            if self.share(text, s, e, others) >= self.rule.least:
+                novel.add(own)
+        return self._places(text, novel, taken) if novel else []
+
+    @staticmethod
+    def _places(text: str, novel: set[str], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Where novel strings stand in runs of key characters, without places inside another or inside a base span."""
+        by_head: dict[str, list[str]] = {}
+        for own in sorted(novel, key=len, reverse=True):
+            by_head.setdefault(own[:LEAST_CANDIDATE], []).append(own)
+        places, end_before = [], 0
+        for run in CANDIDATE.finditer(text):
+            for s in range(run.start(), run.end() - LEAST_CANDIDATE + 1):
+                own = next((x for x in by_head.get(text[s : s + LEAST_CANDIDATE], ()) if text.startswith(x, s)), None)
+                if own is not None and s + len(own) > end_before:
+                    end_before = s + len(own)
+                    if not any(a <= s and end_before <= b for a, b in taken):
+                        places.append((s, end_before))
+        return places
+
     def _mixed(self, own: str) -> bool:
         """Digits, lower and upper case: at least ``least_kinds`` of them."""
         return sum(bool(re.search(p, own)) for p in ("[0-9]", "[a-z]", "[A-Z]")) >= self.rule.least_kinds and bool(re.search("[0-9]", own))

@@ -348,6 +348,28 @@ def test_secrets(spark):
     assert rows[0]["text"] == TEXTS[0] and scan(empty(spark)).count() == 0 == redact(empty(spark)).count()
 
 
+def test_repeated_secrets(spark):
+    from maskflow.llm.secrets import redact, scan
+
+    key, other = "Zk39xQpL0vTq8sWmN2bYc7Rf", "Hd82mVbX5rKz1yPqT6wJc4Ln"
+    line = f"my private key is {key}\n"
+    texts = [
+        line * 2,
+        line * 30,
+        line + "plain words of some text " * 13 + line,
+        f"{line}{key} and x{key}y",  # also where no sensitive word stands near
+        f"private key {key} signature {other}, again: {other} {key}",
+        "the private implementation_documentation_specification_v2\n" * 3,
+        line + "é" * 5000 + key,
+    ]
+    rows = by_id(scan(table(spark, texts)))
+    for i, t in enumerate(texts):
+        want = [(m.start(), m.end()) for m in re.finditer(f"{key}|{other}", t)]
+        assert [(m["start"], m["end"]) for m in rows[i]["found"]] == want, i
+    clean = by_id(redact(table(spark, texts)))
+    assert all(key not in r["text"] and other not in r["text"] and r["n_chars"] == len(r["text"]) for r in clean.values())
+
+
 # 8
 
 
