@@ -1,8 +1,11 @@
 """Words of many texts at once: offsets and 64-bit hashes by whole-array arithmetic.
 
 Texts are taken as UTF-8 bytes.  A byte table maps separators to a space and A-Z
-to a-z, so words are runs of other bytes.  A word's hash is a polynomial in its
-bytes modulo 2**64, read off prefix sums, then mixed with its length.  Work goes
+to a-z, so words are runs of other bytes.  The hash of a word of up to ``SHORT``
+bytes is a polynomial in its bytes modulo 2**64, read off prefix sums, then mixed
+with its length.  Such polynomials agree for some long strings that differ (the
+Thue-Morse ones, from about 512 bytes), so longer words have their XXH3.  Different
+words share a 64-bit hash by chance alone, about once in 2**64 pairs.  Work goes
 in slices of about a megabyte that end at separators; memory follows the slice,
 not the text.
 """
@@ -14,6 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 
 SLICE = 1 << 20
+#: Longest word, in bytes, whose hash is a polynomial.
+SHORT = 64
 _BASE = 0x9E3779B97F4A7C55  # odd
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -80,15 +85,25 @@ def word_spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hashed_words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words of mapped bytes."""
     starts, ends = word_spans(text)
+    return starts, ends, span_hashes(text, starts, ends)
+
+
+def span_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of disjoint spans in order, slice by slice."""
+    import xxhash
+
     hashes = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):
         base = starts[k]
-        stop = max(int(np.searchsorted(ends, base + SLICE, "right")), k + 1)
-        prefix = prefix_hash(text[base : ends[stop - 1]])
-        hashes[k:stop] = span_hash(prefix, starts[k:stop] - base, ends[k:stop] - base)
-        k = stop
-    return starts, ends, hashes
+        stop = int(np.searchsorted(ends, base + SLICE, "right"))
+        if stop > k:
+            prefix = prefix_hash(text[base : ends[stop - 1]])
+            hashes[k:stop] = span_hash(prefix, starts[k:stop] - base, ends[k:stop] - base)
+        k = max(stop, k + 1)  # a word beyond a slice is a long one
+    for k in np.flatnonzero(ends - starts > SHORT).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]])
+    return hashes
 
 
 class Words:
