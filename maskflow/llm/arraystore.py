@@ -2,7 +2,8 @@
 
 Where the shared folder is mounted, arrays are mapped in place.  From another
 store a worker copies a shard to its own temporary folder, maps it and unlinks it
-at once.  A file is written under a name of the attempt and then renamed, so a
+at once.  A worker keeps the last ``MOST_OPEN`` shards mapped, so that neither its
+maps nor its copies grow with the model.  A file is written under a name of the attempt and then renamed, so a
 task that runs again after a lost executor leaves the same file.
 """
 
@@ -17,6 +18,9 @@ import numpy as np
 
 from maskflow.llm.shared import local_path
 
+#: Shards that a worker keeps mapped.
+MOST_OPEN = 512
+
 
 class ArrayStore:
     def __init__(self, uri: str):
@@ -68,21 +72,32 @@ def _mapped(path: str) -> np.ndarray:
 class Shards:
     """Values by 64-bit hash: shard s holds the hashes whose top bits are s, sorted, with columns beside them."""
 
-    def __init__(self, uri: str, bits: int, columns: tuple[str, ...]):
-        self.store, self.bits, self.columns, self.open = ArrayStore(uri), bits, columns, {}
+    def __init__(self, uri: str, bits: int, columns: tuple[str, ...], prefix: str = ""):
+        self.store, self.bits, self.columns, self.prefix = ArrayStore(uri), bits, columns, prefix
+        self.open: dict[int, dict[str, np.ndarray | None]] = {}  # the last used at the end
 
     def shard_of(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
 
     def write(self, shard: int, hashes: np.ndarray, *columns: np.ndarray) -> None:
         for name, array in zip(self.columns, columns):
-            self.store.write(f"{shard}-{name}", array)
-        self.store.write(f"{shard}-hash", hashes)
+            self.store.write(f"{self.prefix}{shard}-{name}", array)
+        self.store.write(f"{self.prefix}{shard}-hash", hashes)
+
+    def array(self, shard: int, name: str) -> np.ndarray | None:
+        """One of a shard's arrays, mapped; None if the shard is empty."""
+        arrays = self.open.pop(shard, None)
+        if arrays is None:
+            arrays = {}
+            while len(self.open) >= MOST_OPEN:
+                del self.open[next(iter(self.open))]
+        self.open[shard] = arrays
+        if name not in arrays:
+            arrays[name] = self.store.read(f"{self.prefix}{shard}-{name}")
+        return arrays[name]
 
     def shard(self, shard: int) -> tuple[np.ndarray | None, ...]:
-        if shard not in self.open:
-            self.open[shard] = tuple(self.store.read(f"{shard}-{name}") for name in ("hash", *self.columns))
-        return self.open[shard]
+        return tuple(self.array(shard, name) for name in ("hash", *self.columns))
 
     def runs(self, ordered: np.ndarray):
         """(shard, begin, end) for ascending hashes."""

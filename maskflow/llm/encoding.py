@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from maskflow.llm.arraystore import Shards, shard_bits
 from maskflow.llm.pieces import DEFAULT_MODEL, SPACE, SPACE_BYTES, Decoder, PieceTable, Viterbi, load, spread
 from maskflow.llm.shared import scratch, stored
-from maskflow.llm.textbytes import SLICE, as_bytes, groups, prefix_hash, span_hash
+from maskflow.llm.textbytes import as_bytes, groups, span_hashes
 
 NEWLINE = ord("\n")
 
@@ -156,19 +156,6 @@ def store_lexicon(cuts: DataFrame, uri: str, bits: int, bytes_from: int) -> Shar
     return shards
 
 
-def span_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of adjoining spans, in slices."""
-    out = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):
-        base = int(starts[k])
-        stop = max(int(np.searchsorted(ends, base + SLICE, "right")), k + 1)
-        prefix = prefix_hash(text[base : ends[stop - 1]])
-        out[k:stop] = span_hash(prefix, starts[k:stop] - base, ends[k:stop] - base)
-        k = stop
-    return out
-
-
 class Encoder:
     """Encodes groups of texts by the mapped lexicon."""
 
@@ -222,9 +209,7 @@ class Encoder:
         for s, b, e in self.shards.runs(distinct):
             ks = np.flatnonzero(found[b:e]) + b
             if len(ks):
-                if ("ids", s) not in self.shards.open:
-                    self.shards.open["ids", s] = self.shards.store.read(f"{s}-ids")
-                pools.append((ks, self.shards.open["ids", s], at[ks]))
+                pools.append((ks, self.shards.array(s, "ids"), at[ks]))
         return found, pools, counts
 
 

@@ -133,7 +133,7 @@ def _training(docs: DataFrame, rule: HoldOut) -> DataFrame:
 
 def count_bigrams(split: DataFrame, uri: str, bits: int) -> DataFrame:
     """Write the bigram shards; returns the packed word statistics (shard, kind, keys, four counts), stored."""
-    layout, shards, by_word = Layout(bits), Shards(uri, bits, BIGRAMS), Shards(uri, bits, WORDS)
+    layout, shards, by_word = Layout(bits), Shards(uri, bits, BIGRAMS, "b"), Shards(uri, bits, WORDS)
 
     def emit(batches):
         import pyarrow as pa
@@ -179,8 +179,7 @@ def count_bigrams(split: DataFrame, uri: str, bits: int) -> DataFrame:
         keys = keys[order]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         first, counts = order[at], np.add.reduceat(counts[order], at)
-        shards.store.write(f"b{int(key[0].as_py())}-hash", keys[at])
-        shards.store.write(f"b{int(key[0].as_py())}-count", counts.astype(np.uint16) if counts.max() < 65536 else counts)
+        shards.write(int(key[0].as_py()), keys[at], counts.astype(np.uint16) if counts.max() < 65536 else counts)
         own = [(counts == k).astype(np.int64) for k in (1, 2)] + [(counts > 2).astype(np.int64)]
         rows = []
         # 0: contexts with their followers; 1: words with their counts and predecessors; 2: counts of counts
@@ -264,19 +263,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), found))
 
 
-class _BigramShards(Shards):
-    """Bigram shards have names of their own."""
-
-    def shard(self, shard: int):
-        if shard not in self.open:
-            self.open[shard] = tuple(self.store.read(f"b{shard}-{name}") for name in ("hash", *self.columns))
-        return self.open[shard]
-
-
 class Scorer:
     def __init__(self, uri: str, bits: int, totals: Totals):
         self.layout, self.totals = Layout(bits), totals
-        self.bigrams, self.words = _BigramShards(uri, bits, BIGRAMS), Shards(uri, bits, WORDS)
+        self.bigrams, self.words = Shards(uri, bits, BIGRAMS, "b"), Shards(uri, bits, WORDS)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, model score."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,9 @@ BROADCAST_BYTES = 32 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and set as checkpoint folder.
+    It is ``spark.checkpoint.dir``.  Where that is unset and the master is local
+    (tests on one machine) a temporary folder is made and set as checkpoint
+    folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -27,21 +29,60 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="maskflow-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Scratch folders that are still there, by application.
+_made: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in made:
+            made.remove(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every scratch folder of this application; for when its results are written."""
+    discard(spark, *list(_made.get(spark.sparkContext.applicationId, [])))
+
+
+class Shelf:
+    """Intermediate tables of one operator by name; a table that is put in another's place is deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written to the shared folder and read back."""
+        path = scratch(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        discard(self.spark, *[self.paths.pop(n) for n in names if n in self.paths])
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Shelf(df.sparkSession).put(label, df)
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -50,16 +91,17 @@ def stored_bytes(df: DataFrame) -> int:
     return int(stats.sizeInBytes())
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str = "left", bound: int = BROADCAST_BYTES) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, on, how: str = "left", bound: int = BROADCAST_BYTES, otherwise: str = "merge") -> DataFrame:
     """Join ``left`` with a stored ``right``.
 
     ``right`` is broadcast if its files are within ``bound``; beyond it both
-    sides are shuffled on the key, where adaptive execution splits hot keys.
+    sides are shuffled on the key, where adaptive execution splits hot keys: it
+    can as ``right`` is read from storage and not a grouping of the same stage.
     """
     # files are compressed, so the bound counts them four times over
     if stored_bytes(right) * 4 <= bound:
         return left.join(F.broadcast(right), on, how)
-    return left.join(right.hint("merge"), on, how)
+    return left.join(right.hint(otherwise), on, how)
 
 
 def local_path(uri: str) -> str | None:
@@ -67,3 +109,18 @@ def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return uri if uri.startswith("/") else None
+
+
+def release() -> None:
+    """Give a worker's freed memory back to the machine, as its next task may be of another kind."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
