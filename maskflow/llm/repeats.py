@@ -17,16 +17,21 @@ strings are judged on the input.
    the window that begins ``d`` bytes before the anchor if their suffixes agree
    for ``length - d`` bytes and their reversed parts for ``d``; neighbours' common
    prefixes give these classes for all ``d``, and all but the first of a class
-   are repeats.  An anchor's windows are dealt in a few parts by ``d``, and a task
-   sends a part with equal bytes once, so an anchor with very many surroundings
-   isn't one task's.
+   are repeats.  An anchor's windows are dealt in a few parts by ``d``, and each
+   part by the bytes that all its windows share, so an anchor with very many
+   surroundings is many groups; a task sends a part with equal bytes once.
 4. Repeated spans come back to their texts, merged.
 
+So equal whole runs are told by a 64-bit hash of their bytes, and the sorting
+decides where runs differ.  A text is known by its doc_id and a 64-bit hash of it.
+Tasks hold ``PIECE`` runs, then deal them out; a shard's runs are compared in
+groups of about ``COMPARED``.
+
 Texts travel neither whole nor in part but for the runs of step 3.  Defined
 results: null texts are empty; rows that repeat doc_id and text are one text and
 get equal results; rows with equal doc_id and different texts are ordered by a
-hash of the text, null doc_ids come last; an empty table gives an empty table;
-other columns aren't read by :func:`repeats`.
+hash of the text, and so are those with a null doc_id, which come last; an empty
+table gives an empty table; other columns aren't read by :func:`repeats`.
 """
 
 from __future__ import annotations
@@ -39,15 +44,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskflow.llm.arraystore import shard_bits
-from maskflow.llm.shared import sized_join, stored
+from maskflow.llm.shared import Shelf, release
 from maskflow.llm.suffixes import sort_strings
 from maskflow.llm.textbytes import as_bytes, mix, powers, prefix_hash, span_hash
 
 LAST = (1 << 63) - 1  # stands for a null doc_id
-SLICE = 2 << 20
+SLICE = 512 << 10
 #: Runs that a task gathers before it deals them out.
-PIECE = 1_000_000
-COLUMNS = (("anchor", np.uint64), ("run", np.uint64), ("doc", np.int64), ("text", np.uint32), ("start", np.int64), ("windows", np.uint8))
+PIECE = 250_000
+#: Parts of runs, bytes and all, that a task gathers before it deals them out.
+PARTS = 50_000
+#: Runs whose bytes are sorted at once; more only where one group has more.
+COMPARED = 16_384
+COLUMNS = (("anchor", np.uint64), ("run", np.uint64), ("doc", np.int64), ("text", np.int64), ("start", np.int64), ("windows", np.uint8))
 
 
 @dataclass(frozen=True)
@@ -59,10 +68,6 @@ class RepeatRule:
     parts: int = 4
 
 
-def text_mark(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little")
-
-
 def runs_of(text: np.ndarray, rule: RepeatRule) -> tuple[np.ndarray, ...]:
     """(anchor hash, run hash, start, windows, anchor place) of the runs of a text, slice by slice."""
     parts = [_runs(text[b : b + SLICE + rule.length - 1], b, rule) for b in range(0, max(len(text) - rule.length + 1, 0), SLICE)]
@@ -92,18 +97,21 @@ def _runs(text: np.ndarray, base: int, rule: RepeatRule) -> tuple[np.ndarray, ..
     return grams[at], span_hash(prefix, begin, begin + windows + rule.length - 1), begin + base, windows, at + base
 
 
+FIELDS = 7
+
+
 def _packed(shard: int, kind: int, *arrays: np.ndarray):
-    return [shard, kind, *[a.tobytes() for a in arrays]]
+    return [shard, kind, *[a.tobytes() for a in arrays], *[b""] * (FIELDS - len(arrays))]
 
 
-PACKED = "shard int, kind int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary"
+PACKED = "shard int, kind int, " + ", ".join(f"c{i} binary" for i in range(FIELDS))
 
 
 def _batch(rows):
     import pyarrow as pa
 
-    schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *[(f"c{i}", pa.binary()) for i in range(6)]])
-    columns = list(zip(*rows)) or [[]] * 8
+    schema = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *[(f"c{i}", pa.binary()) for i in range(FIELDS)]])
+    columns = list(zip(*rows)) or [[]] * (FIELDS + 2)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
@@ -117,17 +125,16 @@ def _top(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def _by_text(kind: int, bits: int, doc, text, start, windows, anchor=None):
+def _by_text(kind: int, bits: int, doc, text, start, windows):
     """Rows of spans dealt by text: shards beyond the anchors' own."""
     if not len(doc):
         return
-    anchor = np.zeros(len(doc), np.uint64) if anchor is None else anchor
-    shard = _top(mix(doc.view(np.uint64) ^ mix(text.astype(np.uint64))), bits) + (1 << bits)
+    shard = _top(mix(doc.view(np.uint64) ^ mix(text.view(np.uint64))), bits) + (1 << bits)
     order = np.argsort(shard, kind="stable")
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
     for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         o = order[b:e]
-        yield _packed(int(shard[o[0]]), kind, doc[o], text[o], start[o], windows[o], anchor[o], np.zeros(0, np.uint8))
+        yield _packed(int(shard[o[0]]), kind, doc[o], text[o], start[o], windows[o])
 
 
 def _firsts(anchor, run, doc, text, start, windows):
@@ -169,20 +176,22 @@ def deal_runs(docs: DataFrame, rule: RepeatRule, bits: int) -> DataFrame:
                 yield _batch(rows[b : b + 256])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 if len(text) < rule.length:
                     continue
                 anchor, run, start, windows, _ = runs_of(np.frombuffer(text, np.uint8), rule)
                 m = len(anchor)
-                held.append([anchor, run, np.full(m, LAST if doc is None else doc), np.full(m, text_mark(text), np.uint32), start, windows.astype(np.uint8)])
+                held.append([anchor, run, np.full(m, doc), np.full(m, mark), start, windows.astype(np.uint8)])
                 n += m
                 if n >= PIECE:
                     yield from flush()
                     held, n = [], 0
         if held:
             yield from flush()
+        held = []
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(emit, PACKED)
+    return docs.mapInArrow(emit, PACKED)
 
 
 def _joined(table, kind: int, kinds) -> list[np.ndarray]:
@@ -192,7 +201,7 @@ def _joined(table, kind: int, kinds) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(chosen.column(f"c{i}").to_pylist()), t) for i, t in enumerate(kinds)]
 
 
-SPAN_KINDS = (np.int64, np.uint32, np.int64, np.uint8, np.uint64)
+SPAN_KINDS = (np.int64, np.int64, np.int64, np.uint8)
 
 
 def resolve(dealt: DataFrame, bits: int) -> DataFrame:
@@ -209,20 +218,23 @@ def resolve(dealt: DataFrame, bits: int) -> DataFrame:
         group = np.cumsum(new) - 1
         several = np.bincount(group)[group] > 1
         _, _, doc, text, start, windows = [c[several] for c in firsts]
-        return _table(rows + list(_by_text(2, bits, doc, text, start, windows, anchor[several])))
+        return _table(rows + list(_by_text(2, bits, doc, text, start, windows)))
 
     return dealt.groupBy("shard").applyInArrow(gather, PACKED)
 
 
+SPANS = "doc bigint, mark bigint, starts binary, ends binary"
+
+
 def per_text(spans: DataFrame, kind: int, rule: RepeatRule) -> DataFrame:
-    """(doc, spans): for each doc_id its texts' marks and spans; merged byte spans for kind 1, runs as they are for kind 2."""
+    """(doc, mark, starts, ends) of each text with any: merged byte spans for kind 1, runs as they are for kind 2."""
 
     def gather(key, table):
         import pyarrow as pa
 
-        doc, text, start, windows, anchor = _joined(table, kind, SPAN_KINDS)
+        doc, text, start, windows = _joined(table, kind, SPAN_KINDS)
         order = np.lexsort((start, text, doc))
-        doc, text, start, anchor = doc[order], text[order], start[order], anchor[order]
+        doc, text, start = doc[order], text[order], start[order]
         end = start + windows[order].astype(np.int64) + (rule.length - 1)
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]) if len(doc) else np.zeros(0, bool)
         if kind == 1 and len(doc):
@@ -234,41 +246,38 @@ def per_text(spans: DataFrame, kind: int, rule: RepeatRule) -> DataFrame:
             apart[1:] |= start[1:] > reach[:-1]
             at = np.flatnonzero(apart)
             last = np.append(at[1:], len(doc)) - 1
-            doc, text, start, end, anchor, new = doc[at], text[at], start[at], reach[last], anchor[at], new[at]
+            doc, text, start, end, new = doc[at], text[at], start[at], reach[last], new[at]
         cuts = np.append(np.flatnonzero(new), len(doc))
         found = [
-            {"doc": int(doc[b]), "text": int(text[b]), "starts": start[b:e].tobytes(), "ends": end[b:e].tobytes(), "anchors": anchor[b:e].tobytes() if kind == 2 else b""}
+            {"doc": int(doc[b]), "mark": int(text[b]), "starts": start[b:e].tobytes(), "ends": end[b:e].tobytes()}
             for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())
         ]
-        return pa.Table.from_pylist(found, schema=pa.schema([("doc", pa.int64()), ("text", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("anchors", pa.binary())]))
+        return pa.Table.from_pylist(found, schema=pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())]))
 
-    each = spans.filter(F.col("kind") == kind).groupBy("shard").applyInArrow(gather, "doc bigint, text bigint, starts binary, ends binary, anchors binary")
-    return each.groupBy("doc").agg(F.collect_list(F.struct("text", "starts", "ends", "anchors")).alias("spans"))
+    return spans.filter(F.col("kind") == kind).groupBy("shard").applyInArrow(gather, SPANS)
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
-    # both grow with the texts: they are shuffled at every size
-    return sized_join(keyed, spans, "doc", how, bound=0).select("doc_id", "text", "spans")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, mark, text): a text is known by its doc_id and a hash of it."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def _own(spans, text: bytes):
-    if spans:
-        mark = text_mark(text)
-        for s in spans:
-            if s["text"] == mark:
-                return s
-    return None
+def _with_spans(keyed: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    # both grow with the texts: they are shuffled at every size, the spans being what a task holds
+    return keyed.join(spans.hint("shuffle_hash"), ["doc", "mark"], how)
 
 
-def compare_runs(docs: DataFrame, needed: DataFrame, rule: RepeatRule, bits: int) -> DataFrame:
+def compare_runs(keyed: DataFrame, needed: DataFrame, rule: RepeatRule, bits: int) -> DataFrame:
     """Spans by text (kind 1) that the sorted first runs of shared anchors show to be repeats."""
 
     behind = rule.length - rule.gram
     cuts = [-(-(behind + 1) * k // rule.parts) for k in range(rule.parts + 1)]
 
     def fetch(batches):
-        # (part's hash, bytes) -> the places that have them
+        import xxhash
+
+        # (hash of the bytes that a part's windows share, bytes) -> the places that have them
         held: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}
         n = 0
 
@@ -278,59 +287,68 @@ def compare_runs(docs: DataFrame, needed: DataFrame, rule: RepeatRule, bits: int
             for (key, own), places in held.items():
                 places = sorted(set(places))
                 again += [(*at[:3], len(own) - rule.length + 1) for at in places[1:]]
-                doc, mark, start, place = places[0]
-                rows.setdefault(key >> (64 - bits), []).append((doc, mark, start, place, own))
+                rows.setdefault(key >> (64 - bits), []).append((*places[0], key, own))
             out = []
             for shard, found in rows.items():
-                numbers = [np.array(c, np.int64) for c in list(zip(*found))[:4]]
-                sizes = np.fromiter((len(f[4]) for f in found), np.int64, len(found))
-                out.append(_packed(shard, 0, *numbers, sizes) + [b"".join(f[4] for f in found)])
+                doc, mark, start, place, key, own = zip(*found)
+                sizes = np.fromiter(map(len, own), np.uint8, len(own))
+                numbers = [np.array(c, np.int64) for c in (doc, mark, start)]
+                out.append(_packed(shard, 0, *numbers, np.array(place, np.uint8), sizes, np.array(key, np.uint64)))
+                out[-1][-1] = b"".join(own)
             if again:
                 doc, mark, start, windows = (np.array(c, np.int64) for c in zip(*again))
-                out += list(_by_text(1, bits, doc, mark.astype(np.uint32), start, windows.astype(np.uint8)))
+                out += list(_by_text(1, bits, doc, mark, start, windows.astype(np.uint8)))
             for b in range(0, len(out), 256):
                 yield _batch(out[b : b + 256])
 
         for batch in batches:
-            for doc, text, spans in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                own = _own(spans, text)
-                if own is None:
-                    continue
-                doc, mark = LAST if doc is None else doc, own["text"]
-                starts, ends, anchors = (np.frombuffer(own[c], t) for c, t in (("starts", np.int64), ("ends", np.int64), ("anchors", np.uint64)))
+            columns = [batch.column(c) for c in ("doc", "mark", "text", "starts", "ends")]
+            for doc, mark, text, starts, ends in zip(columns[0].to_pylist(), columns[1].to_pylist(), as_bytes(columns[2]), columns[3].to_pylist(), columns[4].to_pylist()):
+                starts, ends = np.frombuffer(starts, np.int64), np.frombuffer(ends, np.int64)
                 place = anchor_places(np.frombuffer(text, np.uint8), starts, ends, rule)
                 for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
                     # the part's windows begin from ``low`` to before ``high`` bytes ahead of the anchor
                     first = np.maximum(starts, place - high + 1)
                     last = np.minimum(ends - rule.length, place - low)
                     part = np.flatnonzero(first <= last)
-                    keys = mix(anchors[part] ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-                    for key, f, e, p in zip(keys.tolist(), first[part].tolist(), last[part].tolist(), place[part].tolist()):
+                    for f, e, p in zip(first[part].tolist(), last[part].tolist(), place[part].tolist()):
+                        key = xxhash.xxh3_64_intdigest(text[p - low : p - high + 1 + rule.length], k)
                         held.setdefault((key, text[f : e + rule.length]), []).append((doc, mark, f, p - f))
-                        n += 1
-            if n >= PIECE // 8:
-                yield from flush()
-                held.clear()
-                n = 0
+                    n += len(part)
+                if n >= PARTS:
+                    yield from flush()
+                    held.clear()
+                    n = 0
         if n:
             yield from flush()
+        held.clear()
+        release()
 
     def gather(key, table):
         if key[0].as_py() >= 1 << bits:
             return table
-        doc, text, start, place, size = _joined(table, 0, (np.int64,) * 5)
-        blob = np.frombuffer(b"".join(table.column("c5").to_pylist()), np.uint8)
+        doc, text, start, place, size, group = _joined(table, 0, (np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint64))
+        place, size = place.astype(np.int64), size.astype(np.int64)
+        blob = np.frombuffer(b"".join(table.column("c6").to_pylist()), np.uint8)
         begin = np.cumsum(size) - size
         # a row that repeats doc_id and text brings its runs again
-        order = np.lexsort((start, text, doc))
+        order = np.lexsort((start, text, doc, group))
         again = np.zeros(len(order), bool)
         a, b = order[1:], order[:-1]
         again[1:] = (doc[a] == doc[b]) & (text[a] == text[b]) & (start[a] == start[b])
-        doc, text, start, place, size, begin = (c[order[~again]] for c in (doc, text, start, place, size, begin))
-        k, at = repeated_windows(doc, text, start, place, size, begin, blob, rule)
-        return _table(list(_by_text(1, bits, doc[k], text[k].astype(np.uint32), at, np.ones(len(k), np.uint8))))
-
-    fetched = _with_spans(docs, needed, "inner").mapInArrow(fetch, PACKED)
+        order = order[~again]
+        rows = []
+        seams = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(order))
+        at = 0
+        while at < len(order):
+            stop = int(seams[np.searchsorted(seams, min(at + COMPARED, len(order)))])
+            own = order[at:stop]
+            k, where = repeated_windows(doc[own], text[own], start[own], place[own], size[own], begin[own], blob, rule)
+            rows += _by_text(1, bits, doc[own][k], text[own][k], where, np.ones(len(k), np.uint8))
+            at = stop
+        return _table(rows)
+
+    fetched = _with_spans(keyed, needed, "inner").mapInArrow(fetch, PACKED)
     return fetched.groupBy("shard").applyInArrow(gather, PACKED)
 
 
@@ -348,9 +366,13 @@ def repeated_windows(doc, text, start, place, size, begin, blob, rule: RepeatRul
     behind = length - rule.gram  # most bytes before an anchor
 
     def matrix(first, step, count, width):
-        grid = first[:, None] + step * np.arange(width)
-        inside = np.arange(width) < count[:, None]
-        return np.where(inside, blob[np.where(inside, grid, 0)], 0).astype(np.uint8)
+        out = np.zeros((n, width), np.uint8)
+        for b in range(0, n, 2048):
+            part = slice(b, b + 2048)
+            inside = np.arange(width) < count[part, None]
+            grid = first[part, None] + step * np.arange(width)
+            out[part][inside] = blob[grid[inside]]
+        return out
 
     suffix = matrix(begin + place, 1, np.minimum(size - place, length), length)
     before = matrix(begin + place - 1, -1, np.minimum(place, behind), behind)
@@ -378,43 +400,44 @@ def repeated_windows(doc, text, start, place, size, begin, blob, rule: RepeatRul
     return np.concatenate(out_k), np.concatenate(out_at)
 
 
-def repeated_spans(docs: DataFrame, rule: RepeatRule = RepeatRule()) -> DataFrame:
-    """(doc, spans): merged spans of repeated bytes for each doc_id that has any."""
-    docs = docs.select("doc_id", "text")
-    bits = shard_bits(docs.rdd.getNumPartitions())
-    spans = stored(resolve(deal_runs(docs, rule, bits), bits), "spans")
-    needed = stored(per_text(spans, 2, rule), "needed-runs")
-    compared = compare_runs(docs, needed, rule, bits)
-    both = spans.filter("kind = 1").unionByName(compared)
-    return stored(per_text(both, 1, rule), "repeated-spans")
+def repeated_spans(keyed: DataFrame, bits: int, rule: RepeatRule = RepeatRule()) -> DataFrame:
+    """(doc, mark, starts, ends): merged spans of repeated bytes for each text that has any."""
+    shelf = Shelf(keyed.sparkSession)
+    spans = shelf.put("spans", resolve(deal_runs(keyed, rule, bits), bits))
+    needed = shelf.put("needed-runs", per_text(spans, 2, rule))
+    compared = shelf.put("compared-runs", compare_runs(keyed, needed, rule, bits))
+    shelf.drop("needed-runs")
+    done = shelf.put("repeated-spans", per_text(spans.filter("kind = 1").unionByName(compared), 1, rule))
+    shelf.drop("spans", "compared-runs")
+    return done
 
 
-def cut(text: bytes, spans) -> tuple[bytes, int, int]:
+def cut(text: bytes, starts: bytes | None, ends: bytes | None) -> tuple[bytes, int, int]:
     """(bytes that stay, removed bytes, removed spans)."""
-    own = _own(spans, text)
-    if own is None:
+    if starts is None:
         return text, 0, 0
-    starts, ends = np.frombuffer(own["starts"], np.int64).tolist(), np.frombuffer(own["ends"], np.int64).tolist()
+    begins, stops = np.frombuffer(starts, np.int64).tolist(), np.frombuffer(ends, np.int64).tolist()
     kept, at = [], 0
-    for s, e in zip(starts, ends):
+    for s, e in zip(begins, stops):
         kept.append(text[at:s])
         at = e
-    return b"".join(kept) + text[at:], sum(ends) - sum(starts), len(starts)
+    return b"".join(kept) + text[at:], sum(stops) - sum(begins), len(begins)
 
 
 def repeats(docs: DataFrame, rule: RepeatRule = RepeatRule(), with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; null without ``with_bytes``)."""
-    spans = repeated_spans(docs, rule)
+    keyed = _keyed(docs)
+    spans = repeated_spans(keyed, shard_bits(docs.rdd.getNumPartitions()), rule)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            done = [cut(t, s) for t, s in zip(texts, batch.column(2).to_pylist())]
+            texts = as_bytes(batch.column("text"))
+            done = [cut(*x) for x in zip(texts, batch.column("starts").to_pylist(), batch.column("ends").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    batch.column("doc_id"),
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array([r for _, r, _ in done], pa.int64()),
                     pa.array([n for _, _, n in done], pa.int64()),
@@ -423,7 +446,9 @@ def repeats(docs: DataFrame, rule: RepeatRule = RepeatRule(), with_bytes: bool =
                 ],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
+        release()
 
-    return _with_spans(docs.select("doc_id", "text"), spans, "left").mapInArrow(
+    doc_id = F.nullif("doc", F.lit(LAST)).alias("doc_id")
+    return _with_spans(keyed, spans, "left").select(doc_id, "text", "starts", "ends").mapInArrow(
         run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
