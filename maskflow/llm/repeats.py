@@ -11,6 +11,9 @@ strings are judged on the input.
 2. Runs are dealt by anchor as packed arrays.  Equal runs (by hash of all their
    bytes) are repeats but for the first; a task drops its own repeats before
    they are shuffled, so a passage of a third of all texts sends one run a task.
+   Where a task has very many different runs of one anchor, it deals all but two
+   of them by run: those two tell the anchor's shard that there are several, and
+   equal runs that so come to different shards meet in step 3.
 3. Where an anchor has several different runs, the first of each are sorted: the
    suffixes that begin at the anchor, and the reversed bytes before it, by
    multikey quicksort to a shallow depth and blind tries below it.  Two runs share
@@ -52,6 +55,8 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 SLICE = 512 << 10
 #: Runs that a task gathers before it deals them out.
 PIECE = 250_000
+#: Runs of one anchor that a task deals by anchor, if it has no more.
+MANY = 16
 #: Parts of runs, bytes and all, that a task gathers before it deals them out.
 PARTS = 50_000
 #: Runs whose bytes are sorted at once; more only where one group has more.
@@ -158,7 +163,7 @@ def _repeated(columns, first):
 
 
 def deal_runs(docs: DataFrame, rule: RepeatRule, bits: int) -> DataFrame:
-    """Packed runs by anchor (kind 0), and spans found to be repeats within a task by text (kind 1)."""
+    """Packed runs by anchor (kind 0) or, of an anchor with many, by run (kind 3), and spans found to be repeats within a task by text (kind 1)."""
 
     def emit(batches):
         held: list[list[np.ndarray]] = []
@@ -168,10 +173,18 @@ def deal_runs(docs: DataFrame, rule: RepeatRule, bits: int) -> DataFrame:
             columns, first = _firsts(*[np.concatenate(c) for c in zip(*held)])
             rows = list(_by_text(1, bits, *_repeated(columns, first)))
             kept = [c[first] for c in columns]
-            shard = _top(kept[0], bits)  # in order, as the anchors are
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-            for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                rows.append(_packed(int(shard[b]), 0, *[c[b:e] for c in kept]))
+            begin = np.flatnonzero(np.concatenate([[True], kept[0][1:] != kept[0][:-1]]))
+            size = np.diff(np.append(begin, len(kept[0])))
+            by_run = (np.repeat(size, size) > MANY) & (np.arange(len(kept[0])) - np.repeat(begin, size) > 1)
+            for kind, chosen in ((0, ~by_run), (3, by_run)):
+                own = [c[chosen] for c in kept]
+                shard = _top(mix(own[1]) if kind else own[0], bits)
+                order = np.argsort(shard, kind="stable")
+                shard = shard[order]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+                for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if b < e:
+                        rows.append(_packed(int(shard[b]), kind, *[c[order[b:e]] for c in own]))
             for b in range(0, len(rows), 256):
                 yield _batch(rows[b : b + 256])
 
@@ -210,15 +223,18 @@ def resolve(dealt: DataFrame, bits: int) -> DataFrame:
     def gather(key, table):
         if key[0].as_py() >= 1 << bits:
             return table
-        columns, first = _firsts(*_joined(table, 0, [t for _, t in COLUMNS]))
-        rows = list(_by_text(1, bits, *_repeated(columns, first)))
-        firsts = [c[first] for c in columns]
-        anchor = firsts[0]
-        new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        _, _, doc, text, start, windows = [c[several] for c in firsts]
-        return _table(rows + list(_by_text(2, bits, doc, text, start, windows)))
+        rows = []
+        for kind in (0, 3):
+            columns, first = _firsts(*_joined(table, kind, [t for _, t in COLUMNS]))
+            rows += _by_text(1, bits, *_repeated(columns, first))
+            firsts = [c[first] for c in columns]
+            anchor = firsts[0]
+            several = np.ones(len(anchor), bool)
+            if kind == 0 and len(anchor):
+                group = np.cumsum(np.concatenate([[True], anchor[1:] != anchor[:-1]])) - 1
+                several = np.bincount(group)[group] > 1
+            rows += _by_text(2, bits, *[c[several] for c in firsts[2:]])
+        return _table(rows)
 
     return dealt.groupBy("shard").applyInArrow(gather, PACKED)
 
