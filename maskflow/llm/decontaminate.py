@@ -7,13 +7,16 @@ longest stretch of words, ending there, that occurs in an item.  A stretch of
 window each.  Words that no item holds send the automaton back to its start, so
 only runs of item words that are long enough are streamed.
 
-The item table is a fixed list held by every worker.  Its size is checked: beyond
-``bound`` bytes it is worked through in blocks, one automaton at a time.
+The items' bytes are added up in Spark before anything is fetched.  Up to
+``bound`` of them are broadcast.  Beyond it tasks write the items to the shared
+folder in blocks of about ``block_bytes``; a task then gathers texts up to
+``HELD_BYTES``, and streams them through one block's automaton after the other, so
+an automaton is built once for each such load and only one is held at a time.
 
 Defined results: null texts have no words; items without words are never found;
-items that are null or repeated count by their item_id (a null item_id is left
-out of the digest and the count); empty tables give no hits or no rows; further
-columns aren't read by :func:`contamination` and pass through
+repeated items count once by their item_id; a null item_id marks words like any
+other, but is left out of the list of items; empty tables give no hits or no rows;
+further columns aren't read by :func:`contamination` and pass through
 :func:`remove_contaminated` unchanged.
 """
 
@@ -27,10 +30,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskflow.llm.arraystore import ArrayStore
+from maskflow.llm.shared import scratch, whole_number
 from maskflow.llm.textbytes import ALNUM, as_bytes, word_spans
 
-#: Bytes of item text in one automaton.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item text in one automaton, which takes some 300 times as many.
+BLOCK_BYTES = 512 << 10
+#: Bytes of item text that are broadcast at most.
+BOUND = 512 << 10
+#: Bytes of texts that a task gathers where there are several blocks.
+HELD_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -50,8 +59,8 @@ class Automaton:
         self.step: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.owners: list[set] = [set()]
-        self.whole: list[list[tuple[int, object]]] = [[]]
+        self.whole: dict[int, list[tuple[int, object]]] = {}
+        ended: dict[int, list] = {}  # the items with a word sequence from their start that leads here
         self.least = window
         for key, words in items:
             if not words:
@@ -60,22 +69,44 @@ class Automaton:
             at = 0
             for w in words:
                 at = self._extend(at, self.numbers.setdefault(w, len(self.numbers) + 1))
-                self.owners[at].add(key)
+                own = ended.setdefault(at, [])
+                if not own or own[-1] != key:
+                    own.append(key)
             if len(words) < window:
-                self.whole[at].append((len(words), key))
-        by_length = sorted(range(1, len(self.step)), key=self.length.__getitem__)
-        for s in reversed(by_length):  # a state's shorter suffixes occur wherever it does
-            self.owners[self.link[s]] |= self.owners[s]
-        for s in by_length:
-            self.whole[s] = self.whole[s] + self.whole[self.link[s]]
+                self.whole.setdefault(at, []).append((len(words), key))
+        # a state's shorter suffixes occur wherever it does: in the tree of links an
+        # item ends in a state's part of the walk if the state occurs in it
+        below: dict[int, list[int]] = {}
+        for s in range(1, len(self.step)):
+            below.setdefault(self.link[s], []).append(s)
+        self.walk: list = []
+        self.first = [0] * len(self.step)
+        self.last = [0] * len(self.step)
+        stack = [(0, False)]
+        while stack:
+            s, done = stack.pop()
+            if done:
+                self.last[s] = len(self.walk)
+                continue
+            self.first[s] = len(self.walk)
+            self.walk += ended.get(s, ())
+            if s and (above := self.whole.get(self.link[s])):
+                self.whole[s] = self.whole.get(s, []) + above
+            stack.append((s, True))
+            stack += [(x, False) for x in below.get(s, ())]
+        self.known: dict[int, frozenset] = {}
+
+    def owners(self, s: int) -> frozenset:
+        """The items that hold a state's words."""
+        if s not in self.known:
+            self.known[s] = frozenset(self.walk[self.first[s] : self.last[s]])
+        return self.known[s]
 
     def _copy(self, p: int, c: int, q: int) -> int:
         new = len(self.step)
         self.step.append(dict(self.step[q]))
         self.length.append(self.length[p] + 1)
         self.link.append(self.link[q])
-        self.owners.append(set())
-        self.whole.append([])
         self.link[q] = new
         while p >= 0 and self.step[p].get(c) == q:
             self.step[p][c] = new
@@ -90,8 +121,6 @@ class Automaton:
         self.step.append({})
         self.length.append(self.length[last] + 1)
         self.link.append(0)
-        self.owners.append(set())
-        self.whole.append([])
         p = last
         while p >= 0 and c not in self.step[p]:
             self.step[p][c] = new
@@ -130,12 +159,11 @@ class Automaton:
                 s = state
                 while length[link[s]] >= window:  # the state of the last ``window`` words
                     s = link[s]
-                found |= self.owners[s]
-            if whole[state]:
-                for n, key in whole[state]:
-                    if n <= matched:
-                        spans.append((i + 1 - n, i + 1))
-                        found.add(key)
+                found |= self.owners(s)
+            for n, key in whole.get(state, ()):
+                if n <= matched:
+                    spans.append((i + 1 - n, i + 1))
+                    found.add(key)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -149,50 +177,113 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def item_blocks(items: list[tuple[object, bytes]], block_bytes: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    block, held = [], 0
-    for key, text in items:
-        if block and held + len(text) > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((key, text.translate(ALNUM).split()))
-        held += len(text)
-    if block:
-        yield block
-
-
-_automata: dict = {}
-
+class Items:
+    """The items as blocks: a single broadcast one, or arrays in the shared folder."""
 
-def _automata_for(key: str, items, rule: ContaminationRule, block_bytes: int) -> Iterator[Automaton]:
-    """The automata of all blocks; kept by the worker under ``key`` if there is one block."""
-    if key not in _automata:
-        blocks = list(item_blocks(items, block_bytes))
-        if len(blocks) > 1:
-            for block in blocks:
-                yield Automaton(block, rule.window)
+    def __init__(self, benchmark: DataFrame, rule: ContaminationRule, block_bytes: int, bound: int):
+        spark = benchmark.sparkSession
+        texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "utf-8").alias("text")).filter("text IS NOT NULL")
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.rule, self.key, self.shared, self.uri, self.blocks = rule, uuid.uuid4().hex, None, None, 1
+        if size <= bound:
+            self.shared = spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in texts.collect()])
+        else:
+            self.uri, self.blocks = scratch(spark, "benchmark-items"), -(-size // block_bytes)
+            self._write(texts)
+
+    def _write(self, texts: DataFrame) -> None:
+        uri, blocks = self.uri, self.blocks
+
+        def write(key, table):
+            import pyarrow as pa
+
+            store, block = ArrayStore(uri), int(key[0].as_py())
+            items, bodies = table.column("item").to_pylist(), [bytes(t) for t in table.column("text").to_pylist()]
+            names = [b"" if x is None else b"=" + x.encode() for x in items]
+            for name, parts in (("text", bodies), ("item", names)):
+                store.write(f"{block}-{name}", np.frombuffer(b"".join(parts), np.uint8))
+                store.write(f"{block}-{name}-ends", np.cumsum([len(p) for p in parts], dtype=np.int64))
+            return pa.table({"n": pa.array([len(items)], pa.int64())})
+
+        dealt = texts.select(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int").alias("block"), "item", "text")
+        dealt.groupBy("block").applyInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+    def automata(self) -> Iterator[Automaton]:
+        """One block's after the other; a single one is kept by the worker."""
+        if self.shared is not None:
+            if self.key not in _automata:
+                _automata.clear()
+                _automata[self.key] = Automaton([(k, t.translate(ALNUM).split()) for k, t in self.shared.value], self.rule.window)
+            yield _automata[self.key]
             return
-        _automata.clear()
-        _automata[key] = [Automaton(b, rule.window) for b in blocks]
-    yield from _automata[key]
-
-
-def _items(benchmark: DataFrame) -> list[tuple[object, bytes]]:
-    """The stated test items: a fixed list, as (item_id, UTF-8 text)."""
-    rows = benchmark.select("item_id", F.encode("text", "utf-8").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").collect()
-    return [(r["item_id"], bytes(r["text"])) for r in rows]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule = ContaminationRule(), keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        store = ArrayStore(self.uri)
+
+        def parts(name):
+            blob, ends = store.read(name), store.read(f"{name}-ends")
+            if ends is not None:
+                begin = 0
+                for end in ends.tolist():
+                    yield blob[begin:end].tobytes()
+                    begin = end
+
+        for block in range(self.blocks):
+            items = [(k[1:].decode() if k else None, t.translate(ALNUM).split()) for k, t in zip(parts(f"{block}-item"), parts(f"{block}-text"))]
+            if items:
+                BUILT[self.key] = BUILT.get(self.key, 0) + 1
+                yield Automaton(items, self.rule.window)
+
+    def loads(self, batches, column: int):
+        """(batch, its texts' words, merged hit spans, found items), as many batches at a time as may be held."""
+        held, size = [], 0
+        for batch in batches:
+            texts = as_bytes(batch.column(column))
+            held.append((batch, texts))
+            size += sum(map(len, texts))
+            if self.shared is not None or size >= HELD_BYTES:
+                yield from self._matched(held)
+                held, size = [], 0
+        yield from self._matched(held)
+
+    def _matched(self, held):
+        if held:
+            spans, found = self.hits([t for _, texts in held for t in texts])
+            at = 0
+            for batch, texts in held:
+                yield batch, texts, spans[at : at + len(texts)], found[at : at + len(texts)]
+                at += len(texts)
+
+    def hits(self, texts: list[bytes]) -> tuple[list[list[tuple[int, int]]], list[set]]:
+        """Merged hit spans and found items of each text."""
+        spans, found = [[] for _ in texts], [set() for _ in texts]
+        for automaton in self.automata():
+            for k, text in enumerate(texts):
+                s, f = automaton.stream(text.translate(ALNUM).split())
+                spans[k] += s
+                found[k] |= f
+        return [merged(s) for s in spans], found
+
+
+_automata: dict[str, Automaton] = {}
+#: How many automata of blocks this worker has built.
+BUILT: dict[str, int] = {}
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    rule: ContaminationRule = ContaminationRule(),
+    keep: list[str] | None = None,
+    block_bytes: int = BLOCK_BYTES,
+    bound: int = BOUND,
+) -> DataFrame:
     """One row per document: the columns in ``keep``, n_words, n_hit, items (found item_ids as strings, sorted), spans, contaminated."""
     from pyspark.sql import types as T
 
     keep = ["doc_id"] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
-    key = uuid.uuid4().hex
-    source = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    items = Items(benchmark, rule, block_bytes, bound)
+    source = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     out = T.StructType(
-        [T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+        [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
         + [
             T.StructField("n_words", T.LongType()),
             T.StructField("n_hit", T.LongType()),
@@ -205,30 +296,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule
     def run(batches):
         import pyarrow as pa
 
-        items = shared.value
-        for batch in batches:
-            split = [t.translate(ALNUM).split() for t in as_bytes(batch.column("_text"))]
-            spans = [[] for _ in split]
-            found = [set() for _ in split]
-            for automaton in _automata_for(key, items, rule, block_bytes):
-                for k, words in enumerate(split):
-                    s, f = automaton.stream(words)
-                    spans[k] += s
-                    found[k] |= f
-            spans = [merged(s) for s in spans]
-            n_words = [len(w) for w in split]
+        for batch, texts, spans, found in items.loads(batches, 0):
+            n_words = [len(t.translate(ALNUM).split()) for t in texts]
             n_hit = [sum(e - b for b, e in s) for s in spans]
-            columns = [batch.column(f"_k{i}") for i in range(len(keep))] + [
+            columns = batch.columns[1:] + [
                 pa.array(n_words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
-                pa.array([sorted(map(str, f)) for f in found], pa.list_(pa.string())),
+                pa.array([sorted(f - {None}) for f in found], pa.list_(pa.string())),
                 pa.array([[list(x) for x in s] for s in spans], pa.list_(pa.list_(pa.int64()))),
-                pa.array([h > 0 and rule.share * h >= n for h, n in zip(n_hit, n_words)]),
+                pa.array([h > 0 and rule.share * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out.fields])
 
     done = source.mapInArrow(run, out)
-    return done.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items", "spans", "contaminated")
+    return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", "items", "spans", "contaminated")
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -241,53 +322,43 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + text[at:]
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule = ContaminationRule(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, rule: ContaminationRule = ContaminationRule(), block_bytes: int = BLOCK_BYTES, bound: int = BOUND
+) -> DataFrame:
     """``docs`` without its contaminated rows; from the texts of the others the hit spans are cut.
 
     Spans that only come about where a cut joins two parts are cut as well.
-    ``n_chars``, if there, follows a text that changes; other columns stay as they came.
+    ``n_chars``, if there as a whole number, follows a text that changes; other
+    columns stay as they came.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
-    key = uuid.uuid4().hex
+    items = Items(benchmark, rule, block_bytes, bound)
     names = docs.columns
     at = names.index("text")
+    counted = whole_number(docs, "n_chars")
 
     def run(batches):
         import pyarrow as pa
 
-        items = shared.value
-
-        def hits(texts):
-            """Words and merged hit spans of each text."""
-            split = [t.translate(ALNUM).split() for t in texts]
-            spans = [[] for _ in split]
-            for automaton in _automata_for(key, items, rule, block_bytes):
-                for k, words in enumerate(split):
-                    spans[k] += automaton.stream(words)[0]
-            return [len(w) for w in split], [merged(s) for s in spans]
-
-        for batch in batches:
-            texts = [bytes(t) for t in as_bytes(batch.column(at))]
-            n_words, spans = hits(texts)
+        for batch, texts, spans, _ in items.loads(batches, at):
+            n_words = [len(t.translate(ALNUM).split()) for t in texts]
             n_hit = [sum(e - b for b, e in s) for s in spans]
             keep = [not (h > 0 and rule.share * h >= n) for h, n in zip(n_hit, n_words)]
             cut: dict[int, bytes] = {}
             left = {k: spans[k] for k in range(len(texts)) if keep[k] and spans[k]}
             while left:
                 cut |= {k: without_spans(cut.get(k, texts[k]), s) for k, s in left.items()}
-                left = {k: s for k, s in zip(left, hits([cut[k] for k in left])[1]) if s}
+                left = {k: s for k, s in zip(left, items.hits([cut[k] for k in left])[0]) if s}
             columns = list(batch.columns)
             if cut:
                 clean = columns[at].to_pylist()
                 for k, t in cut.items():
                     clean[k] = t.decode()
                 columns[at] = pa.array(clean, columns[at].type)
-                if "n_chars" in names:
-                    c = names.index("n_chars")
-                    kept = columns[c].to_pylist()
+                if counted is not None:
+                    kept = columns[counted].to_pylist()
                     for k in cut:
                         kept[k] = len(clean[k])
-                    columns[c] = pa.array(kept, columns[c].type)
+                    columns[counted] = pa.array(kept, columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only when its files hold at most this many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -124,3 +125,8 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def whole_number(df: DataFrame, name: str) -> int | None:
+    """The place of a column that holds whole numbers, or None."""
+    return next((k for k, f in enumerate(df.schema) if f.name == name and isinstance(f.dataType, (T.IntegerType, T.LongType))), None)
