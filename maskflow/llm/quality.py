@@ -6,12 +6,17 @@ one per (lang, source): a histogram with 32 steps to each power of two, whose
 bucket numbers come from integer arithmetic.  Such sketches merge by adding
 counts, so a partial aggregate in each task is a sketch and the result does not
 depend on how rows are dealt out.  Limits are read from the merged sketch and
-joined back; they replace fixed cutoffs.
-
-Defined results: a null text counts as empty; null ``lang`` or ``source`` form a
-group of their own; repeated rows are judged alike, each for itself; groups with
-fewer than ``min_group`` documents take the limits of the whole table; an empty
-table gives an empty table; other columns pass through whatever their names.
+joined back; they replace fixed cutoffs.  A limit stands on the median and the
+upper quartile, which a quarter of junk doesn't move, and a group's is at most
+``cap`` times that of the whole table, so a source that is mostly junk doesn't
+set its own standard.
+
+Counts are made once and stored with the columns to keep; the limits are read from
+them.  Defined results: a null text counts as empty; null ``lang`` or ``source``
+form a group of their own; repeated rows are judged alike, each for itself; groups
+with fewer than ``min_group`` documents take the limits of the whole table; an
+empty table gives an empty table; other columns pass through whatever their names,
+but a column ``_quality`` is replaced by :func:`judged`.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.llm.shared import sized_join, stored
+from maskflow.llm.shared import Shelf, sized_join
 
 WHITE = r"[\x20\x09-\x0D]+"
 RATES = ("symbols", "dup_lines", "word_length")
@@ -29,24 +34,29 @@ RATES = ("symbols", "dup_lines", "word_length")
 
 @dataclass(frozen=True)
 class QualityParams:
-    """``spread`` times the distance from median to ``upper`` quantile (``floor`` at least) may lie above ``upper``."""
+    """``spread`` times the distance from median to ``upper`` quantile (``floor`` at least) may lie above ``upper``; ``cap`` times the whole table's limit at most."""
 
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5
-    upper: float = 0.90
+    upper: float = 0.75
     spread: int = 4
+    cap: int = 2
     #: least distance, in thousandths, for each of RATES
-    floor: tuple[int, int, int] = (150, 150, 1500)
+    floor: tuple[int, int, int] = (50, 100, 300)
     min_group: int = 30
 
 
-def _counted(docs: DataFrame, p: QualityParams) -> DataFrame:
-    """``docs`` with a struct ``_quality`` of counts and rates."""
+def _counted(docs: DataFrame, keep: list[str], p: QualityParams) -> DataFrame:
+    """The columns in ``keep`` as c0, c1, ..., lang and source as q_lang and q_source, and a struct _quality of counts and rates."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
-    df = docs.withColumn("_q_text", text).withColumn(
-        "_q_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
+    df = docs.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)],
+        F.col("lang").alias("q_lang"),
+        F.col("source").alias("q_source"),
+        text.alias("_q_text"),
+        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE)).alias("_q_words"),
     )
     df = df.withColumn("_q_hashes", F.transform("_q_words", lambda x: F.xxhash64(x)))
     df = df.withColumn("_q_n", F.size("_q_hashes"))
@@ -121,7 +131,7 @@ def _counted(docs: DataFrame, p: QualityParams) -> DataFrame:
     )
     # A generator's output stays above it: a filter on the counts isn't pushed
     # down, where every count would be written out again inside the lambdas.
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array("_quality")).alias("_quality"))
+    return df.select(*[f"c{i}" for i in range(len(keep))], "q_lang", "q_source", F.explode(F.array("_quality")).alias("_quality"))
 
 
 def bucket(v: Column) -> Column:
@@ -141,8 +151,8 @@ def sketches(counted: DataFrame) -> DataFrame:
     return (
         counted.filter(~F.col("_quality.base_failed"))
         .select(
-            F.col("lang").alias("s_lang"),
-            F.col("source").alias("s_source"),
+            F.col("q_lang").alias("s_lang"),
+            F.col("q_source").alias("s_source"),
             F.inline(
                 F.array(*[F.struct(F.lit(k).alias("rate"), bucket(F.col(f"_quality.{name}")).alias("bucket")) for k, name in enumerate(RATES)])
             ),
@@ -187,28 +197,27 @@ def limits(sketch: DataFrame, p: QualityParams) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """``docs`` with a struct ``_quality`` (counts, rates, base_failed, kept)."""
-    table = stored(limits(sketches(_counted(docs.select("text", "lang", "source"), p)), p), "quality-limits")
-    own = table.filter(~F.col("s_all") & (F.col("total") >= p.min_group)).select(
-        F.col("s_lang").alias("_q_lang"), F.col("s_source").alias("_q_source"), F.struct(*RATES).alias("_q_own")
-    )
-    whole = table.filter("s_all").select(F.struct(*RATES).alias("_q_whole"))
-    counted = _counted(docs, p)
-    df = sized_join(
-        counted,
-        own,
-        counted["lang"].eqNullSafe(own["_q_lang"]) & counted["source"].eqNullSafe(own["_q_source"]),
-    ).join(F.broadcast(whole), F.lit(True), "left")  # one row at most
-    limit = F.coalesce("_q_own", "_q_whole")
+def judged(docs: DataFrame, p: QualityParams = QualityParams(), keep: list[str] | None = None) -> DataFrame:
+    """The columns in ``keep`` (all, if not given) with a struct ``_quality`` (counts, rates, base_failed, kept)."""
+    keep = [c for c in docs.columns if c != "_quality"] if keep is None else keep
+    shelf = Shelf(docs.sparkSession)
+    counted = shelf.put("quality-counts", _counted(docs, keep, p))
+    table = shelf.put("quality-limits", limits(sketches(counted), p))
+    own = table.filter(~F.col("s_all") & (F.col("total") >= p.min_group)).select("s_lang", "s_source", F.struct(*RATES).alias("s_own"))
+    whole = table.filter("s_all").first()  # one row at most: the limits of all documents
+    df = sized_join(counted, own, counted["q_lang"].eqNullSafe(own["s_lang"]) & counted["q_source"].eqNullSafe(own["s_source"]))
     within = F.lit(True)
     for name in RATES:
-        within = within & F.coalesce(F.col(f"_quality.{name}") <= limit[name], F.lit(True))
-    return df.withColumn("_quality", F.col("_quality").withField("kept", ~F.col("_quality.base_failed") & within)).drop(
-        "_q_lang", "_q_source", "_q_own", "_q_whole"
-    )
+        everywhere = F.lit(whole[name] if whole else None).cast("bigint")
+        limit = F.when(F.col("s_own").isNull(), everywhere).otherwise(F.least(F.col("s_own")[name], everywhere * p.cap))
+        within = within & F.coalesce(F.col(f"_quality.{name}") <= limit, F.lit(True))
+    kept = F.col("_quality").withField("kept", ~F.col("_quality.base_failed") & within)
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], kept.alias("_quality"))
 
 
 def keep_good(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """The documents that pass, with their columns as they came."""
-    return judged(docs, p).filter("_quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    asked = docs.toDF(*inner).select(*inner, *[F.col(inner[names.index(c)]).alias(c) for c in ("text", "lang", "source")])
+    return judged(asked, p, inner).filter("_quality.kept").select(*[F.col(i).alias(c) for i, c in zip(inner, names)])

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskflow.llm.quality import judged
 
-    return judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+    return judged(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc_id",
         *[f"_quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
     )
