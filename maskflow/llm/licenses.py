@@ -1,9 +1,12 @@
 """License scans, in DataFrame functions only.
 
 Two ways of finding licences: phrases whose words stand consecutively, and an
-exact set-similarity join between text blocks (lines) and licence templates.  The
-join orders tokens by their frequency over all blocks, rarest first, and finds
-every block that holds at least ``threshold`` of a template's distinct tokens:
+exact set-similarity join between text blocks and licence templates (public
+licence texts and notices).  Blocks are windows of words, so line ends make no
+difference.  For templates of up to n words (n from ``WINDOWS``) they are 2 n words
+long, one at every n words: a shorter text is one block, and any stretch of n words
+lies in a block whole.  The join orders tokens by their frequency over all blocks, rarest first, and finds every
+block that holds at least ``threshold`` of a template's distinct tokens:
 
 * prefix: a block that shares ``o`` of ``t`` template tokens shares one of the
   template's first ``t - o + 1``, and that one is among the block's own first
@@ -12,7 +15,8 @@ every block that holds at least ``threshold`` of a template's distinct tokens:
 * position: a first match at places (i, j) leaves at most ``1 + min(t-i, b-j)``
   shared tokens.
 
-Templates are a fixed list, so their side of the join has a fixed size.
+Templates are a fixed list, so their side of the join has a fixed size, and so has
+the table of their tokens' frequencies, which the driver reads.
 
 Defined results: null and empty texts have no words and no labels; repeated rows
 each get their own result; the base labels always stay; an empty table gives an
@@ -22,30 +26,16 @@ empty table; columns other than doc_id and text aren't read.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskflow.llm.license_texts import PHRASES, TEXTS
 from maskflow.llm.shared import stored
 
-# Phrases and labels, then short standard notices of public licences.
-PHRASES = (
-    ("gnu general public license", "gpl"),
-    ("apache license", "apache"),
-    ("cc by", "cc-by"),
-    ("mit license", "mit"),
-)
-TEMPLATES = (
-    ("apache", "licensed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+#: Words of short and of long templates, at most.
+WINDOWS = (32, 256)
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KELVIN = "K"  # lower() would turn it into an ASCII k
 
@@ -82,36 +72,39 @@ def _base(df: DataFrame) -> DataFrame:
     return df.withColumn("places", F.concat(*found))
 
 
-def _templates(spark, threshold: float) -> list[tuple[int, str, list[str], int]]:
+def templates(threshold: float) -> list[tuple[int, int, str, list[str], int]]:
+    """(number, words of its windows, label, distinct tokens, tokens that a block must hold)."""
     rows = []
-    for k, (label, text) in enumerate(TEMPLATES):
-        tokens = sorted(set(text.split()))
-        rows.append((k, label, tokens, math.ceil(threshold * len(tokens) - 1e-9)))
+    for k, (label, text) in enumerate(TEXTS):
+        words = re.findall("[0-9a-z]+", text.lower())
+        tokens = sorted(set(words))
+        rows.append((k, min(n for n in WINDOWS if n >= len(words)), label, tokens, math.ceil(threshold * len(tokens) - 1e-9)))
     return rows
 
 
+def _blocks(size: int, listed) -> Column:
+    """(size, block, tokens) of the windows that hold enough tokens of any template of their size."""
+    own = [(tokens, o) for _, n, _, tokens, o in listed if n == size]
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for tokens, _ in own for t in tokens})])
+    least = min(o for _, o in own)
+    places = F.sequence(F.lit(0), F.greatest(F.size("words") - size - 1, F.lit(0)), F.lit(size))
+    windows = F.transform(
+        places, lambda b, i: F.struct(F.lit(size).alias("size"), i.alias("block"), F.array_intersect(F.slice("words", b + 1, 2 * size), vocabulary).alias("tokens"))
+    )
+    return F.filter(windows, lambda x: F.size(x["tokens"]) >= least)
+
+
 def scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
+    """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score, matched.
 
-    ``blocks`` lists the matching (block number, label, containment).
+    ``matched`` lists the matching (size, block, label, containment); block k of a size begins at word k * size.
     """
     spark = docs.sparkSession
-    templates = _templates(spark, threshold)
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, tokens, _ in templates for t in tokens})])
-    least = min(o for *_, o in templates)
+    listed = templates(threshold)
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("words", _words(F.col("text")))
     df = _base(df)
-    df = df.withColumn(
-        "blocks",
-        F.filter(
-            F.transform(
-                F.split("text", "\n"),
-                lambda x, i: F.struct(i.alias("block"), F.array_sort(F.array_intersect(_words(x), vocabulary)).alias("tokens")),
-            ),
-            lambda x: F.size(x["tokens"]) >= least,
-        ),
-    )
+    df = df.withColumn("blocks", F.concat(*[_blocks(n, listed) for n in WINDOWS]))
     scanned = stored(
         df.select(
             F.monotonically_increasing_id().alias("row"),
@@ -133,39 +126,26 @@ def scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     quoted = ", ".join(
-        f"({k}, '{label}', array({', '.join(repr(t) for t in tokens)}), {o})" for k, label, tokens, o in templates
-    )
-    listed = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(template, label, tokens, needed)")
-    ranked = (
-        listed.select("template", "label", "needed", F.explode("tokens").alias("token"))
-        .join(ranks, "token", "left")
-        .groupBy("template", "label", "needed")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("ordered"))
-        .withColumn("t", F.size("ordered"))
+        f"({k}, {n}, '{label}', array({', '.join(repr(t) for t in tokens)}), {o})" for k, n, label, tokens, o in listed
     )
-    index = ranked.select(
-        "template",
-        "label",
-        "needed",
-        "t",
-        F.transform("ordered", lambda x: x["token"]).alias("template_tokens"),
-        F.posexplode(F.slice("ordered", F.lit(1), F.col("t") - F.col("needed") + 1)).alias("i", "at"),
-    ).withColumn("token", F.col("at.token"))
-    every = spark.range(1).join(ranks.agg(F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("counts")))
-    ordered = (
-        blocks.join(F.broadcast(every.select("counts")))
-        .withColumn(
-            "tokens",
-            F.transform(
-                F.sort_array(F.transform("tokens", lambda x: F.struct(F.element_at("counts", x).alias("n"), x.alias("token")))),
-                lambda x: x["token"],
-            ),
-        )
-        .drop("counts")
+    table = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(template, size, label, tokens, needed)")
+    # one number for each token of the templates
+    counts = {r["token"]: r["n"] for r in ranks.collect()}
+    number = F.create_map(*[F.lit(x) for token in sorted({t for *_, tokens, _ in listed for t in tokens}) for x in (token, counts.get(token, 0))])
+
+    def by_frequency(tokens: Column) -> Column:
+        pairs = F.transform(tokens, lambda x: F.struct(F.element_at(number, x).alias("n"), x.alias("token")))
+        return F.transform(F.sort_array(pairs), lambda x: x["token"])
+
+    index = (
+        table.withColumn("template_tokens", by_frequency(F.col("tokens")))
+        .withColumn("t", F.size("tokens"))
+        .select("template", "size", "label", "needed", "t", "template_tokens", F.posexplode(F.slice("template_tokens", F.lit(1), F.col("t") - F.col("needed") + 1)).alias("i", "token"))
     )
+    ordered = blocks.withColumn("tokens", by_frequency(F.col("tokens")))
     met = (
-        ordered.select("row", "block", "tokens", F.posexplode("tokens").alias("j", "token"))
-        .join(F.broadcast(index.drop("at")), "token")
+        ordered.select("row", "size", "block", "tokens", F.posexplode("tokens").alias("j", "token"))
+        .join(F.broadcast(index), ["size", "token"])
         .filter(
             (F.size("tokens") >= F.col("needed"))
             & (F.col("j") <= F.size("tokens") - F.col("needed"))
@@ -173,11 +153,11 @@ def scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         )
         .withColumn("shared", F.size(F.array_intersect("tokens", "template_tokens")))
         .filter("shared >= needed")
-        .groupBy("row", "block", "template")
+        .groupBy("row", "size", "block", "template")
         .agg(F.first("label").alias("label"), F.max(F.col("shared") / F.col("t")).alias("containment"))
     )
     per_row = met.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("block", "label", "containment"))).alias("matched")
+        F.sort_array(F.collect_list(F.struct("size", "block", "label", "containment"))).alias("matched")
     )
     labels = F.array_sort(F.array_distinct(F.concat("own", F.coalesce(F.transform("matched", lambda m: m["label"]), F.array().cast("array<string>")))))
     return scanned.join(per_row, "row", "left").select(

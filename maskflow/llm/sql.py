@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from maskflow.llm.licenses import PHRASES, TEMPLATES
+from maskflow.llm.license_texts import PHRASES
+from maskflow.llm.licenses import WINDOWS, templates
 from maskflow.llm.quality import RATES, QualityParams
 
 HEX = "0123456789abcdef"
@@ -27,8 +28,6 @@ WARC = f"""SELECT page_id, octet_length(encode(body)) AS payload_bytes, {_base32
 
 
 def _licenses(threshold: float = 0.8) -> str:
-    import math
-
     words = f"(SELECT doc_id, text, regexp_extract_all({LOWER}, {WORD}) AS w FROM documents)"
     places = " UNION ALL ".join(
         f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS start, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM {words}) WHERE "
@@ -36,16 +35,14 @@ def _licenses(threshold: float = 0.8) -> str:
         for p, label in PHRASES
     )
     rows = []
-    for label, text in TEMPLATES:
-        tokens = sorted(set(text.split()))
-        needed = math.ceil(threshold * len(tokens) - 1e-9)
+    for _, size, label, tokens, needed in templates(threshold):
         listed = "[" + ", ".join(f"'{t}'" for t in tokens) + "]"
-        rows.append(f"({_q(label)}, {listed}, {needed})")
+        rows.append(f"({size}, {_q(label)}, {listed}, {needed})")
     return f"""WITH places AS ({places}),
  base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS own FROM places GROUP BY doc_id),
- templates AS (SELECT * FROM (VALUES {', '.join(rows)}) AS t(label, tokens, needed)),
- blocks AS (SELECT doc_id, list_distinct(regexp_extract_all({LOWER.replace("text", "line")}, {WORD})) AS b FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
- met AS (SELECT doc_id, label, len(list_filter(tokens, lambda t: list_contains(b, t))) AS shared, len(tokens) AS n, needed FROM blocks, templates WHERE len(b) >= needed),
+ templates AS (SELECT * FROM (VALUES {', '.join(rows)}) AS t(size, label, tokens, needed)),
+ blocks AS (SELECT doc_id, size, list_distinct(w[beginning + 1:beginning + 2 * size]) AS b FROM (SELECT doc_id, w, size, unnest(range(0, greatest(len(w) - size, 1), size)) AS beginning FROM {words}, (SELECT unnest({list(WINDOWS)}) AS size))),
+ met AS (SELECT doc_id, label, len(list_filter(tokens, lambda t: list_contains(b, t))) AS shared, len(tokens) AS n, needed FROM blocks JOIN templates USING (size) WHERE len(b) >= needed),
  found AS (SELECT doc_id, list(DISTINCT label) AS more, max(CAST(shared AS DOUBLE) / n) AS best FROM met WHERE shared >= needed GROUP BY doc_id)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
  array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
@@ -56,13 +53,13 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-DECONTAMINATION = f"""WITH items AS (SELECT item_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+DECONTAMINATION = f"""WITH items AS (SELECT item_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM benchmark),
  windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
  docs AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM documents),
  grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
  met AS (SELECT doc_id, item_id, i, n FROM grams JOIN windows USING (n, g)),
  hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
- found AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM met) GROUP BY doc_id)
+ found AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM met WHERE item_id IS NOT NULL) GROUP BY doc_id)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
@@ -75,7 +72,7 @@ def _quality(p: QualityParams = QualityParams()) -> str:
     rates = " UNION ALL ".join(f"SELECT lang, source, {k} AS rate, {name} AS v FROM counted WHERE NOT base_failed" for k, name in enumerate(RATES))
     floors = "CASE rate " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(p.floor)) + " END"
     wide = ", ".join(f"max(CASE WHEN rate = {k} THEN most END) AS most_{k}" for k in range(len(RATES)))
-    within = " AND ".join(f"coalesce({name} <= coalesce(o.most_{k}, w.most_{k}), true)" for k, name in enumerate(RATES))
+    within = " AND ".join(f"coalesce({name} <= CASE WHEN o.total IS NULL THEN w.most_{k} ELSE least(o.most_{k}, {p.cap} * w.most_{k}) END, true)" for k, name in enumerate(RATES))
     return f"""WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {PLAIN}) AS w FROM documents),
  grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, array_to_string(w[i:i + {p.window - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {p.window - 2})) AS i FROM texts WHERE len(w) >= {p.window}))),
  repeated AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(i, i + {p.window})) AS q FROM grams WHERE c > 1) GROUP BY doc_id),
