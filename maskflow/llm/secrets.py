@@ -2,14 +2,19 @@
 
 The patterns give the base spans.  The method then looks at strings of key
 characters that stand shortly after a sensitive word and aren't in a base span.
-Each is compressed after its surroundings, with a dictionary of code and common
-identifiers; the bytes it adds, in proportion to its length, are its novelty.
+Each is compressed after its surroundings, with a dictionary; the bytes it adds, in
+proportion to its length, are its novelty.  The dictionary holds code idioms and
+the identifiers that stand most often near sensitive words in the whole table:
+tasks count them, Spark adds the counts up and the first ``identifiers`` of them,
+a bounded list, go to every worker.  Identifiers are letters and underscores, so a
+key that is copied into many documents doesn't come to be known by it.
 Copies of it and other candidates are blanked out of the surroundings.  A string
 that is novel at one place is reported wherever the text has it.
 Words and identifiers compress well against them, random keys don't, and those
 that stay incompressible are reported as ``novel``.
 
-Offsets count code points.  Whole texts are scanned.  Defined results: null and
+Offsets count code points.  Whole texts are scanned; ``before`` and ``after`` bound
+what the compressor sees of a candidate's surroundings.  Defined results: null and
 empty texts have no spans; repeated rows each get their own result; an empty
 table gives an empty table; other columns pass through :func:`redact` and aren't
 read by :func:`scan`.
@@ -18,13 +23,16 @@ read by :func:`scan`.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskflow.llm.shared import whole_number
+
 # The three base patterns and the order of kinds.
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -55,23 +63,83 @@ PRIMER = "\n".join(
 
 @dataclass(frozen=True)
 class NoveltyRule:
-    """``reach`` characters lie between a sensitive word and a candidate at most."""
+    """``reach`` characters lie between a sensitive word and a candidate at most; ``identifiers`` of the table prime the compressor."""
 
     reach: int = 40
     before: int = 400
     after: int = 200
     least: float = 0.62
     least_kinds: int = 2
+    identifiers: int = 2000
+
+
+IDENTIFIER = re.compile(r"(?<![A-Za-z_])[A-Za-z_]{5,40}(?![A-Za-z_])")
+#: Distinct identifiers that a task counts before it passes them on.
+COUNTED = 100_000
+
+
+def identifiers(docs: DataFrame, rule: NoveltyRule) -> list[str]:
+    """The most frequent identifiers near sensitive words, over all texts; ties by name."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        def counted(found):
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = 0
+                for m in SENSITIVE.finditer(text or ""):
+                    # each stretch once
+                    b, e = max(at, m.start() - rule.before), m.end() + rule.reach + rule.after
+                    if b < e:
+                        found.update(x for x in IDENTIFIER.findall(text, b, e))
+                        at = e
+                if len(found) >= COUNTED:
+                    yield counted(found)
+                    found = Counter()
+        yield counted(found)
+
+    counts = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    # a dictionary of a fixed size
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(rule.identifiers).collect()]
+
+
+class Places:
+    """Disjoint spans, in order, to look up others in."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect_right(self.ends, s)
+        return k < len(self.starts) and self.starts[k] < e
+
+    def holds(self, s: int, e: int) -> bool:
+        k = bisect_right(self.starts, s) - 1
+        return k >= 0 and e <= self.ends[k]
 
 
 class Novelty:
     """Marginal compressed bytes of a string, given its surroundings and the primer."""
 
-    def __init__(self, rule: NoveltyRule):
+    def __init__(self, rule: NoveltyRule, known: list[str] = ()):
         import zstandard
 
         self.rule = rule
-        primer = zstandard.ZstdCompressionDict(PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # what stands last is the nearest
+        content = "\n".join([*reversed(known), ""]).encode() + PRIMER
+        primer = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primer.precompute_compress(level=9)
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_dict_id=False)
 
     def share(self, text: str, start: int, end: int, others: list[tuple[int, int]] = ()) -> float:
@@ -104,15 +172,16 @@ class Novelty:
                 found.append((s, e))
         return found
 
-    def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def spans(self, text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Places of the candidates that are novel anywhere; one decision for each distinct string."""
+        taken = Places(base)
         found = [c for c in self.candidates(text) if self._mixed(text[c[0] : c[1]])]
         starts = [s for s, _ in found]
         reach = max((e - s for s, e in found), default=0)
         novel: set[str] = set()
         for s, e in found:
             own = text[s:e]
-            if own in novel or any(s < b and a < e for a, b in taken):
+            if own in novel or taken.meets(s, e):
                 continue
             low, high = s - self.rule.before - len(own), e + self.rule.after + len(own)
             others = found[bisect_left(starts, low - reach) : bisect_left(starts, high)]
@@ -121,7 +190,7 @@ class Novelty:
         return self._places(text, novel, taken) if novel else []
 
     @staticmethod
-    def _places(text: str, novel: set[str], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def _places(text: str, novel: set[str], taken: Places) -> list[tuple[int, int]]:
         """Where novel strings stand in runs of key characters, without places inside another or inside a base span."""
         by_head: dict[str, list[str]] = {}
         for own in sorted(novel, key=len, reverse=True):
@@ -132,7 +201,7 @@ class Novelty:
                 own = next((x for x in by_head.get(text[s : s + LEAST_CANDIDATE], ()) if text.startswith(x, s)), None)
                 if own is not None and s + len(own) > end_before:
                     end_before = s + len(own)
-                    if not any(a <= s and end_before <= b for a, b in taken):
+                    if not taken.holds(s, end_before):
                         places.append((s, end_before))
         return places
 
@@ -162,13 +231,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _finder(rule: NoveltyRule):
+def _finder(rule: NoveltyRule, known: list[str]):
     novelty = None
 
     def all_spans(text: str | None) -> tuple[list, list]:
         nonlocal novelty
         if novelty is None:
-            novelty = Novelty(rule)
+            novelty = Novelty(rule, known)
         if not text:
             return [], []
         base = base_spans(text)
@@ -187,10 +256,12 @@ def scan(docs: DataFrame, rule: NoveltyRule = NoveltyRule()) -> DataFrame:
         [docs.schema["doc_id"], T.StructField("base", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("found", SPAN)]
     )
 
+    known = docs.sparkSession.sparkContext.broadcast(identifiers(docs, rule))
+
     def run(batches):
         import pyarrow as pa
 
-        find = _finder(rule)
+        find = _finder(rule, known.value)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             results = [find(t) for t in batch.column(1).to_pylist()]
@@ -218,21 +289,22 @@ def blanked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, rule: NoveltyRule = NoveltyRule()) -> DataFrame:
-    """``docs`` with the secrets in ``text`` replaced by marks; ``n_chars``, if there, follows."""
+    """``docs`` with the secrets in ``text`` replaced by marks; ``n_chars``, if there as a whole number, follows."""
     names = docs.columns
     at = names.index("text")
+    k = whole_number(docs, "n_chars")
+    known = docs.sparkSession.sparkContext.broadcast(identifiers(docs, rule))
 
     def run(batches):
         import pyarrow as pa
 
-        find = _finder(rule)
+        find = _finder(rule, known.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             clean = [t if not t or not (a := find(t)[1]) else blanked(t, a) for t in texts]
             columns = list(batch.columns)
             columns[at] = pa.array(clean, columns[at].type)
-            if "n_chars" in names:
-                k = names.index("n_chars")
+            if k is not None:
                 kept = columns[k].to_pylist()
                 columns[k] = pa.array([n if t == c else len(c) for t, c, n in zip(texts, clean, kept)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
