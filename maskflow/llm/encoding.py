@@ -4,13 +4,19 @@ Texts are cut into words, and only the distinct words are segmented, in Spark:
 substrings of bounded length are exploded and joined to the piece table, the
 edges that remain are grouped by word (the rows are still dealt by word, so the
 grouping needs no further exchange) and a higher-order ``aggregate`` folds the
-best cut.  The encodings go to the shared folder as arrays sorted by word hash;
-workers map them and encode whole batches of texts by array arithmetic.  Words
-longer than ``longest`` characters are cut by the same rule in the worker.
+best cut.  A long word's lattice comes in blocks of ``BLOCK`` ends: the fold goes
+over blocks and within them, and carries no more scores than the longest piece has
+characters, so its work grows with the word's length and not with the square.
+
+The encodings go to the shared folder as arrays sorted by word hash; workers map
+them and encode whole batches of texts by array arithmetic.  Each batch is decoded
+and compared with its bytes; a word that differs (two words of one 64-bit hash) is
+cut by itself.
 
 Defined results: null and empty texts have no pieces and decode to an empty text;
 a space mark in a text is a space, as in the tokenizer; repeated rows each get
-their own row; an empty table gives an empty table; other columns pass through.
+their own row; an empty table gives an empty table; other columns pass through,
+but a column ``_pieces`` is replaced.
 """
 
 from __future__ import annotations
@@ -22,27 +28,25 @@ from pyspark.sql import types as T
 
 from maskflow.llm.arraystore import Shards, shard_bits
 from maskflow.llm.pieces import DEFAULT_MODEL, SPACE, SPACE_BYTES, Decoder, PieceTable, Viterbi, load, spread
-from maskflow.llm.shared import scratch, stored
+from maskflow.llm.shared import Shelf, release, scratch
 from maskflow.llm.textbytes import as_bytes, groups, span_hashes
 
 NEWLINE = ord("\n")
 
 
-def distinct_words(docs: DataFrame, longest: int) -> DataFrame:
-    """The distinct words of all texts, of at most ``longest`` characters, with plain spaces turned into marks."""
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """The distinct words of all texts, with plain spaces turned into marks."""
     text = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
     found = F.regexp_extract_all(text, F.lit(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n"), F.lit(0))
-    return (
-        docs.filter("text IS NOT NULL AND text <> ''")
-        .select(F.explode(found).alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.length("word") <= longest)
-    )
+    return docs.filter("text IS NOT NULL AND text <> ''").select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Distinct words in a task's lattice; the number of tasks follows from it.
 WORDS_PER_TASK = 30_000
+#: Characters of a word whose lattice is folded in one go, and of a block of a longer one.
+BLOCK = 64
+#: Characters of a long word that are cut out at once, before blocks are cut out of them.
+STRETCH = 4096
 
 
 def _piece_frame(spark, table: PieceTable) -> DataFrame:
@@ -78,6 +82,107 @@ def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
     return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
+def _met(substrings: DataFrame, table: PieceTable) -> DataFrame:
+    """The substrings (piece, len) that are pieces, with p_score and p_id; single characters stay in any case."""
+    pieces = F.broadcast(_piece_frame(substrings.sparkSession, table)).select("p_piece", "p_key", F.col("score").alias("p_score"), F.col("id").alias("p_id"))
+    return substrings.withColumn("p_hash", F.xxhash64("piece")).join(pieces, (F.col("p_hash") == F.col("p_key")) & (F.col("piece") == F.col("p_piece")), "left").filter(
+        F.col("p_id").isNotNull() | (F.col("len") == 1)
+    )
+
+
+def long_lattice(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(key, blocks) of long words (key, word): each block has the edges that end in it, as (end, start, score, id)."""
+    over = table.longest - 1  # an edge reaches so far beyond the block it begins in
+
+    def cut(text: str, size: int):
+        """(number, part) of a text's parts of ``size`` characters that overlap the next by ``over``."""
+        places = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+        return F.inline(F.transform(places, lambda k: F.struct(k.alias("number"), F.substring(F.col(text), k * size + 1, F.lit(size + over)).alias("part"))))
+
+    stretches = words.select("key", cut("word", STRETCH)).select("key", F.col("number").alias("stretch"), F.col("part").alias("rest"))
+    # a stretch's last blocks can lie in its overlap alone: they are the next one's
+    parts = stretches.select("key", "stretch", cut("rest", BLOCK)).filter(F.col("number") < STRETCH // BLOCK)
+    begun = parts.select("key", (F.col("stretch") * STRETCH + F.col("number") * BLOCK).alias("base"), "part")
+    starts = begun.select("key", "base", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.length("part")))).alias("at"))
+    substrings = starts.select(
+        "key", "base", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("part") - F.col("at") + 1))).alias("len"), "part"
+    ).select("key", (F.col("base") + F.col("at") - 1).alias("start"), "len", F.substring("part", F.col("at"), F.col("len")).alias("piece"))
+    edge = F.struct(
+        (F.col("start") + F.col("len")).alias("end"),
+        "start",
+        F.coalesce("p_score", F.lit(table.unknown_score)).alias("score"),
+        F.coalesce("p_id", -1 - F.ascii("piece")).alias("id"),
+    )
+    block = F.floor((F.col("start") + F.col("len") - 1) / BLOCK).cast("int").alias("block")
+    blocks = _met(substrings, table).groupBy("key", block).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return blocks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("block", "edges"))).alias("blocks"))
+
+
+def best_long_cuts(lattices: DataFrame, longest: int) -> DataFrame:
+    """(key, ids): the best cuts of long words; two nested folds forward, two back."""
+    step, top = "struct<start:int,id:int>", "struct<score:double,start:int,id:int>"
+    nothing = F.struct(F.lit(float("-inf")).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(top)
+
+    def over_block(acc: Column, b: Column) -> Column:
+        def grow(a: Column, e: Column) -> Column:
+            same = a["end"] == e["end"]
+            scores = F.when(same, a["scores"]).otherwise(F.array_append(a["scores"], a["top"]["score"]))
+            back = F.struct(a["top"]["start"].alias("start"), a["top"]["id"].alias("id")).cast(step)
+            backs = F.when(same, a["backs"]).otherwise(F.array_append(a["backs"], back))
+            before = F.when(e["start"] == a["end"], a["top"]["score"]).otherwise(F.get(a["scores"], e["start"] - acc["base"]))
+            score = before + e["score"]
+            own = F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id")).cast(top)
+            best = F.when(same & (score <= a["top"]["score"]), a["top"]).otherwise(own)
+            return F.struct(scores.alias("scores"), backs.alias("backs"), e["end"].alias("end"), best.alias("top"))
+
+        begin = F.struct(
+            acc["scores"].alias("scores"),
+            F.array().cast(f"array<{step}>").alias("backs"),
+            (b["block"] * BLOCK + 1).cast("int").alias("end"),
+            nothing.alias("top"),
+        )
+
+        def end(a: Column) -> Column:
+            scores = F.array_append(a["scores"], a["top"]["score"])
+            kept = F.slice(scores, F.greatest(F.size(scores) - longest + 1, F.lit(1)), F.lit(longest))
+            back = F.struct(a["top"]["start"].alias("start"), a["top"]["id"].alias("id")).cast(step)
+            return F.struct(
+                kept.alias("scores"),
+                (acc["base"] + F.greatest(F.size(scores) - longest, F.lit(0))).cast("int").alias("base"),
+                F.array_append(acc["done"], F.array_append(a["backs"], back)).alias("done"),
+            )
+
+        return F.aggregate(b["edges"], begin, grow, end)
+
+    begin = F.struct(F.array(F.lit(0.0)).alias("scores"), F.lit(0).alias("base"), F.array().cast(f"array<array<{step}>>").alias("done"))
+    path = F.aggregate("blocks", begin, over_block)["done"]
+
+    def back_over(acc: Column, b: Column) -> Column:
+        first = b["number"] * BLOCK
+
+        def one(a: Column, _: Column) -> Column:
+            at = F.get(b["steps"], a["at"] - first - 1)
+            more = F.struct(at["start"].alias("at"), F.array_append(a["ids"], at["id"]).alias("ids"))
+            return F.when(a["at"] <= first, a).otherwise(more)
+
+        begin = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("ids"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(b["steps"])),
+            begin,
+            one,
+            lambda a: F.struct(a["at"].alias("at"), F.array_append(acc["parts"], a["ids"]).alias("parts")),
+        )
+
+    numbered = lattices.select("key", path.alias("done")).select(
+        "key",
+        F.transform("done", lambda steps, k: F.struct(k.alias("number"), steps.alias("steps"))).alias("numbered"),
+        ((F.size("done") - 1) * BLOCK + F.size(F.element_at("done", -1))).alias("n"),
+    )
+    begin_back = F.struct(F.col("n").alias("at"), F.array().cast("array<array<int>>").alias("parts"))
+    parts = F.aggregate(F.reverse("numbered"), begin_back, back_over)["parts"]
+    return numbered.select("key", F.reverse(F.flatten(parts)).alias("ids"))
+
+
 def best_cuts(lattices: DataFrame) -> DataFrame:
     """(word, ids): the best cut.
 
@@ -183,11 +288,8 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool)
         distinct, first, which = np.unique(span_hashes(text, starts, ends), return_index=True, return_inverse=True)
         found, pools, counts = self._known(distinct)
-        for k in np.flatnonzero(~found).tolist():
-            if self.viterbi is None:
-                self.viterbi = Viterbi(self.table)
-            word = text[starts[first[k]] : ends[first[k]]].tobytes().decode("utf-8").replace(" ", SPACE)
-            own = np.array(self.viterbi.encode(word), np.int32)
+        for k in np.flatnonzero(~found).tolist():  # none, where the lexicon is of these texts
+            own = self._own(text[starts[first[k]] : ends[first[k]]])
             pools.append((np.array([k]), own, np.array([0])))
             counts[k] = len(own)
         # one pool of ids for the distinct words of this group
@@ -200,9 +302,28 @@ class Encoder:
         word_end = np.concatenate([[0], np.cumsum(lengths)])
         offsets = word_end[np.searchsorted(starts, np.append(begins, len(text)))]
         same = np.array_equal(self.decoder(ids), text)
+        if not same:
+            ids, word_end = self._repaired(text, starts, ends, ids, word_end)
+            offsets = word_end[np.searchsorted(starts, np.append(begins, len(text)))]
+            same = np.array_equal(self.decoder(ids), text)
         ok = np.ones(len(texts), bool) if same else np.array([np.array_equal(self.decoder(ids[a:b]), text[c:d]) for a, b, c, d in zip(offsets[:-1], offsets[1:], begins, np.append(begins[1:], len(text)))])
         return ids, offsets, ok
 
+    def _own(self, word: np.ndarray) -> np.ndarray:
+        """The ids of a single word."""
+        if self.viterbi is None:
+            self.viterbi = Viterbi(self.table)
+        return np.array(self.viterbi.encode(word.tobytes().decode("utf-8").replace(" ", SPACE)), np.int32)
+
+    def _repaired(self, text, starts, ends, ids, word_end):
+        """ids and ends of words, with those of words that decode to other bytes put right."""
+        parts = [ids[a:b] for a, b in zip(word_end[:-1], word_end[1:])]
+        for k, part in enumerate(parts):
+            word = text[starts[k] : ends[k]]
+            if not np.array_equal(self.decoder(part), word):
+                parts[k] = self._own(word)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
     def _known(self, distinct: np.ndarray):
         found, at, counts = self.shards.look_up(distinct)
         counts, at, pools = counts.astype(np.int64), at.astype(np.int64), []
@@ -213,20 +334,29 @@ class Encoder:
         return found, pools, counts
 
 
-def encode(docs: DataFrame, model: str = DEFAULT_MODEL, longest: int = 64) -> DataFrame:
+def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """``docs`` with a struct ``_pieces`` of ids, n_pieces and round_trip (decoding gives the text again)."""
     spark = docs.sparkSession
     table = load(model)
     bits = shard_bits(docs.rdd.getNumPartitions())
-    words = stored(distinct_words(docs, longest).select("word"), "words")
-    dealt = words.repartition(words.count() // WORDS_PER_TASK + 1, "word")
-    shards = store_lexicon(best_cuts(lattice(dealt, table)), scratch(spark, "lexicon"), bits, table.bytes_from)
+    shelf = Shelf(spark)
+    words = shelf.put("words", distinct_words(docs).select("word"))
+    short = words.filter(F.length("word") <= BLOCK)
+    dealt = short.repartition(words.count() // WORDS_PER_TASK + 1, "word")
+    cuts = best_cuts(lattice(dealt, table))
+    long = shelf.put("long-words", words.filter(F.length("word") > BLOCK).select(F.monotonically_increasing_id().alias("key"), "word"))
+    if not long.isEmpty():
+        found = best_long_cuts(long_lattice(long, table), table.longest)
+        cuts = cuts.unionByName(long.join(found, "key").select("word", "ids"))
+    shards = store_lexicon(cuts, scratch(spark, "lexicon"), bits, table.bytes_from)
+    shelf.drop("words", "long-words")
     return encode_with(docs, table, shards.store.uri, bits)
 
 
 def encode_with(docs: DataFrame, table: PieceTable, uri: str, bits: int) -> DataFrame:
     """Encode by a lexicon that is already stored."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_pieces"])
     names = docs.columns
     at = names.index("text")
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
@@ -243,6 +373,8 @@ def encode_with(docs: DataFrame, table: PieceTable, uri: str, bits: int) -> Data
                 part = batch.slice(b, e - b)
                 pieces = pa.StructArray.from_arrays([lists, pa.array(np.diff(offsets)), pa.array(ok)], names=["ids", "n_pieces", "round_trip"])
                 yield pa.RecordBatch.from_arrays([*part.columns, pieces], names=[*[f"c{i}" for i in range(len(names))], "_pieces"])
+        del encoder
+        release()
 
     inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField("_pieces", kind)])
     done = docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, inner)

@@ -87,11 +87,31 @@ def test_tokens_and_pieces_equal_the_tokenizer(spark):
     assert token_counts(empty(spark)).count() == 0 and encode(empty(spark)).count() == 0
 
 
-def test_words_beyond_the_lattice(spark):
+def test_long_words(spark):
+    """Words of several blocks and stretches, cut like the tokenizer does."""
     from maskflow.llm.encoding import encode
 
-    short = by_id(encode(table(spark), longest=3).select("doc_id", "_pieces.ids"))
-    assert short == by_id(encode(table(spark)).select("doc_id", "_pieces.ids"))
+    rng = random.Random(9)
+    long = ["a" * 65, "ab" * 3000, "".join(rng.choice("etaoinéß字😀") for _ in range(5000)), "é" * 129 + " x", "=" * 4096 + "\n" + "-" * 4160, "".join(rng.choice(VOCABULARY) for _ in range(600))]
+    tok = reference_tokenizer()
+    got = by_id(encode(table(spark, long)))
+    for i, t in enumerate(long):
+        assert got[i]["_pieces"]["ids"] == tok.encode("▁" + t.replace(" ", "▁")).ids, i
+        assert got[i]["_pieces"]["round_trip"]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """A lexicon that has a word's hash under another word's pieces: the bytes decide."""
+    import numpy as np
+
+    from maskflow.llm import encoding as E
+    from maskflow.llm.arraystore import Shards
+    from maskflow.llm.pieces import load
+
+    monkeypatch.setattr(E, "span_hashes", lambda text, starts, ends: np.full(len(starts), 5, np.uint64))
+    encoder = E.Encoder(load(), Shards("/nowhere", 4, ("offset", "count")))
+    ids, offsets, ok = encoder([b"some words here", b"others"])
+    assert ok.all() and encoder.decoder(ids).tobytes() == b" some words here others"
 
 
 # 2
@@ -236,20 +256,29 @@ def test_licenses(spark):
 
 
 def test_license_join_finds_every_block(spark):
-    from maskflow.llm.licenses import TEMPLATES, scan
+    """Against all windows of all texts; notices are wrapped, shuffled and set into prose."""
+    from maskflow.llm.license_texts import TEXTS as NOTICES
+    from maskflow.llm.licenses import scan, templates
 
     rng = random.Random(2)
-    texts = []
-    for _, t in TEMPLATES:
-        for _ in range(6):
-            w = [x for x in t.split() if rng.random() > 0.2] + rng.sample(["zz", "the", "of"], 2)
-            rng.shuffle(w)
-            texts.append(" ".join(w) + "\nother line")
+    texts, labels = [], []
+    for label, t in NOTICES:
+        labels.append(label)
+        w = t.split()
+        texts.append("\n".join("// " + " ".join(w[k : k + 9]) for k in range(0, len(w), 9)))  # wrapped comment lines
+        for _ in range(4):
+            mixed = [x for x in w if rng.random() > 0.2] + rng.sample(["zz", "the", "of"], 2)
+            rng.shuffle(mixed)
+            texts.append(prose(rng.choice([0, 250, 700]), rng) + " " + " ".join(mixed) + " " + prose(300, rng))
     got = by_id(scan(table(spark, texts), threshold=0.8))
     for i, t in enumerate(texts):
-        block = set(t.split("\n")[0].split())
-        want = {label for label, x in TEMPLATES if len(block & set(x.split())) >= math.ceil(0.8 * len(set(x.split())) - 1e-9)}
-        assert {m["label"] for m in got[i]["matched"] or []} == want
+        w = re.findall(ALNUM, lowered(t))
+        want = set()
+        for _, n, label, tokens, needed in templates(0.8):
+            want |= {(n, k, label) for k, at in enumerate(range(0, max(len(w) - n, 1), n)) if len(set(w[at : at + 2 * n]) & set(tokens)) >= needed}
+        assert {(m["size"], m["block"], m["label"]) for m in got[i]["matched"] or []} == want
+        if i % 5 == 0:
+            assert labels[i // 5] in got[i]["labels"].split(",")
 
 
 # 5
@@ -384,11 +413,10 @@ def test_decontamination(spark):
     windows = collections.defaultdict(set)
     for k, t in items:
         x = re.findall(ALNUM, lowered(t))
-        if k is not None and x:
-            for j in range(max(1, len(x) - 12)):
-                windows[tuple(x[j : j + 13])].add(k)
-    for block_bytes in (8 << 20, 60):
-        got = by_id(contamination(table(spark, docs), bench, block_bytes=block_bytes))
+        for j in range(max(1, len(x) - 12) if x else 0):
+            windows[tuple(x[j : j + 13])].add(k)
+    for block_bytes, bound in ((1 << 20, 1 << 20), (60, 0)):
+        got = by_id(contamination(table(spark, docs), bench, block_bytes=block_bytes, bound=bound))
         for i, t in enumerate(docs):
             x = re.findall(ALNUM, lowered(t))
             hit, found = set(), set()
@@ -398,7 +426,7 @@ def test_decontamination(spark):
                         hit.update(range(j, j + n))
                         found |= windows[tuple(x[j : j + n])]
             r = got[i]
-            assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (len(x), len(hit), sorted(map(str, found)), bool(hit) and 20 * len(hit) >= len(x)), i
+            assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (len(x), len(hit), sorted(map(str, found - {None})), bool(hit) and 20 * len(hit) >= len(x)), i
     kept = remove_contaminated(table(spark, docs), bench)
     assert kept.columns == table(spark).columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["contaminated"]}
@@ -409,6 +437,21 @@ def test_decontamination(spark):
 # 9
 
 
+def test_each_block_is_built_once_a_load(spark):
+    """A task of several Arrow batches builds each block's automaton once."""
+    import pyarrow as pa
+
+    from maskflow.llm import decontaminate as D
+
+    rng = random.Random(6)
+    bench = spark.createDataFrame([(k, prose(20, rng)) for k in range(30)], "item_id bigint, text string")
+    items = D.Items(bench, D.ContaminationRule(), 200, 0)
+    assert items.blocks > 5
+    batches = [pa.RecordBatch.from_arrays([pa.array([prose(30, rng) for _ in range(3)])], names=["text"]) for _ in range(8)]
+    assert len(list(items.loads(batches, 0))) == 8
+    assert 0 < D.BUILT[items.key] <= items.blocks
+
+
 def test_decontamination_cuts_spans(spark):
     from maskflow.llm.decontaminate import contamination, remove_contaminated
 
@@ -420,8 +463,8 @@ def test_decontamination_cuts_spans(spark):
     nested = f"{c} {' '.join(w[:10])} {item.split()[0]} {' '.join(item.split()[1:15])} {' '.join(w[10:])} {c}"  # the cut joins the halves of another item
     docs = [f"{a}, {item.upper()}!\n{b}", item + " " + words(300, "d"), a, None, "", f"{a} {b} {item}", nested]
     bench = spark.createDataFrame([(1, item), (2, short)], "item_id bigint, text string")
-    for block_bytes in (8 << 20, 60):
-        kept = remove_contaminated(table(spark, docs), bench, block_bytes=block_bytes)
+    for block_bytes, bound in ((1 << 20, 1 << 20), (60, 0)):
+        kept = remove_contaminated(table(spark, docs), bench, block_bytes=block_bytes, bound=bound)
         assert kept.columns == table(spark).columns
         rows = by_id(kept)
         assert set(rows) == {0, 2, 3, 4, 5, 6}
