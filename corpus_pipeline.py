@@ -5,6 +5,7 @@ kept; :func:`run` writes each result as Parquet and reads it again.  All but the
 last return the columns of ``documents``.  Nulls, empty texts, repeated rows and
 empty tables are handled as the operators' docstrings say: a document with a null
 doc_id takes part in every stage but the near-duplicate join, where it is kept.
+Further columns pass through whatever their names, but those that the last stage adds.
 """
 
 from __future__ import annotations
@@ -41,9 +42,12 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the piece ids, their number, and whether they decode to the text."""
-    encoded = encoding.encode(docs)
-    return encoded.select(*[F.col(f"`{c}`") for c in docs.columns], "_pieces.ids", "_pieces.n_pieces", "_pieces.round_trip")
+    """Adds the piece ids, their number, and whether they decode to the text; columns of these names are replaced."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    added = ("ids", "n_pieces", "round_trip")
+    asked = docs.toDF(*inner).withColumn("text", F.col(inner[docs.columns.index("text")]))
+    kept = [F.col(i).alias(c) for i, c in zip(inner, docs.columns) if c not in added]
+    return encoding.encode(asked).select(*kept, *[f"_pieces.{c}" for c in added])
 
 
 STAGES = [
