@@ -42,10 +42,15 @@ def finditer(text: Column, pattern: str, layer: int, rule_id: int, entity_type:
     return F.coalesce(F.aggregate(pairs, start, add, lambda acc: acc["spans"]), no_spans())
 
 
+def quoted(literal: Column) -> Column:
+    """The pattern of a literal that is only known to the data."""
+    return F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def find_literal(text: Column, literal: str, layer: int, rule_id: int, entity_type: str, ignore_case: bool) -> Column:
     """Every occurrence of a literal from left to right, none overlapping another; the text's own spelling is kept."""
-    quoted = "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return finditer(text, ("(?iu)" if ignore_case else "") + quoted, layer, rule_id, entity_type)
+    pattern = "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return finditer(text, ("(?iu)" if ignore_case else "") + pattern, layer, rule_id, entity_type)
 
 
 def first_wins(spans: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskflow.operators import mapping as M
 from maskflow.operators.dictionary import contains_any
-from maskflow.operators.resolve import detect_each, exploded, span_counts
+from maskflow.operators.resolve import detect_each
 
 
 def new_keywords(current: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -31,11 +31,11 @@ class Job:
 
     def run(self, fragments: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(fragments with ``sanitized``, the new mapping, counts by file and type)."""
-        detected = detect_each(fragments, self.keywords)
-        seen = M.first_seen(exploded(detected, "file", "file_ord", "frag_ord"), ["file_ord", "frag_ord"], "file")
-        grown = M.upsert(seen, mapping, self.salt)
-        rewritten = M.rewrite(detected, grown, ["file_ord", "frag_ord"])
-        return rewritten.drop("spans"), grown, span_counts(detected, "file")
+        key = ["file_ord", "frag_ord"]
+        spans = M.held_spans(detect_each(fragments, self.keywords), "file", *key)
+        grown = M.upsert(M.first_seen(spans, key, "file"), mapping, self.salt)
+        counts = spans.groupBy("file", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+        return M.rewrite(fragments, spans, grown, key), grown, counts
 
     def run_incrementally(self, fragments: DataFrame, mapping: DataFrame, snapshot: DataFrame) -> tuple[DataFrame | None, DataFrame, str]:
         """(rewritten fragments or None, mapping, what was done): without a snapshot a full run, without new keywords nothing."""

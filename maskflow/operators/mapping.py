@@ -3,8 +3,11 @@
 New entities are numbered in the order of first sight: by file, by fragment, and
 within a fragment from right to left.  Numbers go on from the rows that a type has.
 Numbering takes two steps, so that a type with a third of all entities isn't sorted
-in one task: rows are ranged by type and order, counted for each range, and
-numbered within it after the counts before.
+in one task: rows are ranged by type and order and stored so, counted for each
+range, and numbered within it after the counts before.
+
+Spans are found once: :func:`held_spans` stores them, the mapping is made from them
+and :func:`rewrite` brings their replacements back to the fragments.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskflow.functions.spans import splice
+from maskflow.functions.storage import stored
 from maskflow.operators.pseudonyms import replacement
 from maskflow.operators.resolve import exploded
 
@@ -33,24 +37,26 @@ def first_seen(spans: DataFrame, order: list[str], file: str | None = None) -> D
     )
 
 
-def numbered(entities: DataFrame, by: str = "entity_type", order: str = "seen", name: str = "number", ranges: int = 0) -> DataFrame:
-    """``entities`` with their number from 1 within ``by``, in the order of ``order``."""
-    if not ranges:
-        return entities.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    dealt = entities.repartitionByRange(ranges, by, order).withColumn("_range", F.spark_partition_id())
-    counts = dealt.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_held"))
-    before = counts.withColumn(
-        "_before", F.coalesce(F.sum("_held").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select(F.col(by).alias("_by"), F.col("_range").alias("_of"), "_before")
-    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)))
-    return (
-        own.join(before, (F.col(by) == F.col("_by")) & (F.col("_range") == F.col("_of")))
-        .withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint"))
-        .drop("_range", "_own", "_by", "_of", "_before")
-    )
+def held_spans(detected: DataFrame, *key: str) -> DataFrame:
+    """One row per span with its fragment's key, stored: texts aren't searched again."""
+    return stored(exploded(detected, *key), "spans")
+
+
+def numbered(entities: DataFrame, by: str | None = "entity_type", order: str = "seen", name: str = "number", ranges: int | None = None) -> DataFrame:
+    """``entities`` with their number from 1 within ``by`` (or over all), in the order of ``order``; in ``ranges`` tasks."""
+    ranges = ranges or int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = [by] if by else []
+    # stored, as the ranges have to be the same for counting and for numbering
+    dealt = stored(entities.repartitionByRange(ranges, *groups, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_held"))
+    # a row for each type and range
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*groups, "_range", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(order)))
+    return own.join(F.broadcast(before), [*groups, "_range"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).select(*entities.columns, name)
 
 
-def new_rows(seen: DataFrame, mapping: DataFrame, salt: str = "", created_at=None, ranges: int = 0) -> DataFrame:
+def new_rows(seen: DataFrame, mapping: DataFrame, salt: str = "", created_at=None, ranges: int | None = None) -> DataFrame:
     """Mapping rows for the entities that the mapping doesn't have."""
     fresh = seen.join(mapping.select("original", "entity_type"), ["original", "entity_type"], "left_anti")
     held = mapping.groupBy("entity_type").agg(F.count(F.lit(1)).alias("held"))
@@ -70,15 +76,15 @@ def upsert(seen: DataFrame, mapping: DataFrame, salt: str = "", created_at=None)
     return mapping.select("original", "entity_type", "replacement", "first_seen_file", "created_at").unionByName(new_rows(seen, mapping, salt, created_at))
 
 
-def rewrite(detected: DataFrame, mapping: DataFrame, key: list[str], text: str = "text", into: str = "sanitized") -> DataFrame:
-    """``detected`` with ``into``: the text with each span replaced by its entity's replacement.
+def rewrite(fragments: DataFrame, spans: DataFrame, mapping: DataFrame, key: list[str], text: str = "text", into: str = "sanitized") -> DataFrame:
+    """``fragments`` with ``into``: the text with each of its spans replaced by its entity's replacement.
 
     ``key`` names a fragment.  Only spans travel to the mapping; fragments without
     any stay as they are.
     """
-    placed = exploded(detected, *key).join(mapping.select("original", "entity_type", "replacement"), ["original", "entity_type"])
+    placed = spans.select(*key, "s", "e", "original", "entity_type").join(mapping.select("original", "entity_type", "replacement"), ["original", "entity_type"])
     per_fragment = placed.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("s", "e", "replacement"))).alias("_replacements"))
-    joined = detected.join(per_fragment, key, "left")
+    joined = fragments.join(per_fragment, key, "left")
     empty = F.array().cast("array<struct<s:int,e:int,replacement:string>>")
     return joined.withColumn(into, splice(F.col(text), F.coalesce("_replacements", empty))).drop("_replacements")
 

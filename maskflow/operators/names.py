@@ -25,20 +25,28 @@ def parse_response(response: Column) -> Column:
 
 
 def ask(fragments: DataFrame, recogniser: Callable[[list[str]], list[str]], text: str = "text") -> DataFrame:
-    """``fragments`` with ``response``: the recogniser's answer to the first characters of each text; errors are empty answers."""
+    """``fragments`` with ``response``, the recogniser's answer to the first characters of each text, and ``error``.
+
+    Where the recogniser fails, texts have an empty answer and the error is kept:
+    a job goes on without names, and its caller can see why.
+    """
     from pyspark.sql.types import StringType, StructField, StructType
 
-    out = StructType([*fragments.schema, StructField("response", StringType())])
+    out = StructType([*fragments.schema, StructField("response", StringType()), StructField("error", StringType())])
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
             texts = [(t or "")[:MOST_CHARACTERS] for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            error = None
             try:
                 answers = recogniser(texts)
-            except Exception:  # a model that fails finds nothing
-                answers = ["[]"] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=[*batch.schema.names, "response"])
+                if len(answers) != len(texts):
+                    raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+            except Exception as e:
+                answers, error = ["[]"] * len(texts), f"{type(e).__name__}: {e}"
+            columns = [*batch.columns, pa.array(answers, pa.string()), pa.array([error] * len(texts), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "response", "error"])
 
     return fragments.mapInArrow(run, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.functions.spans import earliest_wins, no_spans
+from maskflow.functions.spans import earliest_wins, no_spans, quoted
 from maskflow.operators.dictionary import find_keywords
 from maskflow.operators.rules import RULES, Rule, find_all
 
@@ -66,7 +66,7 @@ def located(text: Column, entities: Column) -> Column:
     )
 
     def places(e: Column, k: Column) -> Column:
-        gaps = F.split(text, F.concat(F.lit("\\Q"), e["text"], F.lit("\\E")), -1)
+        gaps = F.split(text, quoted(e["text"]), -1)
         ends = F.aggregate(
             F.slice(gaps, 1, F.size(gaps) - 1),
             F.struct(F.lit(0).alias("at"), no_spans().alias("out")),

@@ -43,49 +43,45 @@ class Rule:
     entity_type: str
     pattern: str
     check: Callable[[Column], Column] | None = None
+    #: what every match of the pattern contains, cheap to look for; texts without it aren't searched
+    holds: str | None = None
 
 
 # Patterns and types, in order of priority.
 RULES: tuple[Rule, ...] = (
-    Rule("china_id", "china_id", r"(?U)\b[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]\b", passes_china_id),
-    Rule("hk_id", "hk_id", r"(?U)\b[A-Z]{1,2}\d{6}\(\d\)"),
-    Rule("credit_card", "credit_card", r"(?U)\b(?:\d{4}[\s-]?){3,4}\d{1,4}\b", passes_luhn),
-    Rule("bitcoin", "crypto_address", r"(?U)\b(?:[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[a-zA-HJ-NP-Z0-9]{25,62})\b"),
-    Rule("evm", "crypto_address", r"(?U)\b0x[0-9a-fA-F]{40}\b"),
-    Rule("tron", "crypto_address", r"(?U)\bT[a-km-zA-HJ-NP-Z1-9]{33}\b"),
-    Rule("tx_hash", "tx_hash", r"(?U)\b(?:0x)?[0-9a-fA-F]{64}\b"),
-    Rule("iban", "iban", r"(?U)\b[A-Z]{2}\d{2}[\s]?[A-Z0-9]{4}[\s]?(?:[A-Z0-9]{4}[\s]?){1,7}[A-Z0-9]{1,4}\b", iban_length),
-    Rule("swift_code", "swift_code", r"(?U)\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b"),
-    Rule("invoice_no", "invoice_no", r"(?iU)(?:发票号[码]?|票号|Invoice[\s]?No\.?|Inv[\s]?[#.])[\s:：#]*([A-Za-z0-9\-]{6,20})"),
-    Rule("contract_no", "contract_no", r"(?iU)(?:合同[编号]*|Contract[\s]?No\.?|协议[编号]*|Agreement[\s]?No\.?)[\s:：#]*([A-Za-z0-9\-]{4,30})"),
-    Rule("email", "email", r"(?U)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"),
-    Rule("url", "url", r"(?iU)(?:https?://|www\.)[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?)*(?:\.[a-zA-Z]{2,})(?:[/\w\-.~:/?#\[\]@!$&'()*+,;=%]*)?"),
-    Rule("phone", "phone", r"(?U)(?:\+\d{1,3}[\s.-]?)(?:\(?\d{1,4}\)?[\s.-]?)*\d{4,}"),
-    Rule("china_mobile", "phone", r"(?U)\b1[3-9]\d{9}\b"),
-    Rule("tax_id", "tax_id", r"(?U)\b[0-9A-HJ-NP-RTUW-Y]{2}\d{6}[0-9A-HJ-NP-RTUW-Y]{10}\b"),
-    Rule("bank_account", "bank_account", r"(?U)\b\d{9,18}\b"),
+    Rule("china_id", "china_id", r"(?U)\b[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]\b", passes_china_id, holds=r"[1-9]\p{Nd}{16}"),
+    Rule("hk_id", "hk_id", r"(?U)\b[A-Z]{1,2}\d{6}\(\d\)", holds=r"[A-Z]\p{Nd}{6}\("),
+    Rule("credit_card", "credit_card", r"(?U)\b(?:\d{4}[\s-]?){3,4}\d{1,4}\b", passes_luhn, holds=r"\p{Nd}{4}"),
+    Rule("bitcoin", "crypto_address", r"(?U)\b(?:[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[a-zA-HJ-NP-Z0-9]{25,62})\b", holds=r"[13][a-km-zA-HJ-NP-Z1-9]{25}|bc1[a-zA-HJ-NP-Z0-9]{25}"),
+    Rule("evm", "crypto_address", r"(?U)\b0x[0-9a-fA-F]{40}\b", holds=r"0x[0-9a-fA-F]{40}"),
+    Rule("tron", "crypto_address", r"(?U)\bT[a-km-zA-HJ-NP-Z1-9]{33}\b", holds=r"T[a-km-zA-HJ-NP-Z1-9]{33}"),
+    Rule("tx_hash", "tx_hash", r"(?U)\b(?:0x)?[0-9a-fA-F]{64}\b", holds=r"[0-9a-fA-F]{64}"),
+    Rule("iban", "iban", r"(?U)\b[A-Z]{2}\d{2}[\s]?[A-Z0-9]{4}[\s]?(?:[A-Z0-9]{4}[\s]?){1,7}[A-Z0-9]{1,4}\b", iban_length, holds=r"[A-Z]{2}\p{Nd}{2}"),
+    Rule("swift_code", "swift_code", r"(?U)\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", holds=r"[A-Z]{6}"),
+    Rule("invoice_no", "invoice_no", r"(?iU)(?:发票号[码]?|票号|Invoice[\s]?No\.?|Inv[\s]?[#.])[\s:：#]*([A-Za-z0-9\-]{6,20})", holds=r"(?iu)发票号|票号|inv"),
+    Rule("contract_no", "contract_no", r"(?iU)(?:合同[编号]*|Contract[\s]?No\.?|协议[编号]*|Agreement[\s]?No\.?)[\s:：#]*([A-Za-z0-9\-]{4,30})", holds=r"(?iu)合同|协议|contract|agreement"),
+    Rule("email", "email", r"(?U)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", holds=r"@"),
+    Rule("url", "url", r"(?iU)(?:https?://|www\.)[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?)*(?:\.[a-zA-Z]{2,})(?:[/\w\-.~:/?#\[\]@!$&'()*+,;=%]*)?", holds=r"(?iu)https?://|www\."),
+    Rule("phone", "phone", r"(?U)(?:\+\d{1,3}[\s.-]?)(?:\(?\d{1,4}\)?[\s.-]?)*\d{4,}", holds=r"\+\p{Nd}"),
+    Rule("china_mobile", "phone", r"(?U)\b1[3-9]\d{9}\b", holds=r"1[3-9]\p{Nd}{9}"),
+    Rule("tax_id", "tax_id", r"(?U)\b[0-9A-HJ-NP-RTUW-Y]{2}\d{6}[0-9A-HJ-NP-RTUW-Y]{10}\b", holds=r"\p{Nd}{6}[0-9A-HJ-NP-RTUW-Y]{10}"),
+    Rule("bank_account", "bank_account", r"(?U)\b\d{9,18}\b", holds=r"\p{Nd}{9}"),
 )
 
-#: What every match of any of RULES contains; texts without it aren't searched.  Matches
-#: have a digit, an @, the start of a link or a label, or else (swift_code, and tron and
-#: tx_hash of letters alone) six ASCII letters in a row.
-ANY_RULE = r"(?iU)\d|@|www\.|https?://|[A-Z]{6}|发票号|票号|合同|协议|Inv|Contract|Agreement"
-
-
 def raw_matches(text: Column, rule: Rule) -> Column:
     """All matches of one rule, checked, whatever other rules find."""
-    return _checked(finditer(text, rule.pattern, 1, RULES.index(rule) if rule in RULES else 0, rule.entity_type), rule)
+    return _found(text, RULES.index(rule) if rule in RULES else 0, rule)
 
 
 def find_all(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Spans of all rules, earlier rules first where they overlap, sorted by start."""
-    found = []
-    for k, rule in enumerate(rules):
-        found.append(_checked(finditer(text, rule.pattern, 1, k, rule.entity_type), rule))
-    unsearched = is_blank(text)
-    if all(rule in RULES for rule in rules):  # of other rules ANY_RULE knows nothing
-        unsearched = unsearched | ~text.rlike(ANY_RULE)
-    return F.when(unsearched, no_spans()).otherwise(first_wins(F.concat(*found)))
+    found = F.concat(*[_found(text, k, rule) for k, rule in enumerate(rules)])
+    return F.when(is_blank(text), no_spans()).otherwise(first_wins(found))
+
+
+def _found(text: Column, k: int, rule: Rule) -> Column:
+    spans = _checked(finditer(text, rule.pattern, 1, k, rule.entity_type), rule)
+    return spans if rule.holds is None else F.when(text.rlike(rule.holds), spans).otherwise(no_spans())
 
 
 def _checked(spans: Column, rule: Rule) -> Column:

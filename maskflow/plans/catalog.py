@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskflow.functions.spans import finditer
 from maskflow.operators import incremental, names, pseudonyms, scaling
 from maskflow.operators import mapping as M
 from maskflow.operators.dictionary import find_keywords, parse_keywords
@@ -110,8 +109,8 @@ def keyword_file_parse(spark, d):
 def _numbered_query(name: str, table: str, column: str, key: str, kind: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         seen = _table(spark, d, table).groupBy(F.col(column).alias("original")).agg(F.min(key).alias("seen"))
-        placed = M.numbered(seen.withColumn("entity_type", F.lit(kind)))
-        return placed.select("original", pseudonyms.labelled(F.lit(kind), F.col("number").cast("bigint")).alias("replacement"))
+        placed = M.numbered(seen, by=None)
+        return placed.select("original", pseudonyms.labelled(F.lit(kind), F.col("number")).alias("replacement"))
 
     QUERIES[name] = run
 
@@ -122,29 +121,31 @@ for _args in oracle.NUMBERED:
 
 def _email_spans(spark: SparkSession, d: str) -> DataFrame:
     rule = next(r for r in RULES if r.name == "email")
-    return _documents(spark, d).withColumn("spans", finditer(F.col("text"), rule.pattern, 1, 0, "email"))
+    return _documents(spark, d).withColumn("spans", raw_matches(F.col("text"), rule))
 
 
-def _mapping_of(detected: DataFrame, order: list[str]) -> DataFrame:
-    seen = M.first_seen(exploded(detected, *order), order)
-    return M.upsert(seen, M.empty_mapping(detected.sparkSession), created_at=EPOCH)
+def _mapping_of(spans: DataFrame, order: list[str]) -> DataFrame:
+    return M.upsert(M.first_seen(spans, order), M.empty_mapping(spans.sparkSession), created_at=EPOCH)
+
+
+def _rewritten(detected: DataFrame, key: list[str]) -> DataFrame:
+    spans = M.held_spans(detected, *key)
+    return M.rewrite(detected.drop("spans"), spans, _mapping_of(spans, key), key)
 
 
 @query
 def map_email(spark, d):
-    return _mapping_of(_email_spans(spark, d), ["doc_id"]).select("original", "replacement")
+    return _mapping_of(exploded(_email_spans(spark, d), "doc_id"), ["doc_id"]).select("original", "replacement")
 
 
 @query
 def sanitized_emails(spark, d):
-    detected = _email_spans(spark, d)
-    return M.rewrite(detected, _mapping_of(detected, ["doc_id"]), ["doc_id"]).select("doc_id", "sanitized")
+    return _rewritten(_email_spans(spark, d), ["doc_id"]).select("doc_id", "sanitized")
 
 
 @query
 def sanitized_documents(spark, d):
-    detected = detect_each(_documents(spark, d), KEYWORDS)
-    return M.rewrite(detected, _mapping_of(detected, ["doc_id"]), ["doc_id"]).select("doc_id", "sanitized")
+    return _rewritten(detect_each(_documents(spark, d), KEYWORDS), ["doc_id"]).select("doc_id", "sanitized")
 
 
 def _formed_query(kind: str) -> None:
@@ -242,7 +243,7 @@ def html_text_nodes(spark, d):
 def sanitized_pages(spark, d):
     pages = _table(spark, d, "pages").select("page_id", "html")
     nodes = detect_each(html.text_nodes(pages), KEYWORDS)
-    rewritten = M.rewrite(nodes, _mapping_of(nodes, ["page_id", "frag_ord"]), ["page_id", "frag_ord"])
+    rewritten = _rewritten(nodes, ["page_id", "frag_ord"])
     return html.with_nodes(pages, rewritten).select("page_id", "sanitized")
 
 
@@ -263,7 +264,7 @@ def folder_manifest(spark, d):
 @query
 def output_paths(spark, d):
     parts = detect_each(files.path_parts(files.manifest(_listed(spark, d), "/root")), [("company", "src1")])
-    return files.joined_paths(M.rewrite(parts, _mapping_of(parts, ["relative", "part_ord"]), ["relative", "part_ord"]))
+    return files.joined_paths(_rewritten(parts, ["relative", "part_ord"]))
 
 
 @query

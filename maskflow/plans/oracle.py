@@ -10,6 +10,7 @@ from __future__ import annotations
 from maskflow.operators.dictionary import by_priority
 from maskflow.operators.pseudonyms import DIGITS, FORMED, HEXADECIMAL, LABELS, UPPER
 from maskflow.operators.rules import ID_CHECKS, ID_WEIGHTS, RULES
+from maskflow.sources.html import MARKUP, NAMED
 
 #: Rules that the documents themselves have matches for.
 NATURAL = ("credit_card", "swift_code", "email", "phone", "bank_account")
@@ -240,8 +241,8 @@ def _sanitized(source: str) -> str:
   FROM (SELECT entity_type, original, doc_id, s, row_number() OVER (PARTITION BY entity_type, original ORDER BY doc_id, s DESC) AS k FROM spans) WHERE k = 1),
  map AS (SELECT entity_type, x, CASE entity_type {form} {label} END AS replacement FROM (SELECT entity_type, original AS x, n, {_stream('original')} AS st FROM firsts)),
  cut AS (SELECT doc_id, s, e, replacement, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans JOIN map ON spans.entity_type = map.entity_type AND spans.original = map.x),
- done AS (SELECT doc_id, string_agg(substr(text, CAST(before + 1 AS BIGINT), CAST(s - before AS BIGINT)) || replacement, '' ORDER BY s) AS head, max(e) AS last FROM cut JOIN documents USING (doc_id) GROUP BY doc_id)
- SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || substr(text, CAST(last + 1 AS BIGINT)) END AS sanitized FROM documents LEFT JOIN done USING (doc_id)"""
+ done AS (SELECT doc_id, string_agg(substr(text, CAST(before + 1 AS BIGINT), CAST(s - before AS BIGINT)) || replacement, '' ORDER BY s) AS head, max(e) AS last FROM cut JOIN {source} USING (doc_id) GROUP BY doc_id)
+ SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || substr(text, CAST(last + 1 AS BIGINT)) END AS sanitized FROM {source} LEFT JOIN done USING (doc_id)"""
 
 
 def _factor(seed: str) -> str:
@@ -259,7 +260,17 @@ def _scaled(v: str, factor: str) -> str:
 _CELL = CSV_CELL.replace("STRING", "VARCHAR")
 _MANIFEST = f"""SELECT path, substr(path, 7) AS relative, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS extension, size FROM (SELECT {_PATH} AS path, n_chars AS size FROM documents)
  WHERE path NOT LIKE '%/.hidden/%' AND path NOT LIKE '%/~$%' AND lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.xlsx', '.xls', '.csv', '.tsv', '.txt', '.docx', '.pdf', '.html', '.htm')"""
-_MARKUP = r"'(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<code\b.*?</code\s*>|<pre\b.*?</pre\s*>|<!--.*?-->|<[^>]*>'"
+_MARKUP = _quoted(MARKUP)
+_READ = "t"
+for _name, _mark in (*((n, m) for n, m in NAMED.items() if n != "amp"), ("amp", "&")):
+    _READ = f"replace({_READ}, '&{_name};', {_quoted(_mark)})"
+_NODES = f"""SELECT page_id, i - 1 AS frag, page_id * 1000000 + i - 1 AS doc_id, text FROM (SELECT page_id, i, {_READ} AS text FROM (SELECT page_id, g[i] AS t, i
+ FROM (SELECT page_id, g, unnest(range(1, len(g) + 1)) AS i FROM (SELECT page_id, string_split_regex(html, {_MARKUP}) AS g FROM pages)))) WHERE regexp_matches(text, '[^\\s]')"""
+_PAGES = f"""WITH nodes AS MATERIALIZED ({_NODES}), rewritten AS ({_sanitized('nodes')}),
+ parts AS (SELECT page_id, i, g[i] AS gap, coalesce(h[i], '') AS markup FROM (SELECT page_id, g, h, unnest(range(1, len(g) + 1)) AS i
+  FROM (SELECT page_id, string_split_regex(html, {_MARKUP}) AS g, regexp_extract_all(html, {_MARKUP}) AS h FROM pages))),
+ put AS (SELECT n.page_id, frag, replace(replace(replace(sanitized, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS own FROM nodes n JOIN rewritten USING (doc_id) WHERE sanitized <> text)
+ SELECT p.page_id, string_agg(coalesce(own, gap) || markup, '' ORDER BY i) AS sanitized FROM parts p LEFT JOIN put ON put.page_id = p.page_id AND frag = i - 1 GROUP BY p.page_id"""
 _CUSTOMER_MAP = f"""SELECT 'company' AS entity_type, original, replacement FROM ({_numbered('customer', 'c_name', 'c_custkey', 'company')})
  UNION ALL SELECT 'bank_name', original, replacement FROM ({_numbered('customer', 'c_mktsegment', 'c_custkey', 'bank_name')})"""
 _HOLDS = " OR ".join(f"contains(lower(text), lower({_quoted(k)}))" for _, k in KEYWORDS)
@@ -312,8 +323,8 @@ SQL: dict[str, str] = {
  FROM (SELECT p_partkey, p_size, {_CELL} AS cell FROM part)""",
     "excel_cell_dispatch": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'keep' ELSE 'sanitize' END
  WHEN o_orderkey % 3 = 1 THEN CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_totalprice BETWEEN 2000 AND 2099 THEN 'keep' ELSE 'scale' END ELSE 'keep' END AS action FROM orders""",
-    "html_text_nodes": f"""SELECT page_id, count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS chars FROM (SELECT page_id, unnest(string_split_regex(html, {_MARKUP})) AS t FROM pages)
- WHERE regexp_matches(t, '[^\\s]') GROUP BY page_id""",
+    "html_text_nodes": f"SELECT page_id, count(*) AS n, CAST(sum(len(text)) AS BIGINT) AS chars FROM ({_NODES}) GROUP BY page_id",
+    "sanitized_pages": _PAGES,
     "file_type_histogram": f"""SELECT CASE WHEN extension IN ('.xlsx', '.xls') THEN 'Excel' WHEN extension IN ('.csv', '.tsv') THEN 'CSV' WHEN extension = '.docx' THEN 'Word' WHEN extension = '.pdf' THEN 'PDF'
  WHEN extension = '.txt' THEN 'Text' ELSE 'HTML' END AS file_type, count(*) AS n FROM ({_MANIFEST}) GROUP BY file_type""",
     "folder_manifest": f"SELECT relative, extension, size, CAST(row_number() OVER (ORDER BY relative) AS INTEGER) AS file_ord FROM ({_MANIFEST})",

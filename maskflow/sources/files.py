@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskflow.operators.mapping import numbered
+
 # The extensions that are read, and their groups.
 EXTENSIONS = (".xlsx", ".xls", ".csv", ".tsv", ".txt", ".docx", ".pdf", ".html", ".htm")
 GROUPS = (("Excel", (".xlsx", ".xls")), ("CSV", (".csv", ".tsv")), ("Word", (".docx",)), ("PDF", (".pdf",)), ("Text", (".txt",)), ("HTML", (".html", ".htm")))
@@ -25,8 +27,7 @@ def manifest(listed: DataFrame, root: str = "") -> DataFrame:
     kept = df.withColumn("extension", extension(F.col("path"))).filter(
         ~folders.rlike(r"(^|/)\.[^/]+/") & ~name.startswith(".") & ~name.startswith("~$") & F.col("extension").isin(*EXTENSIONS)
     )
-    # one row for each file of a folder that a user picks
-    return kept.withColumn("file_ord", F.row_number().over(Window.orderBy("relative")))
+    return numbered(kept, None, "relative", "file_ord").withColumn("file_ord", F.col("file_ord").cast("int"))
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:

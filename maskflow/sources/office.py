@@ -117,6 +117,14 @@ def document_paragraphs(content: bytes):
                 yield name[5:11], text(p)
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL string, made where the session is."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def _looks_like_xml(content: bytes) -> bool:
     return content.lstrip(b"\xef\xbb\xbf \r\n\t")[:5] == b"<?xml"
 
@@ -124,13 +132,12 @@ def _looks_like_xml(content: bytes) -> bool:
 def read_cells(files: DataFrame) -> DataFrame:
     """Cells of workbooks in (path, content); the XML of 2003 is known by its beginning."""
 
+    schema = arrow_schema(CELLS)
+
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        names = [c.split()[0] for c in CELLS.split(", ")]
-        schema = to_arrow_schema(StructType.fromDDL(CELLS))
+        names = schema.names
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
@@ -150,12 +157,11 @@ def read_cells(files: DataFrame) -> DataFrame:
 def read_paragraphs(files: DataFrame) -> DataFrame:
     """Paragraphs of documents in (path, content), in the order in which they are worked on."""
 
+    schema = arrow_schema(PARAGRAPHS)
+
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromDDL(PARAGRAPHS))
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from maskflow.functions.spans import splice
 from maskflow.operators import mapping as M
 from maskflow.operators.pseudonyms import FORMED, formed
-from maskflow.operators.resolve import detect_each, exploded
+from maskflow.operators.mapping import held_spans
+from maskflow.operators.resolve import detect_each
 
 
 def mask_formed(stream: DataFrame, keywords: list[tuple[str, str]] = (), salt: str = "", text: str = "text") -> DataFrame:
@@ -37,18 +38,17 @@ def sanitize_stream(stream: DataFrame, mapping_path: str, output_path: str, key:
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        detected = detect_each(batch, keywords).persist()
+        spans = held_spans(detect_each(batch, keywords), key)
         try:
             before = spark.read.schema(M.MAPPING + ", batch bigint").parquet(mapping_path).filter(F.col("batch") < number).drop("batch")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             before = M.empty_mapping(spark)
-        seen = M.first_seen(exploded(detected, key), [key])
+        seen = M.first_seen(spans, [key])
         fresh = M.new_rows(seen, before, salt)
         fresh.write.mode("overwrite").parquet(f"{mapping_path}/batch={number}")
         whole = before.unionByName(spark.read.schema(M.MAPPING).parquet(f"{mapping_path}/batch={number}"))
-        M.rewrite(detected, whole, [key]).drop("spans").write.mode("overwrite").parquet(f"{output_path}/batch={number}")
-        detected.unpersist()
+        M.rewrite(batch, spans, whole, [key]).write.mode("overwrite").parquet(f"{output_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(work)

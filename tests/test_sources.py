@@ -71,11 +71,31 @@ def test_html_round_trip(spark):
     page = '<p>Mail <b>a@x.com</b></p><script>var t="</p>"; b@x.com</script><!-- c@x.com -->tail'
     df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")
     nodes = html.text_nodes(df)
-    assert [r["text"] for r in nodes.orderBy("frag_ord").collect()] == ["Mail ", "a@x.com", "tail"]
-    back = html.with_nodes(df, nodes.withColumnRenamed("text", "sanitized"))
+    assert [r["text"] for r in nodes.orderBy("frag_ord").collect()] == ["Mail ", "a@x.com", " c@x.com ", "tail"]
+    back = html.with_nodes(df, nodes.withColumn("sanitized", nodes["text"]))
     assert {r["page_id"]: r["sanitized"] for r in back.collect()}[1] == page
 
 
+def test_html_parents_and_references(spark):
+    pages = {
+        1: "<pre>own<b>x@y.com</b>own<br>own</pre>out",
+        2: "<code><span>in@code.com</span></code>",
+        3: '<a title="a>b" href=\'x">\'>link</a>',
+        4: "mail a&#64;x.com &amp; b&#x40;x.com 1 < 2 &lt;",
+        5: "<pre>a<p>b</pre>c</p>d",
+        6: "<PRE>x</PRE><Code/>y &#0; &unknown;",
+    }
+    df = spark.createDataFrame(list(pages.items()), "page_id int, html string")
+    nodes = html.text_nodes(df)
+    got = {}
+    for r in nodes.orderBy("page_id", "frag_ord").collect():
+        got.setdefault(r["page_id"], []).append(r["text"])
+    assert got == {1: ["x@y.com", "out"], 2: ["in@code.com"], 3: ["link"], 4: ["mail a@x.com & b@x.com 1 < 2 <"], 5: ["b", "c", "d"], 6: ["y \ufffd &unknown;"]}
+    upper = nodes.withColumn("sanitized", __import__("pyspark").sql.functions.upper("text"))
+    back = {r["page_id"]: r["sanitized"] for r in html.with_nodes(df, upper).collect()}
+    assert back[1] == "<pre>own<b>X@Y.COM</b>own<br>own</pre>OUT" and back[4] == "MAIL A@X.COM &amp; B@X.COM 1 &lt; 2 &lt;" and back[3] == '<a title="a>b" href=\'x">\'>LINK</a>'
+
+
 def test_output_paths(spark):
     listed = spark.createDataFrame([("/root/x/Acme.xls", 1)], "path string, size bigint")
     parts = files.path_parts(files.manifest(listed, "/root"))
