@@ -178,7 +178,7 @@ def deal_runs(docs: DataFrame, rule: RepeatRule, bits: int) -> DataFrame:
             by_run = (np.repeat(size, size) > MANY) & (np.arange(len(kept[0])) - np.repeat(begin, size) > 1)
             for kind, chosen in ((0, ~by_run), (3, by_run)):
                 own = [c[chosen] for c in kept]
-                shard = _top(mix(own[1]) if kind else own[0], bits)
+                shard = _top(mix(own[1] if kind else own[0]), bits)  # anchors are the smallest of many hashes: as they are, most have small ones
                 order = np.argsort(shard, kind="stable")
                 shard = shard[order]
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
