@@ -130,3 +130,36 @@ class Shards:
 def shard_bits(partitions: int, least: int = 4) -> int:
     """Top bits for about eight shards to each partition of the input, so shards keep their size as the input grows."""
     return max(least, (max(1, partitions) * 8 - 1).bit_length())
+
+
+class Objects:
+    """Whole files of a shared folder, written at once and read by ranges."""
+
+    def __init__(self, uri: str):
+        self.uri = uri.rstrip("/")
+
+    def put(self, name: str, data: bytes) -> None:
+        folder, attempt = local_path(self.uri), f".{name}.{uuid.uuid4().hex}"
+        if folder is not None:
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{folder}/{attempt}", "wb") as f:
+                f.write(data)
+            os.replace(f"{folder}/{attempt}", f"{folder}/{name}")
+            return
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.uri)
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/{attempt}") as f:
+            f.write(data)
+        store.move(f"{path}/{attempt}", f"{path}/{name}")
+
+    def open(self, name: str):
+        """A file that can be sought and read."""
+        folder = local_path(self.uri)
+        if folder is not None:
+            return open(f"{folder}/{name}", "rb")
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.uri)
+        return store.open_input_file(f"{path}/{name}")

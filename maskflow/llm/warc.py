@@ -1,16 +1,23 @@
 """Seekable Zstandard bundles of WARC records.
 
-A bundle is one file: independent Zstandard frames, each holding a few whole
-records, then a skippable frame with the seek table of Zstandard's seekable
-format (compressed and decompressed size of every frame).  An index maps a
-record identifier to its bundle, its frame, and its place within the frame's
-content, so a record is read by one frame.
+A bundle is a file ``<bundle>.warc.zst`` in the shared folder: independent Zstandard
+frames, each holding a few whole records, then a skippable frame with the seek table
+of Zstandard's seekable format (compressed and decompressed size of every frame).
+An index table maps a record identifier to its bundle, its frame, and its place
+within the frame's content.  Identifiers begin with the task's number, so the
+index's files have ranges of their own and a look-up reads one of them.  A record
+is read by its bundle's seek table and the bytes of one frame.
+
+A bundle's name has the attempt that wrote it and the index comes from the attempt
+that Spark commits, so a task that runs again leaves at most files that no index
+row names.
 
 Payloads that equal an earlier page's are written as ``revisit`` records without
 a body.  Spark finds the equal ones by digest: the smallest page_id of a digest
 comes from a partial aggregate, so thousands of copies shuffle as one row for
-each task, and the join back to the pages is one that adaptive execution splits
-where a digest is hot.
+each task.  Only digests of several pages are joined back to the pages: broadcast
+while they are few, so payloads stay where they are, else by a join that adaptive
+execution splits where a digest is hot.
 
 Defined results: a null html is an empty payload; a null url is an empty target;
 a null page_id comes after all others and, as the smallest of its digest, makes a
@@ -29,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskflow.llm.shared import scratch
+from maskflow.llm.arraystore import Objects
+from maskflow.llm.shared import scratch, sized_join, stored
 
 # Fixed values of Zstandard's seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -47,25 +55,7 @@ class BundleParams:
     level: int = 3
 
 
-BUNDLES = T.StructType(
-    [
-        T.StructField("bundle", T.StringType()),
-        T.StructField("archive", T.BinaryType()),
-        T.StructField(
-            "entries",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("record_id", T.StringType()),
-                        T.StructField("frame", T.IntegerType()),
-                        T.StructField("offset", T.LongType()),
-                        T.StructField("length", T.LongType()),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
+INDEX = "record_id string, bundle string, frame int, offset bigint, length bigint"
 
 
 def digest(payload: bytes) -> str:
@@ -147,27 +137,33 @@ class BundleWriter:
 
 
 class BundleReader:
-    """Reads single frames of an archive by its seek table."""
+    """Reads single frames of an open bundle by its seek table."""
 
-    def __init__(self, archive: bytes):
+    def __init__(self, file):
+        import io
         import zstandard
 
-        self.archive, self.decompressor = archive, zstandard.ZstdDecompressor()
-        n, flags, magic = struct.unpack("<IBI", archive[-9:])
+        self.file, self.decompressor = file, zstandard.ZstdDecompressor()
+        size = file.seek(0, io.SEEK_END) or file.tell()
+        n, flags, magic = struct.unpack("<IBI", self._read(size - 9, 9))
         if magic != SEEKABLE_MAGIC or flags:
             raise ValueError("no seek table")
-        at = len(archive) - 9 - 8 * n
-        if struct.unpack("<II", archive[at - 8 : at]) != (SKIPPABLE_MAGIC, 8 * n + 9):
+        table = self._read(size - 17 - 8 * n, 8 * n + 8)
+        if struct.unpack_from("<II", table) != (SKIPPABLE_MAGIC, 8 * n + 9):
             raise ValueError("no seek table")
         self.frames, begin = [], 0
-        for k in range(n):
-            packed, size = struct.unpack_from("<II", archive, at + 8 * k)
-            self.frames.append((begin, packed, size))
+        for k in range(1, n + 1):
+            packed, content = struct.unpack_from("<II", table, 8 * k)
+            self.frames.append((begin, packed, content))
             begin += packed
 
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
     def frame(self, k: int) -> bytes:
         begin, packed, size = self.frames[k]
-        return self.decompressor.decompress(self.archive[begin : begin + packed], max_output_size=max(size, 1))
+        return self.decompressor.decompress(self._read(begin, packed), max_output_size=max(size, 1))
 
     def record(self, frame: int, offset: int, length: int) -> bytes:
         return self.frame(frame)[offset : offset + length]
@@ -178,8 +174,8 @@ def _decided(pages: DataFrame, params: BundleParams) -> DataFrame:
     df = pages.select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
     df = df.withColumn("sha", F.sha1("payload"))
     # the smallest page_id; a null one only if there is no other
-    first = df.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    joined = df.join(first.hint("merge"), "sha", "left")
+    first = stored(df.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "repeated-payloads")
+    joined = sized_join(df, first, "sha", "left")
     repeats = (
         (F.length("payload") >= params.least_bytes)
         & F.col("first_id").isNotNull()
@@ -197,27 +193,24 @@ def _decided(pages: DataFrame, params: BundleParams) -> DataFrame:
 
 
 def write_bundles(pages: DataFrame, params: BundleParams = BundleParams(), path: str | None = None) -> str:
-    """Write all pages as bundles; returns the folder, a Parquet table of (bundle, archive, entries).
-
-    Archives are values of a table, so any store that Spark writes to can hold
-    them, and a task that is run again leaves one copy.
-    """
-    path = path or scratch(pages.sparkSession, "warc")
+    """Write all pages; returns the folder, with ``bundles`` (files) and ``index`` (a Parquet table) below it."""
+    path = (path or scratch(pages.sparkSession, "warc")).rstrip("/")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        kind = pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
-        writer, part, n, number = BundleWriter(params), TaskContext.get().partitionId(), 0, 0
+        writer, objects, n, number = BundleWriter(params), Objects(f"{path}/bundles"), 0, 0
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
 
         def bundle():
             nonlocal number
             archive, entries = writer.finish()
+            name = f"{part:06d}-{attempt}-{number:05d}"
             number += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([f"{part:06d}-{number:05d}"]), pa.array([archive], pa.binary()), pa.array([entries], kind)], names=["bundle", "archive", "entries"]
-            )
+            objects.put(f"{name}.warc.zst", archive)
+            columns = [pa.array([e[c] for e in entries], t) for c, t in (("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()))]
+            return pa.RecordBatch.from_arrays([columns[0], pa.array([name] * len(entries)), *columns[1:]], names=["record_id", "bundle", "frame", "offset", "length"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -230,7 +223,7 @@ def write_bundles(pages: DataFrame, params: BundleParams = BundleParams(), path:
         if writer.entries:
             yield bundle()
 
-    _decided(pages, params).mapInArrow(run, BUNDLES).write.option("compression", "uncompressed").parquet(path)
+    _decided(pages, params).mapInArrow(run, INDEX).write.parquet(f"{path}/index")
     return path
 
 
@@ -251,67 +244,55 @@ RECORDS = T.StructType(
 
 
 def read_records(spark, path: str) -> DataFrame:
-    """Every record of the bundles in a folder, each found by its index entry; bodies are checked against their digests."""
+    """Every record that the index names, read from its frame; bodies are checked against their digests."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        objects, schema = Objects(f"{path}/bundles"), to_arrow_schema(RECORDS)
+        name, reader, at, data = None, None, -1, b""
         for batch in batches:
-            for row in batch.to_pylist():
-                reader, out, at, data = BundleReader(row["archive"]), [], -1, b""
-                for e in row["entries"]:
-                    if e["frame"] != at:
-                        at, data = e["frame"], reader.frame(e["frame"])
-                    head, body, end = parse_record(data, e["offset"])
-                    if end != e["offset"] + e["length"] or not head["WARC-Record-ID"].endswith(f"{e['record_id']}>"):
-                        raise ValueError(f"index and record differ: {row['bundle']}, {e['record_id']}")
-                    sha = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if head["WARC-Type"] == "response" and (digest(body) != sha or len(body) != int(head["X-Payload-Length"])):
-                        raise ValueError(f"payload and digest differ: {row['bundle']}, {e['record_id']}")
-                    out.append(
-                        {
-                            "page_id": int(head["X-Page-Id"]) if head["X-Page-Id"] else None,
-                            "payload_bytes": int(head["X-Payload-Length"]),
-                            "payload_digest": sha,
-                            "record_type": head["WARC-Type"],
-                            "refers_to": int(head["X-Refers-To-Page-Id"]) if "X-Refers-To-Page-Id" in head else None,
-                            "url": head["WARC-Target-URI"],
-                            "bundle": row["bundle"],
-                            "record_id": e["record_id"],
-                            "frame": e["frame"],
-                            "offset": e["offset"],
-                        }
-                    )
-                yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(RECORDS))
-
-    return spark.read.schema(BUNDLES).parquet(path).mapInArrow(run, RECORDS)
+            out = []
+            for e in batch.to_pylist():
+                if e["bundle"] != name:
+                    if reader:
+                        reader.file.close()
+                    name, at = e["bundle"], -1
+                    reader = BundleReader(objects.open(f"{name}.warc.zst"))
+                if e["frame"] != at:
+                    at, data = e["frame"], reader.frame(e["frame"])
+                head, body, end = parse_record(data, e["offset"])
+                if end != e["offset"] + e["length"] or not head["WARC-Record-ID"].endswith(f"{e['record_id']}>"):
+                    raise ValueError(f"index and record differ: {name}, {e['record_id']}")
+                sha = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                if head["WARC-Type"] == "response" and (digest(body) != sha or len(body) != int(head["X-Payload-Length"])):
+                    raise ValueError(f"payload and digest differ: {name}, {e['record_id']}")
+                out.append(
+                    {
+                        "page_id": int(head["X-Page-Id"]) if head["X-Page-Id"] else None,
+                        "payload_bytes": int(head["X-Payload-Length"]),
+                        "payload_digest": sha,
+                        "record_type": head["WARC-Type"],
+                        "refers_to": int(head["X-Refers-To-Page-Id"]) if "X-Refers-To-Page-Id" in head else None,
+                        "url": head["WARC-Target-URI"],
+                        "bundle": name,
+                        "record_id": e["record_id"],
+                        "frame": e["frame"],
+                        "offset": e["offset"],
+                    }
+                )
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if reader:
+            reader.file.close()
+
+    return spark.read.schema(INDEX).parquet(f"{path}/index").mapInArrow(run, RECORDS)
 
 
 def fetch(spark, path: str, record_id: str) -> bytes | None:
-    """One record's bytes: its frame alone is decompressed."""
-    found = spark.read.schema(BUNDLES).parquet(path).filter(F.exists("entries", lambda e: e["record_id"] == record_id)).limit(1).collect()
-    for row in found:
-        e = next(x for x in row["entries"] if x["record_id"] == record_id)
-        return BundleReader(bytes(row["archive"])).record(e["frame"], e["offset"], e["length"])
+    """One record's bytes: a row of the index, a seek table, one frame."""
+    found = spark.read.schema(INDEX).parquet(f"{path}/index").filter(F.col("record_id") == record_id).limit(1).collect()
+    for e in found:
+        with Objects(f"{path}/bundles").open(f"{e['bundle']}.warc.zst") as file:
+            return BundleReader(file).record(e["frame"], e["offset"], e["length"])
     return None
-
-
-def export(spark, path: str, folder: str) -> int:
-    """Each bundle as a file ``<bundle>.warc.zst`` in a folder that all executors mount; returns how many."""
-    import os
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for name, archive in zip(names, batch.column(1).to_pylist()):
-                os.makedirs(folder, exist_ok=True)
-                whole = os.path.join(folder, f"{name}.warc.zst")
-                with open(f"{whole}.{os.getpid()}", "wb") as f:
-                    f.write(archive)
-                os.replace(f"{whole}.{os.getpid()}", whole)
-            yield pa.RecordBatch.from_arrays([pa.array(names)], names=["bundle"])
-
-    return spark.read.schema(BUNDLES).parquet(path).select("bundle", "archive").mapInArrow(run, "bundle string").count()
