@@ -34,11 +34,55 @@ from maskflow.llm.textbytes import as_bytes, groups, span_hashes
 NEWLINE = ord("\n")
 
 
+#: Words by hash that a task knows it has sent.
+REMEMBERED = 2_000_000
+
+
 def distinct_words(docs: DataFrame) -> DataFrame:
-    """The distinct words of all texts, with plain spaces turned into marks."""
-    text = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    found = F.regexp_extract_all(text, F.lit(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n"), F.lit(0))
-    return docs.filter("text IS NOT NULL AND text <> ''").select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """(word): the distinct words of all texts, with spaces turned into marks.
+
+    A task sends a word once, as far as it remembers; of two words with one hash the
+    second may be missing, and is cut when it is met.
+    """
+
+    def emit(batches):
+        import pyarrow as pa
+
+        seen = np.zeros(0, np.uint64)
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for b, e in groups([len(t) for t in texts]):
+                text, starts, ends, _ = cut_words(texts[b:e])
+                if not len(text):
+                    continue
+                hashes, first = np.unique(span_hashes(text, starts, ends), return_index=True)
+                if len(seen):
+                    new = seen[np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)] != hashes
+                    hashes, first = hashes[new], first[new]
+                seen = np.union1d(seen, hashes) if len(seen) < REMEMBERED else hashes
+                lengths = ends[first] - starts[first]
+                body = text[spread(starts[first], lengths)]
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body)))
+                yield pa.RecordBatch.from_arrays([words], names=["word"])
+        del seen
+        release()
+
+    return docs.select("text").mapInArrow(emit, "word string").distinct().select(F.replace("word", F.lit(" "), F.lit(SPACE)).alias("word"))
+
+
+def cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with a space before each text, word starts, word ends, first byte of each text)."""
+    lead = [b" " + t.replace(SPACE_BYTES, b" ") if t else b"" for t in texts]
+    text = np.frombuffer(b"".join(lead), np.uint8)
+    sizes = np.fromiter(map(len, lead), np.int64, len(lead))
+    begins = np.cumsum(sizes) - sizes
+    space, line = text == 32, text == NEWLINE
+    edge = line.copy()
+    edge[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    edge[begins[sizes > 0]] = True
+    starts = np.flatnonzero(edge)
+    return text, starts, np.append(starts[1:], len(text)), begins
 
 
 #: Distinct words in a task's lattice; the number of tasks follows from it.
@@ -57,7 +101,7 @@ def _piece_frame(spark, table: PieceTable) -> DataFrame:
 
 
 def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, n, edges): every edge of a word's lattice as (end, start, score, id).
+    """(word, edges): every edge of a word's lattice as (end, start, score, step), a step being start and id in one number.
 
     The join is on a hash of the substring and on the substring itself, so that its
     key is a number.  A character that is no piece has the id -1 - code point.
@@ -73,11 +117,12 @@ def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
     edges = keyed.join(pieces, (F.col("key") == F.col("p_key")) & (F.col("piece") == F.col("p_piece")), "left").filter(
         F.col("id").isNotNull() | (F.col("len") == 1)
     )
+    start = (F.col("start") - 1).alias("start")
     edge = F.struct(
         (F.col("start") + F.col("len") - 1).alias("end"),
-        (F.col("start") - 1).alias("start"),
+        start,
         F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
-        F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
+        (start.cast("bigint") * (1 << 32) + (F.coalesce("id", -1 - F.ascii("piece")).cast("bigint") + (1 << 31))).alias("step"),
     )
     return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
@@ -186,37 +231,44 @@ def best_long_cuts(lattices: DataFrame, longest: int) -> DataFrame:
 def best_cuts(lattices: DataFrame) -> DataFrame:
     """(word, ids): the best cut.
 
-    The fold carries the best edge into every place before the current end, and
-    the best so far into that end; edges come by end, then start, and a later one
-    must be strictly better.
+    The fold carries the best score and step into every place before the current
+    end, and the best so far into that end; edges come by end, then start, and a
+    later one must be strictly better.
     """
-    into = "struct<score:double,start:int,id:int>"
     begin = F.struct(
-        F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(into)).alias("done"),
+        F.array(F.lit(0.0)).alias("scores"),
+        F.array().cast("array<bigint>").alias("steps"),
         F.lit(1).alias("end"),
-        F.struct(F.lit(float("-inf")).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(into).alias("top"),
+        F.lit(float("-inf")).alias("top"),
+        F.lit(0).cast("bigint").alias("step"),
     )
 
     def grow(acc: Column, e: Column) -> Column:
-        same = acc["end"] == e["end"]
-        done = F.when(same, acc["done"]).otherwise(F.array_append(acc["done"], acc["top"]))
-        before = F.when(e["start"] == acc["end"], acc["top"]["score"]).otherwise(F.get(acc["done"], e["start"])["score"])
-        score = before + e["score"]
-        own = F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id"))
-        top = F.when(same & (score <= acc["top"]["score"]), acc["top"]).otherwise(own)
-        return F.struct(done.alias("done"), e["end"].alias("end"), top.alias("top"))
-
-    folded = lattices.select("word", F.aggregate("edges", begin, grow).alias("path"))
-    paths = folded.select("word", F.array_append("path.done", F.col("path.top")).alias("path"))
-    n = F.size("path") - 1
+        in_place = F.get(acc["scores"], e["start"]) + e["score"]
+        better = F.struct(acc["scores"].alias("scores"), acc["steps"].alias("steps"), acc["end"].alias("end"), in_place.alias("top"), e["step"].alias("step"))
+        before = F.when(e["start"] == acc["end"], acc["top"]).otherwise(F.get(acc["scores"], e["start"]))
+        further = F.struct(
+            F.array_append(acc["scores"], acc["top"]).alias("scores"),
+            F.array_append(acc["steps"], acc["step"]).alias("steps"),
+            e["end"].alias("end"),
+            (before + e["score"]).alias("top"),
+            e["step"].alias("step"),
+        )
+        return F.when(acc["end"] != e["end"], further).when(in_place > acc["top"], better).otherwise(acc)
+
+    folded = lattices.select("word", F.aggregate("edges", begin, grow, lambda acc: F.array_append(acc["steps"], acc["step"])).alias("steps"))
+    n = F.size("steps")
     back = F.aggregate(
-        F.sequence(F.lit(1), n),
+        "steps",
         F.struct(n.alias("at"), F.array().cast("array<int>").alias("ids")),
         lambda acc, _: F.when(acc["at"] <= 0, acc).otherwise(
-            F.struct(F.get("path", acc["at"])["start"].alias("at"), F.array_append(acc["ids"], F.get("path", acc["at"])["id"]).alias("ids"))
+            F.struct(
+                F.shiftright(F.get("steps", acc["at"] - 1), 32).cast("int").alias("at"),
+                F.array_append(acc["ids"], (F.get("steps", acc["at"] - 1) % (1 << 32) - (1 << 31)).cast("int")).alias("ids"),
+            )
         ),
     )
-    return paths.select("word", F.reverse(back["ids"]).alias("ids"))
+    return folded.select("word", F.reverse(back["ids"]).alias("ids"))
 
 
 def store_lexicon(cuts: DataFrame, uri: str, bits: int, bytes_from: int) -> Shards:
@@ -268,22 +320,9 @@ class Encoder:
         self.table, self.shards = table, shards
         self.decoder, self.viterbi = Decoder(table), None
 
-    def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes with a space before each text, word starts, word ends, first byte of each text)."""
-        lead = [b" " + t.replace(SPACE_BYTES, b" ") if t else b"" for t in texts]
-        text = np.frombuffer(b"".join(lead), np.uint8)
-        sizes = np.fromiter(map(len, lead), np.int64, len(lead))
-        begins = np.cumsum(sizes) - sizes
-        space, line = text == 32, text == NEWLINE
-        edge = line.copy()
-        edge[1:] |= line[:-1] | (space[1:] & ~space[:-1])
-        edge[begins[sizes > 0]] = True
-        starts = np.flatnonzero(edge)
-        return text, starts, np.append(starts[1:], len(text)), begins
-
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids, decoded bytes equal to the text's)."""
-        text, starts, ends, begins = self.cut(texts)
+        text, starts, ends, begins = cut_words(texts)
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool)
         distinct, first, which = np.unique(span_hashes(text, starts, ends), return_index=True, return_inverse=True)
@@ -340,7 +379,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     table = load(model)
     bits = shard_bits(docs.rdd.getNumPartitions())
     shelf = Shelf(spark)
-    words = shelf.put("words", distinct_words(docs).select("word"))
+    words = shelf.put("words", distinct_words(docs))
     short = words.filter(F.length("word") <= BLOCK)
     dealt = short.repartition(words.count() // WORDS_PER_TASK + 1, "word")
     cuts = best_cuts(lattice(dealt, table))
