@@ -2,8 +2,9 @@
 
 For each word an Aho-Corasick automaton lists the vocabulary's pieces and dynamic
 programming carries the best score and the number of pieces; no cut is kept.
-Words recur, so each worker remembers the counts of the last words: when ``memory``
-new ones have come, those not seen since the time before are forgotten.
+Words recur, so each worker remembers the counts of the last words of up to
+``REMEMBERED`` characters: when ``memory`` new ones have come, those not seen since the
+time before are forgotten.
 
 Defined results: null and empty texts have no tokens; a space mark in a text
 counts as a space; repeated rows each get their own row; an empty table gives an
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 from maskflow.llm.pieces import DEFAULT_MODEL, SPACE, PieceTable, Viterbi, load
 
+#: Longest word, in characters, whose count is remembered.
+REMEMBERED = 64
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -34,7 +37,9 @@ class Counter:
         known, older, tokens, score = self.known, self.older, 0, 0.0
         for w in words(text or ""):
             got = known.get(w)
-            if got is None:
+            if got is None and len(w) > REMEMBERED:
+                got = self.viterbi.count(w)
+            elif got is None:
                 if len(known) >= self.memory:
                     older = self.older = known
                     known = self.known = {}
