@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,16 @@ def clean_up(spark: SparkSession) -> None:
     discard(spark, *list(_made.get(spark.sparkContext.applicationId, [])))
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Scratch folders made inside are deleted at the end: what is kept must be written by then."""
+    before = set(_made.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        discard(spark, *[p for p in _made.get(spark.sparkContext.applicationId, []) if p not in before])
+
+
 class Shelf:
     """Intermediate tables of one operator by name; a table that is put in another's place is deleted."""
 

@@ -20,6 +20,7 @@ LABELS = {
     "contract_no": "CONTRACT-%03d",
     "invoice_no": "INV-%03d",
 }
+# Types whose replacement keeps its form, and the alphabets of replacements.
 FORMED = ("bank_account", "iban", "phone", "china_id", "hk_id", "credit_card", "swift_code", "tax_id", "crypto_address", "tx_hash")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = "0123456789"

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from maskflow.functions.spans import let
 
 
+# The seed of all numbers, the range that holds unless another is given, and those that a user can pick.
 GLOBAL_SEED = "__global__"
 DEFAULT_RANGE = (0.01, 100.0)
-# The ranges that a user can pick.
 PRESETS = {"thirty_percent": (0.7, 1.3), "fifty_percent": (0.5, 1.5), "tenfold": (0.1, 10.0), "hundredfold": (0.01, 100.0)}
 
 
@@ -107,15 +107,13 @@ def is_date_format(number_format: Column) -> Column:
     return F.coalesce((number_format != "") & (lowered != "general") & held, F.lit(False))
 
 
-def cell_action(cells: DataFrame) -> Column:
-    """What is done with a typed cell: keep, sanitize (text) or scale.
-
-    ``cells`` has cell_type, s, d and number_format.
-    """
+def cell_action(text: str = "s") -> Column:
+    """What is done with a typed cell (cell_type, ``text``, d, number_format): keep, sanitize (text) or scale."""
     kind, d = F.col("cell_type"), F.col("d")
     number = F.when(is_date_format(F.col("number_format")) | is_year(d) | F.isnan(d) | (F.abs(d) == float("inf")) | d.isNull(), "keep").otherwise("scale")
-    text = F.when(F.col("s").isNull() | F.col("s").startswith("=") | (F.trim("s") == ""), "keep").otherwise("sanitize")
-    return F.when(kind == "number", number).when(kind == "string", text).otherwise("keep")
+    s = F.col(text)
+    of_text = F.when(s.isNull() | s.startswith("=") | (F.trim(s) == ""), "keep").otherwise("sanitize")
+    return F.when(kind == "number", number).when(kind == "string", of_text).otherwise("keep")
 
 
 # Fixed value: numbers in prose, with an optional currency before them.

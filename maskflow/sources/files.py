@@ -14,6 +14,11 @@ GROUPS = (("Excel", (".xlsx", ".xls")), ("CSV", (".csv", ".tsv")), ("Word", (".d
 KINDS = {".xlsx": "xlsx", ".xls": "xls", ".csv": "csv", ".tsv": "csv", ".txt": "text", ".docx": "docx", ".pdf": "pdf", ".html": "html", ".htm": "html"}
 
 
+def of_kind(kind: str) -> tuple[str, ...]:
+    """The extensions that one reader takes."""
+    return tuple(e for e, k in KINDS.items() if k == kind)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
@@ -42,12 +47,37 @@ def contents(spark: SparkSession, folder: str, *extensions: str) -> DataFrame:
     return listed.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content").filter(extension(F.col("path")).isin(*extensions))
 
 
+#: Bytes at a file's beginning from which its encoding is told.
+SAMPLE = 10_000
+#: Encodings of Chinese and Japanese texts, and the first bytes of their common characters.
+FREQUENT = {"gb18030": ((0xB0, 0xD7),), "big5": ((0xA4, 0xC6),), "shift_jis": ((0x82, 0x83), (0x88, 0x97))}
+LEAST_FREQUENT = 0.6
+
+
+def guessed_encoding(data: bytes) -> str:
+    """Of bytes that aren't UTF-8: the encoding most of whose characters are common ones, else that of Western Europe."""
+    import codecs
+
+    best, found = LEAST_FREQUENT, "cp1252"
+    for name, ranges in FREQUENT.items():
+        try:
+            text = codecs.getincrementaldecoder(name)("strict").decode(data[:SAMPLE])  # a character cut off at the end is no error
+        except UnicodeDecodeError:
+            continue
+        wide = [c.encode(name) for c in text if c > "\x7f"]
+        # two bytes, and in the Chinese standard's own part of its code the second is high
+        common = sum(len(b) == 2 and any(lo <= b[0] <= hi for lo, hi in ranges) and (name != "gb18030" or b[1] >= 0xA1) for b in wide)
+        if wide and common / len(wide) > best:
+            best, found = common / len(wide), name
+    return found
+
+
 def decoded(content: Column) -> Column:
-    """Text of UTF-8 bytes, of UTF-16 with a byte order mark, else of GB18030; line ends become ``\\n``."""
+    """Text of UTF-8 bytes, of UTF-16 with a byte order mark, else of the guessed encoding; line ends become ``\\n``."""
 
     @F.pandas_udf(T.StringType())
     def other(column):
-        return column.map(lambda b: None if b is None else bytes(b).decode("gb18030", errors="replace"))
+        return column.map(lambda b: None if b is None else bytes(b).decode(guessed_encoding(bytes(b)), errors="replace"))
 
     head = F.hex(F.substring(content, 1, 2))
     text = (
@@ -60,7 +90,7 @@ def decoded(content: Column) -> Column:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text): each text file as one fragment."""
-    return contents(spark, folder, ".txt").select("path", decoded(F.col("content")).alias("text"))
+    return contents(spark, folder, *of_kind("text")).select("path", decoded(F.col("content")).alias("text"))
 
 
 CELLS = "path string, row int, col int, cell string"
@@ -68,14 +98,17 @@ CELLS = "path string, row int, col int, cell string"
 
 def read_csv_cells(spark: SparkSession, folder: str) -> DataFrame:
     """(path, row, col, cell) of CSV and TSV files: no header, rows of any length."""
-    files = contents(spark, folder, ".csv", ".tsv").select("path", decoded(F.col("content")).alias("text"))
+    files = contents(spark, folder, *of_kind("csv")).select("path", decoded(F.col("content")).alias("text"))
 
     def cells(batches):
         import csv
         import io
 
+        import sys
+
         import pyarrow as pa
 
+        csv.field_size_limit(sys.maxsize)
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = csv.reader(io.StringIO(text, newline=""), delimiter="\t" if path.lower().endswith(".tsv") else ",")

@@ -2,6 +2,8 @@
 
 Readers turn each file's bytes, as Spark's binaryFile source gives them, into rows;
 a file that can't be read gives a row with its error instead of failing the job.
+Workbooks are written anew from their cells, with values, formulas and number
+formats; documents are patched, so that all but the changed paragraphs stays.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELLS = "path string, sheet string, row int, col int, cell_type string, s string, d double, b boolean, number_format string, error string"
+CELLS = "path string, sheet_ord int, sheet string, row int, col int, cell_type string, s string, d double, b boolean, number_format string, error string"
 PARAGRAPHS = "path string, part string, frag_ord int, text string, error string"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -30,7 +32,7 @@ def column_number(reference: str) -> int:
 
 
 def workbook_cells(content: bytes):
-    """(sheet, row, col, cell_type, s, d, b, number_format) of every cell that has a value."""
+    """(sheet_ord, sheet, row, col, cell_type, s, d, b, number_format) of every cell that has a value."""
     import io
     import xml.etree.ElementTree as ET
     import zipfile
@@ -45,7 +47,7 @@ def workbook_cells(content: bytes):
             used = styles.find(f"{SHEET}cellXfs")
             formats = [own.get(k, BUILT_IN_DATES.get(k, "General")) for k in (int(f.get("numFmtId", 0)) for f in (used if used is not None else []))]
         links = {r.get("Id"): r.get("Target") for r in read("xl/_rels/workbook.xml.rels")}
-        for sheet in read("xl/workbook.xml").iter(f"{SHEET}sheet"):
+        for n, sheet in enumerate(read("xl/workbook.xml").iter(f"{SHEET}sheet")):
             target = links[sheet.get(f"{REL}id")].lstrip("/")
             root = read(target if target.startswith("xl/") else f"xl/{target}")
             for r, row in enumerate(root.iter(f"{SHEET}row")):
@@ -55,7 +57,7 @@ def workbook_cells(content: bytes):
                     col = column_number(cell.get("r")) if cell.get("r") else c
                     style = int(cell.get("s", 0))
                     shown = formats[style] if style < len(formats) else "General"
-                    at = (sheet.get("name"), number, col)
+                    at = (n, sheet.get("name"), number, col)
                     if formula is not None:
                         yield (*at, "string", "=" + (formula.text or ""), None, None, shown)
                     elif kind == "inlineStr":
@@ -78,13 +80,13 @@ def xml_2003_cells(content: bytes):
     """The same for the XML of 2003; missing cells shift the rest left, as there is no index."""
     import xml.etree.ElementTree as ET
 
-    for sheet in ET.fromstring(content).iter(f"{XML2003}Worksheet"):
+    for n, sheet in enumerate(ET.fromstring(content).iter(f"{XML2003}Worksheet")):
         for r, row in enumerate(sheet.iter(f"{XML2003}Row")):
             for c, cell in enumerate(row.findall(f"{XML2003}Cell")):
                 data = cell.find(f"{XML2003}Data")
                 if data is None or data.text is None:
                     continue
-                kind, at = data.get(f"{XML2003}Type", "String"), (sheet.get(f"{XML2003}Name"), r, c)
+                kind, at = data.get(f"{XML2003}Type", "String"), (n, sheet.get(f"{XML2003}Name"), r, c)
                 if kind == "Number":
                     yield (*at, "number", None, float(data.text), None, "General")
                 elif kind == "Boolean":
@@ -93,28 +95,129 @@ def xml_2003_cells(content: bytes):
                     yield (*at, "date" if kind == "DateTime" else "string", data.text, None, None, "General")
 
 
+def _paragraphs(z):
+    """(part's name, its root, part, paragraph) in the order in which they are worked on."""
+    import re
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(z.read("word/document.xml"))
+    body = root.find(f"{WORD}body")
+    for p in body.findall(f"{WORD}p"):
+        yield "word/document.xml", root, "body", p
+    for table in body.findall(f"{WORD}tbl"):
+        for row in table.findall(f"{WORD}tr"):
+            for cell in row.findall(f"{WORD}tc"):
+                for p in cell.findall(f"{WORD}p"):
+                    yield "word/document.xml", root, "table", p
+    for name in sorted(n for n in z.namelist() if re.fullmatch(r"word/(header|footer)\d*\.xml", n)):
+        root = ET.fromstring(z.read(name))
+        for p in root.findall(f"{WORD}p"):
+            yield name, root, name[5:11], p
+
+
 def document_paragraphs(content: bytes):
     """(part, text) of body paragraphs, then those of top-level tables, then of headers and footers."""
     import io
-    import re
-    import xml.etree.ElementTree as ET
     import zipfile
 
-    def text(p) -> str:
-        return "".join(t.text or "" for r in p.findall(f"{WORD}r") for t in r.findall(f"{WORD}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for _, _, part, p in _paragraphs(z):
+            yield part, "".join(t.text or "" for r in p.findall(f"{WORD}r") for t in r.findall(f"{WORD}t"))
+
 
+def patched_document(content: bytes, texts: dict[int, str]) -> bytes:
+    """A document with some paragraphs' texts, by number, replaced: the first run has the text, the others none."""
+    import io
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    changed, out = {}, io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ET.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
-        for p in body.findall(f"{WORD}p"):
-            yield "body", text(p)
-        for table in body.findall(f"{WORD}tbl"):
-            for row in table.findall(f"{WORD}tr"):
-                for cell in row.findall(f"{WORD}tc"):
-                    for p in cell.findall(f"{WORD}p"):
-                        yield "table", text(p)
-        for name in sorted(n for n in z.namelist() if re.fullmatch(r"word/(header|footer)\d*\.xml", n)):
-            for p in ET.fromstring(z.read(name)).findall(f"{WORD}p"):
-                yield name[5:11], text(p)
+        for k, (name, root, _, p) in enumerate(_paragraphs(z)):
+            places = [t for r in p.findall(f"{WORD}r") for t in r.findall(f"{WORD}t")]
+            if k in texts and places:
+                places[0].text = texts[k]
+                places[0].set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+                for t in places[1:]:
+                    t.text = ""
+                changed[name] = root
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
+            for name in z.namelist():
+                made.writestr(name, ET.tostring(changed[name], encoding="UTF-8", xml_declaration=True) if name in changed else z.read(name))
+    return out.getvalue()
+
+
+def column_letters(n: int) -> str:
+    """A for 0, B for 1, ..., AA for 26."""
+    out = ""
+    while n >= 0:
+        out, n = chr(65 + n % 26) + out, n // 26 - 1
+    return out
+
+
+def workbook_bytes(cells: list[dict]) -> bytes:
+    """A workbook of cells (sheet_ord, sheet, row, col, cell_type, s, d, b, number_format), in any order."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape, quoteattr
+
+    formats = sorted({c["number_format"] or "General" for c in cells} - {"General"})
+    style = {f: k + 1 for k, f in enumerate(formats)} | {"General": 0}
+    sheets: dict[tuple[int, str], list[dict]] = {}
+    for c in sorted(cells, key=lambda c: (c["sheet_ord"], c["row"], c["col"])):
+        sheets.setdefault((c["sheet_ord"], c["sheet"]), []).append(c)
+
+    def body(c: dict) -> str:
+        at = f'r="{column_letters(c["col"])}{c["row"] + 1}" s="{style[c["number_format"] or "General"]}"'
+        kind, text = c["cell_type"], c["s"]
+        if kind == "number":
+            return f"<c {at}><v>{c['d']!r}</v></c>"
+        if kind == "boolean":
+            return f'<c {at} t="b"><v>{int(c["b"])}</v></c>'
+        if kind == "error":
+            return f'<c {at} t="e"><v>{escape(text)}</v></c>'
+        if text.startswith("="):
+            return f"<c {at}><f>{escape(text[1:])}</f></c>"
+        return f'<c {at} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+    def rows(own: list[dict]) -> str:
+        out, at = [], None
+        for c in own:
+            if c["row"] != at:
+                out.append(("</row>" if out else "") + f'<row r="{c["row"] + 1}">')
+                at = c["row"]
+            out.append(body(c))
+        return "".join(out) + ("</row>" if out else "")
+
+    main, relations = SHEET[1:-1], REL[1:-1]
+    package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    names = [(k + 1, name) for k, (_, name) in enumerate(sheets)]
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    parts = {
+        "[Content_Types].xml": f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>'
+        + "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k, _ in names)
+        + "</Types>",
+        "_rels/.rels": f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{relations}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'{head}<workbook xmlns="{main}" xmlns:r="{relations}"><sheets>' + "".join(f'<sheet name={quoteattr(name)} sheetId="{k}" r:id="r{k}"/>' for k, name in names) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f'{head}<Relationships xmlns="{package}/relationships">'
+        + "".join(f'<Relationship Id="r{k}" Type="{relations}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k, _ in names)
+        + f'<Relationship Id="r0" Type="{relations}/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'{head}<styleSheet xmlns="{main}"><numFmts count="{len(formats)}">'
+        + "".join(f'<numFmt numFmtId="{163 + style[f]}" formatCode={quoteattr(f)}/>' for f in formats)
+        + '</numFmts><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
+        + f'<cellXfs count="{len(formats) + 1}"><xf numFmtId="0"/>' + "".join(f'<xf numFmtId="{163 + style[f]}" applyNumberFormat="1"/>' for f in formats) + "</cellXfs></styleSheet>",
+    }
+    if not formats:
+        parts["xl/styles.xml"] = parts["xl/styles.xml"].replace('<numFmts count="0"></numFmts>', "")
+    for (k, _), own in zip(names, sheets.values()):
+        parts[f"xl/worksheets/sheet{k}.xml"] = f'{head}<worksheet xmlns="{main}"><sheetData>{rows(own)}</sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
 
 
 def arrow_schema(ddl: str):
@@ -177,3 +280,29 @@ def read_paragraphs(files: DataFrame) -> DataFrame:
 def failed(read: DataFrame) -> DataFrame:
     """(path, error) of the files that couldn't be read."""
     return read.filter(F.col("error").isNotNull()).select("path", "error").distinct()
+
+
+def workbook_contents(cells: DataFrame) -> DataFrame:
+    """(output, content): a workbook for each ``output``; a file's cells meet in one task, as they did when it was read."""
+    import pyarrow as pa
+
+    schema = pa.schema([("output", pa.string()), ("content", pa.binary())])
+
+    def write(key, table):
+        return pa.Table.from_pylist([{"output": key[0].as_py(), "content": workbook_bytes(table.to_pylist())}], schema=schema)
+
+    columns = ("output", "sheet_ord", "sheet", "row", "col", "cell_type", "s", "d", "b", "number_format")
+    return cells.select(*columns).groupBy("output").applyInArrow(write, "output string, content binary")
+
+
+def document_contents(documents: DataFrame) -> DataFrame:
+    """(output, content) of documents (output, content, paragraphs: array of frag_ord and text)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [patched_document(content, {p["frag_ord"]: p["text"] for p in texts or []}) for content, texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["output", "content"])
+
+    return documents.select("output", "content", "paragraphs").mapInArrow(run, "output string, content binary")

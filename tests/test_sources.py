@@ -67,6 +67,20 @@ def test_folder(spark, tmp_path):
     assert done[0]["error"] is None and (tmp_path / "out/o/t.csv").read_bytes() == b'a,"b ""q"", c"\r\n1,2,3\r\n'
 
 
+def test_encodings():
+    texts = {
+        "gb18030": "本公司二〇二四年度财务报告,电话和地址见附件。",
+        "big5": "本公司財務報告書,電話與地址請見附件說明。",
+        "shift_jis": "これは会社の決算報告書です。電話番号は別紙のとおり。",
+        "cp1252": "Résumé of naïve café invoices: 5 € für Müller",
+    }
+    for name, text in texts.items():
+        data = text.encode(name)
+        assert data.decode(files.guessed_encoding(data)) == text, name
+    long = ("一二三" * 5000).encode("gb18030")
+    assert files.guessed_encoding(long) == "gb18030"
+
+
 def test_html_round_trip(spark):
     page = '<p>Mail <b>a@x.com</b></p><script>var t="</p>"; b@x.com</script><!-- c@x.com -->tail'
     df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")
