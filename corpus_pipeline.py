@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskflow.functions.session import ship
+from maskflow.functions.storage import discard, scratch, temporary
 from maskflow.llm import decontaminate, encoding, quality, secrets, similarity
-from maskflow.llm.shared import scratch
 
 #: Components of shingle sets aren't expressible in SQL; tests use a brute-force version.
 ORACLE_SQL = None
@@ -60,10 +60,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; a stage's intermediates and input are deleted once its result is written."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, *before)
+        docs, before = spark.read.parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
