@@ -226,7 +226,7 @@ def excel_cell_dispatch(spark, d):
         F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 2024D ELSE o_totalprice END").alias("d"),
         F.expr("CASE o_orderkey % 7 WHEN 0 THEN 'yyyy-mm-dd' WHEN 1 THEN '' ELSE 'General' END").alias("number_format"),
     )
-    return df.withColumn("action", scaling.cell_action(df)).select("o_orderkey", "action")
+    return df.withColumn("action", scaling.cell_action()).select("o_orderkey", "action")
 
 
 @query
