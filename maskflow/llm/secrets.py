@@ -6,8 +6,8 @@ Each is compressed after its surroundings, with a dictionary; the bytes it adds,
 proportion to its length, are its novelty.  The dictionary holds code idioms and
 the identifiers that stand most often near sensitive words in the whole table:
 tasks count them, Spark adds the counts up and the first ``identifiers`` of them,
-a bounded list, go to every worker.  Identifiers are letters and underscores, so a
-key that is copied into many documents doesn't come to be known by it.
+a bounded list, go to every worker.  Identifiers are runs of letters and underscores
+alone, so a key that is copied into many documents doesn't come to be known by it.
 Copies of it and other candidates are blanked out of the surroundings.  A string
 that is novel at one place is reported wherever the text has it.
 Words and identifiers compress well against them, random keys don't, and those
@@ -68,12 +68,15 @@ class NoveltyRule:
     reach: int = 40
     before: int = 400
     after: int = 200
-    least: float = 0.62
+    least: float = 0.68
+    #: of compression: lower ones change their way of coding with a few bytes more or less, which hides a key's own
+    level: int = 15
     least_kinds: int = 2
     identifiers: int = 2000
 
 
-IDENTIFIER = re.compile(r"(?<![A-Za-z_])[A-Za-z_]{5,40}(?![A-Za-z_])")
+#: Whole runs only: a key's letters between its digits aren't one.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{5,40}(?![A-Za-z0-9+/_=-])")
 #: Distinct identifiers that a task counts before it passes them on.
 COUNTED = 100_000
 
@@ -139,8 +142,8 @@ class Novelty:
         # what stands last is the nearest
         content = "\n".join([*reversed(known), ""]).encode() + PRIMER
         primer = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        primer.precompute_compress(level=9)
-        self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_dict_id=False)
+        primer.precompute_compress(level=rule.level)
+        self.compressor = zstandard.ZstdCompressor(level=rule.level, dict_data=primer, write_content_size=False, write_dict_id=False)
 
     def share(self, text: str, start: int, end: int, others: list[tuple[int, int]] = ()) -> float:
         """Novelty of a candidate; its copies and ``others`` in its surroundings are blanked out."""
