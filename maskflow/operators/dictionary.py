@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.functions.spans import find_literal, first_wins, is_blank, no_spans
+from maskflow.functions.spans import find_literal, first_wins, is_blank, let, no_spans
 
 # Marks before a keyword and the types they give.
 PREFIXES = (("[人名]", "person"), ("[公司]", "company"), ("[地址]", "address"), ("[银行]", "bank_name"), ("[签字]", "person"))
@@ -65,7 +65,11 @@ def find_keywords(text: Column, keywords: list[tuple[str, str]]) -> Column:
 
 def contains_any(text: Column, keywords: list[str]) -> Column:
     """Whether a text holds any keyword, whatever the case."""
-    held = F.lit(False)
-    for word in keywords:
-        held = held | F.contains(F.lower(text), F.lower(F.lit(word)))
-    return held
+
+    def held(lowered: Column) -> Column:
+        found = F.lit(False)
+        for word in keywords:
+            found = found | F.contains(lowered, F.lower(F.lit(word)))
+        return found
+
+    return let(F.lower(text), held)

@@ -211,6 +211,13 @@ def scale_per_seed(spark, d):
     return _scaled(spark, d, F.col("o_orderpriority"), F.floor("o_totalprice").cast("double"), "orders", "o_orderkey")
 
 
+@query
+def scale_fractions(spark, d):
+    by = F.expr("CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 1024 WHEN 3 THEN 16384 ELSE -131072 END")
+    v = F.col("p_retailprice").cast("double") / by
+    return _table(spark, d, "part").select("p_partkey", F.round(scaling.scale_number(v, F.lit(1.37)), 4).alias("scaled"))
+
+
 @query
 def csv_cells(spark, d):
     df = _table(spark, d, "part").select("p_partkey", F.expr(oracle.CSV_CELL).alias("cell"))

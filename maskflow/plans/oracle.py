@@ -96,6 +96,9 @@ NUMBERED = [
     ("map_bank", "nation", "n_name", "n_nationkey", "bank_name"),
     ("map_address", "region", "r_name", "r_regionkey", "address"),
     ("map_url", "pages", "url", "page_id", "url"),
+    ("map_contract_no", "part", "p_brand", "p_partkey", "contract_no"),
+    ("map_invoice_no", "part", "p_type", "p_partkey", "invoice_no"),
+    ("map_other", "customer", "c_mktsegment", "c_custkey", "account_name"),
 ]
 
 
@@ -175,7 +178,7 @@ def _letters(n: str) -> str:
 def _label(kind: str, n: str) -> str:
     if kind == "company":
         return f"'Company_' || {_letters(n)}"
-    before, width = LABELS[kind].split("%0")
+    before, width = LABELS.get(kind, f"[REDACTED_{kind}_%03d]").split("%0")
     return f"'{before}' || CASE WHEN len(CAST({n} AS VARCHAR)) >= {width[0]} THEN CAST({n} AS VARCHAR) ELSE lpad(CAST({n} AS VARCHAR), {width[0]}, '0') END || '{width[2:]}'"
 
 
@@ -318,6 +321,9 @@ SQL: dict[str, str] = {
     "scale_factors": f"SELECT seed, {_factor('seed')} AS factor FROM (SELECT DISTINCT o_orderpriority AS seed FROM orders)",
     "scale_unified": f"SELECT l_orderkey, l_linenumber, {_scaled('v', 'f')} AS scaled FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS DOUBLE) AS v, f FROM lineitem, (SELECT {_factor(chr(39) + '__global__' + chr(39))} AS f))",
     "scale_per_seed": f"SELECT o_orderkey, {_scaled('v', 'f')} AS scaled FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) AS v, f FROM orders JOIN (SELECT seed, {_factor('seed')} AS f FROM (SELECT DISTINCT o_orderpriority AS seed FROM orders)) ON seed = o_orderpriority)",
+    "scale_fractions": """SELECT p_partkey, round(CASE WHEN v = 0 THEN 0 WHEN v = floor(v) THEN round(v * 1.37::DOUBLE)
+ ELSE round(v * 1.37::DOUBLE, CAST(least(greatest(2 - floor(log10(abs(v))), 0), 4) AS INTEGER)) END, 4) AS scaled
+ FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) / (CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 1024 WHEN 3 THEN 16384 ELSE -131072 END) AS v FROM part)""",
     "csv_cells": f"""SELECT p_partkey, cell, CAST(CASE p_partkey % 8 WHEN 0 THEN 1234 WHEN 1 THEN p_size WHEN 2 THEN 3.5 WHEN 3 THEN 2024 WHEN 7 THEN 12345.25 END AS DOUBLE) AS number,
  CASE p_partkey % 8 WHEN 0 THEN '2,468' WHEN 1 THEN CAST(p_size * 2 AS VARCHAR) WHEN 2 THEN '7.00' WHEN 3 THEN '2024' WHEN 7 THEN '24690.00' END AS scaled
  FROM (SELECT p_partkey, p_size, {_CELL} AS cell FROM part)""",
