@@ -21,7 +21,10 @@ but a column ``_pieces`` is replaced.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,38 +37,55 @@ from maskflow.llm.textbytes import as_bytes, groups, span_hashes
 NEWLINE = ord("\n")
 
 
-#: Words by hash that a task knows it has sent.
-REMEMBERED = 2_000_000
+#: Distinct words that a task holds before it sends them.
+HELD_WORDS = 400_000
+RUNS = re.compile(rb" +[^ \n]*|[^ \n]+|\n")
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(word): the distinct words of all texts, with spaces turned into marks.
+class WordSets:
+    """The distinct words of texts: those behind a space without it, and the others."""
 
-    A task sends a word once, as far as it remembers; of two words with one hash the
-    second may be missing, and is cut when it is met.
-    """
+    def __init__(self):
+        self.spaced: set[bytes] = set()
+        self.plain: set[bytes] = set()
+
+    def add(self, text: bytes) -> None:
+        text = b" " + text.replace(SPACE_BYTES, b" ")
+        if b"  " in text:  # words with several spaces before them
+            self.plain.update(RUNS.findall(text))
+            return
+        lines = text.split(b"\n")
+        for line in lines:
+            parts = line.split(b" ")
+            if parts[0]:
+                self.plain.add(parts[0])
+            self.spaced.update(parts)  # the first one too: a word more does no harm
+        if len(lines) > 1:
+            self.plain.add(b"\n")
+
+    def __len__(self) -> int:
+        return len(self.spaced) + len(self.plain)
+
+    def all(self) -> list[bytes]:
+        return [*{b" " + w for w in self.spaced} | self.plain]
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """(word): the distinct words of all texts, with spaces turned into marks; a task sends a word once for each load."""
 
     def emit(batches):
         import pyarrow as pa
 
-        seen = np.zeros(0, np.uint64)
+        held = WordSets()
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for b, e in groups([len(t) for t in texts]):
-                text, starts, ends, _ = cut_words(texts[b:e])
-                if not len(text):
-                    continue
-                hashes, first = np.unique(span_hashes(text, starts, ends), return_index=True)
-                if len(seen):
-                    new = seen[np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)] != hashes
-                    hashes, first = hashes[new], first[new]
-                seen = np.union1d(seen, hashes) if len(seen) < REMEMBERED else hashes
-                lengths = ends[first] - starts[first]
-                body = text[spread(starts[first], lengths)]
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body)))
-                yield pa.RecordBatch.from_arrays([words], names=["word"])
-        del seen
+            for text in as_bytes(batch.column(0)):
+                if text:
+                    held.add(text)
+                if len(held) >= HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held.all(), pa.binary()).cast(pa.string())], names=["word"])
+                    held = WordSets()
+        yield pa.RecordBatch.from_arrays([pa.array(held.all(), pa.binary()).cast(pa.string())], names=["word"])
+        del held
         release()
 
     return docs.select("text").mapInArrow(emit, "word string").distinct().select(F.replace("word", F.lit(" "), F.lit(SPACE)).alias("word"))
@@ -94,8 +114,6 @@ STRETCH = 4096
 
 
 def _piece_frame(spark, table: PieceTable) -> DataFrame:
-    import pandas as pd
-
     rows = pd.DataFrame(table.pieces, columns=["p_piece", "score", "id"])
     return spark.createDataFrame(rows, "p_piece string, score double, id int").withColumn("p_key", F.xxhash64("p_piece"))
 
@@ -325,10 +343,15 @@ class Encoder:
         text, starts, ends, begins = cut_words(texts)
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.ones(len(texts), bool)
-        distinct, first, which = np.unique(span_hashes(text, starts, ends), return_index=True, return_inverse=True)
+        codes, found_order = pd.factorize(span_hashes(text, starts, ends))
+        order = np.argsort(found_order)
+        distinct, rank = found_order[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        which = rank[codes]
         found, pools, counts = self._known(distinct)
         for k in np.flatnonzero(~found).tolist():  # none, where the lexicon is of these texts
-            own = self._own(text[starts[first[k]] : ends[first[k]]])
+            at = int(np.argmax(which == k))
+            own = self._own(text[starts[at] : ends[at]])
             pools.append((np.array([k]), own, np.array([0])))
             counts[k] = len(own)
         # one pool of ids for the distinct words of this group
