@@ -147,13 +147,14 @@ def decode(table: PieceTable, ids) -> bytes:
 class Decoder:
     """Bytes of many ids at once."""
 
+    SLICE = 200_000
+
     def __init__(self, table: PieceTable):
-        self.blob = np.frombuffer(b"".join(table.texts), np.uint8)
-        self.length = np.fromiter(map(len, table.texts), np.int64, len(table.texts))
-        self.start = np.cumsum(self.length) - self.length
+        self.text = list(table.texts).__getitem__
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
-        return self.blob[spread(self.start[ids], self.length[ids])]
+        parts = [b"".join(map(self.text, ids[k : k + self.SLICE].tolist())) for k in range(0, len(ids), self.SLICE)]
+        return np.frombuffer(b"".join(parts), np.uint8)
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
