@@ -32,13 +32,13 @@ from pyspark.sql import types as T
 from maskflow.llm.arraystore import Shards, shard_bits
 from maskflow.llm.pieces import DEFAULT_MODEL, SPACE, SPACE_BYTES, Decoder, PieceTable, Viterbi, load, spread
 from maskflow.llm.shared import Shelf, release, scratch
-from maskflow.llm.textbytes import as_bytes, groups, span_hashes
+from maskflow.llm.textbytes import as_bytes, slices, span_hashes
 
 NEWLINE = ord("\n")
 
 
 #: Distinct words that a task holds before it sends them.
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
 RUNS = re.compile(rb" +[^ \n]*|[^ \n]+|\n")
 
 
@@ -78,9 +78,10 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 
         held = WordSets()
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                if text:
-                    held.add(text)
+            for _, _, texts in slices(batch.column(0)):
+                for text in texts:
+                    if text:
+                        held.add(text)
                 if len(held) >= HELD_WORDS:
                     yield pa.RecordBatch.from_arrays([pa.array(held.all(), pa.binary()).cast(pa.string())], names=["word"])
                     held = WordSets()
@@ -428,9 +429,8 @@ def encode_with(docs: DataFrame, table: PieceTable, uri: str, bits: int) -> Data
 
         encoder = Encoder(shared.value, Shards(uri, bits, ("offset", "count")))
         for batch in batches:
-            texts = as_bytes(batch.column(at))
-            for b, e in groups([len(t) for t in texts]):
-                ids, offsets, ok = encoder(texts[b:e])
+            for b, e, texts in slices(batch.column(at)):
+                ids, offsets, ok = encoder(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 part = batch.slice(b, e - b)
                 pieces = pa.StructArray.from_arrays([lists, pa.array(np.diff(offsets)), pa.array(ok)], names=["ids", "n_pieces", "round_trip"])

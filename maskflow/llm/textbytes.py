@@ -137,3 +137,12 @@ def groups(sizes: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         held += n
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def slices(column, most: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(begin, end, texts) of consecutive parts of an Arrow string column, of about ``most`` bytes each; one at a time is held."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for b, e in groups(sizes, most):
+        yield b, e, as_bytes(column.slice(b, e - b))
