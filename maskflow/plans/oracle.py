@@ -10,6 +10,7 @@ from __future__ import annotations
 from maskflow.operators.dictionary import by_priority
 from maskflow.operators.pseudonyms import DIGITS, FORMED, HEXADECIMAL, LABELS, UPPER
 from maskflow.operators.rules import ID_CHECKS, ID_WEIGHTS, RULES
+from maskflow.operators.scaling import LEAST_IN_PROSE
 from maskflow.sources.html import MARKUP, NAMED
 
 #: Rules that the documents themselves have matches for.
@@ -260,6 +261,21 @@ def _scaled(v: str, factor: str) -> str:
     return f"round(CAST(CASE WHEN {v} BETWEEN 2000 AND 2099 THEN {v} WHEN {v} = 0 THEN 0 ELSE {even} END AS DOUBLE), 1)"
 
 
+# This engine's expressions don't look around: a mark stands on both sides of every
+# character that may stand beside a number, so that numbers don't share it.  What
+# comes before a number, as a currency, stays either way.
+_PROSE = r"\x01(\d{1,3}(?:\x01,\x01\d{3})+(?:\.\d+)?|\d{4,}(?:\.\d+)?|\d+\.\d{2,})\x01"
+_PRODUCT = "(CAST(replace(x, ',', '') AS DOUBLE) * 1.5::DOUBLE)"
+_EVEN = f"(CASE WHEN {_PRODUCT} - floor({_PRODUCT}) = 0.5 THEN 2 * round({_PRODUCT} / 2) ELSE round({_PRODUCT}) END)"
+_DIGITS = f"""CASE WHEN {_EVEN} < 1e15 THEN CAST(CAST({_EVEN} AS BIGINT) AS VARCHAR)
+ ELSE rpad(replace(split_part(printf('%.16e', {_EVEN}), 'e', 1), '.', ''), CAST(split_part(printf('%.16e', {_EVEN}), 'e+', 2) AS INTEGER) + 1, '0') END"""
+_STYLED = f"""CASE WHEN CAST(replace(x, ',', '') AS DOUBLE) < {LEAST_IN_PROSE} OR CAST(replace(x, ',', '') AS DOUBLE) BETWEEN 2000 AND 2099 THEN x
+ ELSE (CASE WHEN contains(x, ',') THEN format('{{:,}}', CAST({_DIGITS} AS HUGEINT)) ELSE {_DIGITS} END)
+ || CASE WHEN contains(x, '.') THEN '.' || repeat('0', least(len(split_part(x, '.', 2)), 10)) ELSE '' END END"""
+_SCALED_TEXT = f"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(range(1, len(g) + 1), lambda i: replace(g[i], chr(1), '') || coalesce(out[i], '')), '') END AS scaled
+ FROM (SELECT doc_id, text, g, list_transform(h, lambda x: {_STYLED}) AS out FROM (SELECT doc_id, text, string_split_regex(t, '{_PROSE}') AS g,
+ list_transform(regexp_extract_all(t, '{_PROSE}', 1), lambda y: replace(y, chr(1), '')) AS h
+ FROM (SELECT doc_id, text, chr(1) || regexp_replace(text, '([^.0-9])', chr(1) || '\\1' || chr(1), 'g') || chr(1) AS t FROM documents)))"""
 _CELL = CSV_CELL.replace("STRING", "VARCHAR")
 _MANIFEST = f"""SELECT path, substr(path, 7) AS relative, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS extension, size FROM (SELECT {_PATH} AS path, n_chars AS size FROM documents)
  WHERE path NOT LIKE '%/.hidden/%' AND path NOT LIKE '%/~$%' AND lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.xlsx', '.xls', '.csv', '.tsv', '.txt', '.docx', '.pdf', '.html', '.htm')"""
@@ -321,6 +337,7 @@ SQL: dict[str, str] = {
     "scale_factors": f"SELECT seed, {_factor('seed')} AS factor FROM (SELECT DISTINCT o_orderpriority AS seed FROM orders)",
     "scale_unified": f"SELECT l_orderkey, l_linenumber, {_scaled('v', 'f')} AS scaled FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS DOUBLE) AS v, f FROM lineitem, (SELECT {_factor(chr(39) + '__global__' + chr(39))} AS f))",
     "scale_per_seed": f"SELECT o_orderkey, {_scaled('v', 'f')} AS scaled FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) AS v, f FROM orders JOIN (SELECT seed, {_factor('seed')} AS f FROM (SELECT DISTINCT o_orderpriority AS seed FROM orders)) ON seed = o_orderpriority)",
+    "scale_text": _SCALED_TEXT,
     "scale_fractions": """SELECT p_partkey, round(CASE WHEN v = 0 THEN 0 WHEN v = floor(v) THEN round(v * 1.37::DOUBLE)
  ELSE round(v * 1.37::DOUBLE, CAST(least(greatest(2 - floor(log10(abs(v))), 0), 4) AS INTEGER)) END, 4) AS scaled
  FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) / (CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 64 WHEN 2 THEN 1024 WHEN 3 THEN 16384 ELSE -131072 END) AS v FROM part)""",
