@@ -106,8 +106,10 @@ def cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return text, starts, np.append(starts[1:], len(text)), begins
 
 
-#: Distinct words in a task's lattice; the number of tasks follows from it.
-WORDS_PER_TASK = 30_000
+#: Characters of distinct words in a task's lattice; the number of tasks follows from it.
+CHARACTERS_PER_TASK = 300_000
+#: A task's edges are grouped in a hash table, which its characters bound, and not sorted.
+GROUPED = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 #: Characters of a word whose lattice is folded in one go, and of a block of a longer one.
 BLOCK = 64
 #: Characters of a long word that are cut out at once, before blocks are cut out of them.
@@ -405,13 +407,19 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     shelf = Shelf(spark)
     words = shelf.put("words", distinct_words(docs))
     short = words.filter(F.length("word") <= BLOCK)
-    dealt = short.repartition(words.count() // WORDS_PER_TASK + 1, "word")
+    size = short.agg(F.coalesce(F.sum(F.length("word")), F.lit(0))).first()[0]
+    dealt = short.repartition(size // CHARACTERS_PER_TASK + 1, "word")
     cuts = best_cuts(lattice(dealt, table))
     long = shelf.put("long-words", words.filter(F.length("word") > BLOCK).select(F.monotonically_increasing_id().alias("key"), "word"))
     if not long.isEmpty():
         found = best_long_cuts(long_lattice(long, table), table.longest)
         cuts = cuts.unionByName(long.join(found, "key").select("word", "ids"))
-    shards = store_lexicon(cuts, scratch(spark, "lexicon"), bits, table.bytes_from)
+    before = spark.conf.get(GROUPED)
+    spark.conf.set(GROUPED, CHARACTERS_PER_TASK)
+    try:
+        shards = store_lexicon(cuts, scratch(spark, "lexicon"), bits, table.bytes_from)
+    finally:
+        spark.conf.set(GROUPED, before)
     shelf.drop("words", "long-words")
     return encode_with(docs, table, shards.store.uri, bits)
 
