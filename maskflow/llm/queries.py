@@ -84,6 +84,30 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.importance import importance
+
+    found = importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", *[f"_importance.{c}" for c in ("n_features", "weight", "score", "rank")])
+
+
+#: The rules of the URL query: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.url_filters import RULES, judged
+
+    found = judged(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES), keep=["page_id"])
+    return found.select("page_id", *[f"_url.{c}" for c in ("host", "path", "rule", "verdict", "decided_by")])
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskflow.llm.centroids import report
+
+    return report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_bundles": op2_warc_bundles,
@@ -95,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_url_filters": op12_url_filters,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

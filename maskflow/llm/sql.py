@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from maskflow.llm.centroids import CentroidRule
 from maskflow.llm.license_texts import PHRASES
 from maskflow.llm.licenses import WINDOWS, templates
 from maskflow.llm.quality import RATES, QualityParams
+from maskflow.llm.queries import URL_RULES
+from maskflow.llm.url_filters import CANONICAL, CONTENT, HREF, REFRESH, TAG, TARGET
 
 HEX = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -91,9 +94,83 @@ def _quality(p: QualityParams = QualityParams()) -> str:
  FROM counted c LEFT JOIN (SELECT * FROM limits WHERE NOT whole AND total >= {p.min_group}) o ON c.lang IS NOT DISTINCT FROM o.lang AND c.source IS NOT DISTINCT FROM o.source LEFT JOIN (SELECT * FROM limits WHERE whole) w ON true"""
 
 
+def _lower(x: str) -> str:
+    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _url_parts(url: str) -> str:
+    rest = f"coalesce(CASE WHEN contains({url}, '://') THEN substr({url}, strpos({url}, '://') + 3) END, '')"
+    host = f"regexp_extract({rest}, '^[^/?#]*')"
+    return f"{_lower(host)} AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path"
+
+
+def _address(url: str) -> str:
+    """An address without fragment, scheme and host in lower case, without the usual port."""
+    plain = f"split_part({url}, '#', 1)"
+    host = f"regexp_extract(substr({plain}, strpos({plain}, '://') + 3), '^[^/?]*')"
+    after = f"substr({plain}, strpos({plain}, '://') + 3 + len({host}))"
+    whole = _lower(f"split_part({plain}, '://', 1) || '://' || {host}")
+    named = rf"regexp_replace(regexp_replace({whole}, '^(http://[^/]*):80$', '\1'), '^(https://[^/]*):443$', '\1')"
+    return f"CASE WHEN contains({plain}, '://') THEN {named} || CASE WHEN starts_with({after}, '/') THEN '' ELSE '/' END || {after} END"
+
+
+def _unquoted(x: str) -> str:
+    quotes = _q("""^["']|["']$""")
+    return f"trim(replace(regexp_replace({x}, {quotes}, '', 'g'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _urls() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+    def fit(source: str) -> str:
+        return f"""(SELECT u.host, u.path, arg_max(r.host || r.path, len(r.host || r.path)) AS rule, arg_max(r.verdict, len(r.host || r.path)) AS verdict
+ FROM (SELECT DISTINCT host, path FROM {source}) u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.host, u.path)"""
+
+    href, content = (f"regexp_extract(tag, {_q(x)}, 1)" for x in (HREF, CONTENT))
+    link = f"""CASE WHEN regexp_matches(tag, '(?i)^<link') THEN CASE WHEN regexp_matches(tag, {_q(CANONICAL)}) THEN {_unquoted(href)} END
+ WHEN regexp_matches(tag, {_q(REFRESH)}) THEN {_unquoted(f'regexp_extract({_unquoted(content)}, {_q(TARGET)}, 1)')} END"""
+    whole = r"""CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN split_part(a, '://', 1) || ':' || link
+ WHEN starts_with(link, '/') THEN regexp_extract(a, '^[^:]*://[^/?]*') || link WHEN starts_with(link, '?') THEN split_part(a, '?', 1) || link
+ WHEN link <> '' AND NOT starts_with(link, '#') AND NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN regexp_extract(split_part(a, '?', 1), '^.*/') || regexp_replace(link, '^(\./)+', '') END"""
+    return f"""WITH RECURSIVE rules AS (SELECT * FROM (VALUES {rules}) AS t(verdict, host, path)),
+ found AS MATERIALIZED (SELECT page_id, {_url_parts('url')}, {_address('url')} AS node, html FROM pages),
+ tags AS (SELECT node AS a, unnest(regexp_extract_all(html, {_q(TAG)})) AS tag FROM found WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|http-equiv')),
+ named AS (SELECT a, {link} AS link FROM tags), pointed AS (SELECT a, {whole} AS target FROM named),
+ links AS MATERIALIZED (SELECT a, b FROM (SELECT a, {_address('target')} AS b FROM pointed) WHERE b IS NOT NULL),
+ both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON r.other = l.a),
+ parts AS (SELECT node, other, {_url_parts('other')} FROM reach),
+ passed AS (SELECT node, min(f.verdict) AS passed FROM parts JOIN {fit('parts')} f USING (host, path) GROUP BY node)
+ SELECT page_id, host, path, rule, coalesce(f.verdict, passed, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN passed IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
+ FROM found LEFT JOIN {fit('found')} f USING (host, path) LEFT JOIN passed USING (node)"""
+
+
+def _clusters(rule: CentroidRule = CentroidRule()) -> str:
+    far = f"list_sum(list_transform(range(1, {rule.dims + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    steps = []
+    for r in range(rule.rounds + 1):
+        steps.append(f"near{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min({{'d': CAST({far} AS BIGINT), 'n': n}}) AS best FROM kept, centroids{r} GROUP BY vec_id)")
+        if r < rule.rounds:
+            steps.append(
+                f"""moved{r} AS (SELECT n, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY i) AS c FROM (SELECT best.n AS n, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS m
+ FROM near{r}, (SELECT unnest(range(1, {rule.dims + 1})) AS i) GROUP BY best.n, i) GROUP BY n),
+ centroids{r + 1} AS MATERIALIZED (SELECT o.n, coalesce(m.c, o.c) AS c FROM centroids{r} o LEFT JOIN moved{r} m ON o.n = m.n)"""
+            )
+    last = rule.rounds
+    return f"""WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({rule.scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = {rule.dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {rule.dims}),
+ centroids0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS n, v AS c FROM (SELECT v, sha256('{rule.seed}' || vec_id) AS h FROM kept ORDER BY h LIMIT {rule.k})),
+ {', '.join(steps)},
+ placed AS (SELECT vec_id, best.n AS n, best.d AS d FROM near{last})
+ SELECT vec_id, CAST(p.n AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY p.n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+ FROM placed p JOIN centroids{last} f ON p.n = f.n"""
+
+
 SQL = {
     "op2_warc_bundles": WARC,
     "op4_license_scans": _licenses(),
     "op8_decontamination": DECONTAMINATION,
     "op9_quality_rules": _quality(),
+    "op12_url_filters": _urls(),
+    "op13_centroid_clustering": _clusters(),
 }
