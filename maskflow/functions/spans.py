@@ -22,6 +22,31 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+#: Elements that a fold appends one by one; longer arrays are made of such parts.
+PART = 256
+
+
+def scanned(values: Column, carried: Column, step, kind: str) -> Column:
+    """What ``step`` gives for each element of an array in order, as an array of ``kind``.
+
+    ``step(carried, element)`` is a struct of ``carried``, handed on, and ``out``.
+    Appending copies an array, so results are gathered in parts: the time follows the
+    length, as long as it is below some millions.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, value: Column) -> Column:
+        return let(step(acc["carried"], value), lambda r: F.struct(r["carried"].alias("carried"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def part(acc: Column, first: Column) -> Column:
+        done = F.aggregate(F.slice(values, first + 1, F.lit(PART)), F.struct(acc["carried"].alias("carried"), none.alias("out")), one)
+        return let(done, lambda r: F.struct(r["carried"].alias("carried"), F.array_append(acc["parts"], r["out"]).alias("parts")))
+
+    start = F.struct(carried.alias("carried"), F.array().cast(f"array<array<{kind}>>").alias("parts"))
+    parts = F.aggregate(F.sequence(F.lit(0), F.size(values) - 1, F.lit(PART)), start, part, lambda acc: F.flatten(acc["parts"]))
+    return F.when(F.size(values) > 0, parts).otherwise(none)
+
+
 def finditer(text: Column, pattern: str, layer: int, rule_id: int, entity_type: str) -> Column:
     """Every match of a pattern that never matches the empty string.
 
@@ -30,16 +55,16 @@ def finditer(text: Column, pattern: str, layer: int, rule_id: int, entity_type:
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def add(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["hit"])
+    def add(at: Column, pair: Column) -> Column:
+        s = at + F.length(pair["gap"])
+        e = s + F.coalesce(F.length(pair["hit"]), F.lit(0))
         span = F.struct(
             s.alias("s"), e.alias("e"), F.lit(layer).alias("layer"), F.lit(rule_id).alias("rule_id"), F.lit(entity_type).alias("entity_type"), pair["hit"].alias("original")
         )
-        return F.when(pair["hit"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.array_append(acc["spans"], span).alias("spans")))
+        return F.struct(e.alias("carried"), span.alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
-    return F.coalesce(F.aggregate(pairs, start, add, lambda acc: acc["spans"]), no_spans())
+    found = let(pairs, lambda p: scanned(p, F.lit(0), add, SPAN))
+    return F.coalesce(F.filter(found, lambda m: m["original"].isNotNull()), no_spans())
 
 
 def quoted(literal: Column) -> Column:
@@ -53,14 +78,36 @@ def find_literal(text: Column, literal: str, layer: int, rule_id: int, entity_ty
     return finditer(text, ("(?iu)" if ignore_case else "") + pattern, layer, rule_id, entity_type)
 
 
-def first_wins(spans: Column) -> Column:
-    """Of spans in order of priority each that overlaps none accepted before it; sorted by start."""
-    accepted = F.aggregate(
+def _greedy(spans: Column) -> Column:
+    """Of spans in order of priority each that overlaps none accepted before it."""
+    return F.aggregate(
         spans,
         no_spans(),
         lambda acc, m: F.when(F.exists(acc, lambda z: (m["s"] < z["e"]) & (m["e"] > z["s"])), acc).otherwise(F.array_append(acc, m)),
     )
-    return F.array_sort(accepted)
+
+
+def first_wins(spans: Column) -> Column:
+    """Of spans in order of priority (rule_id, then start) each that overlaps none accepted before it; sorted by start.
+
+    Spans that hang together by overlaps are resolved by themselves, so the time
+    follows their number and the size of such groups.
+    """
+
+    def resolved(ordered: Column) -> Column:
+        ends = scanned(ordered, F.lit(0), lambda end, m: F.struct(F.greatest(end, m["e"]).alias("carried"), F.greatest(end, m["e"]).alias("out")), "int")
+
+        def groups(end: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i)["s"] >= F.get(end, i - 1)))
+            return let(first, lambda f: F.flatten(F.transform(f, lambda i, k: group(F.slice(ordered, i + 1, F.coalesce(F.get(f, k + 1), F.size(ordered)) - i)))))
+
+        return let(ends, groups)
+
+    def group(own: Column) -> Column:
+        by_priority = F.array_sort(own, lambda x, y: F.when(x["rule_id"] != y["rule_id"], x["rule_id"] - y["rule_id"]).otherwise(x["s"] - y["s"]))
+        return F.when(F.size(own) == 1, own).otherwise(F.array_sort(_greedy(by_priority)))
+
+    return let(F.array_sort(spans), lambda ordered: F.when(F.size(ordered) < 2, ordered).otherwise(resolved(ordered)))
 
 
 def earliest_wins(spans: Column) -> Column:
@@ -69,25 +116,46 @@ def earliest_wins(spans: Column) -> Column:
         spans,
         lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).when(x["layer"] != y["layer"], x["layer"] - y["layer"]).otherwise(x["rule_id"] - y["rule_id"]),
     )
-    return F.aggregate(
-        ordered,
-        no_spans(),
-        lambda acc, m: F.when((F.size(acc) == 0) | (m["s"] >= F.element_at(acc, -1)["e"]), F.array_append(acc, m)).otherwise(acc),
-    )
+
+    def step(end: Column, m: Column) -> Column:
+        return F.struct(F.when(m["s"] >= end, m["e"]).otherwise(end).alias("carried"), (m["s"] >= end).alias("out"))
+
+    def kept(o: Column) -> Column:
+        return let(scanned(o, F.lit(0), step, "boolean"), lambda stays: F.filter(o, lambda m, i: F.get(stays, i)))
+
+    return let(ordered, lambda o: F.when(F.size(o) < 2, o).otherwise(kept(o)))
 
 
 def splice(text: Column, replacements: Column) -> Column:
-    """``text`` with disjoint ``struct<s, e, replacement>`` put in, given in order of start."""
-    done = F.aggregate(
-        replacements,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, r: F.struct(
-            r["e"].cast("int").alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, r["s"] - acc["at"]), r["replacement"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(replacements) > 0, done).otherwise(text)
+    """``text`` with disjoint ``struct<s, e, replacement>`` put in, given in order of start.
+
+    A text is cut into stretches of ``PART`` replacements first: finding a place
+    in a text takes time that follows the place.
+    """
+
+    def end(r: Column, k: Column) -> Column:
+        """Where the replacement before the one numbered k ends."""
+        return F.coalesce(F.get(r, k - 1)["e"].cast("int"), F.lit(0))
+
+    def stretch(r: Column, first: Column) -> Column:
+        own = F.slice(r, first + 1, F.lit(PART))
+        begin = end(r, first)
+
+        def filled(x: Column) -> Column:
+            def piece(m: Column, k: Column) -> Column:
+                before = F.when(k == 0, x["begin"]).otherwise(end(x["own"], k))
+                return F.concat(F.substring(x["part"], before - x["begin"] + 1, m["s"].cast("int") - before), m["replacement"])
+
+            return F.array_join(F.transform(x["own"], piece), "")
+
+        part = F.substring(text, begin + 1, F.element_at(own, -1)["e"].cast("int") - begin)
+        return let(F.struct(own.alias("own"), begin.alias("begin"), part.alias("part")), filled)
+
+    def done(r: Column) -> Column:
+        whole = F.array_join(F.transform(F.sequence(F.lit(0), F.size(r) - 1, F.lit(PART)), lambda first: stretch(r, first)), "")
+        return F.concat(whole, F.substring(text, F.element_at(r, -1)["e"].cast("int") + 1, F.length(text)))
+
+    return F.when(F.size(replacements) > 0, let(replacements, done)).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:

@@ -23,7 +23,7 @@ def parse_keywords(lines: DataFrame, column: str = "value", order: str = "ord")
     ``#`` begins a comment line, blank lines go, a line without a mark is a
     company, and so is a mark with nothing after it.
     """
-    strip = r"(?U)^\s+|\s+$"
+    strip = r"(?U)^\s++|(?<!\s)\s++$"
     line = F.regexp_replace(F.col(column), strip, "")
     df = lines.select(line.alias("line"), F.col(order).alias("ord")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     marked = F.lit(None).cast("string")

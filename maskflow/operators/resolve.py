@@ -60,7 +60,7 @@ def located(text: Column, entities: Column) -> Column:
     kept = F.filter(
         F.transform(
             F.coalesce(entities, F.array().cast("array<struct<text:string,type:string>>")),
-            lambda e: F.struct(F.regexp_replace(e["text"], r"(?U)^\s+|\s+$", "").alias("text"), e["type"].alias("type")),
+            lambda e: F.struct(F.regexp_replace(e["text"], r"(?U)^\s++|(?<!\s)\s++$", "").alias("text"), e["type"].alias("type")),
         ),
         lambda e: (F.length(e["text"]) >= 2) & e["type"].isin("company", "person"),
     )

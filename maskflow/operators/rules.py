@@ -4,6 +4,13 @@ A rule is a pattern, the type it stands for, and perhaps a check.  Earlier rules
 win over later ones where they overlap; a match that fails its check blocks
 nothing.  Patterns use Unicode classes, so a number next to a Han character isn't
 at a word boundary.
+
+The engine that runs patterns recurses for each turn of a repeated group and starts
+again at each place of a run that led nowhere.  Rules for which that matters have a
+second pattern, ``runs_as``, with the same matches: its loops are possessive and go
+straight on, so that a text of any length and shape takes little stack and time that
+follows its length.  Where a run can't begin a match anywhere, it is taken as a whole
+and sorted out by ``real``.
 """
 
 from __future__ import annotations
@@ -45,7 +52,25 @@ class Rule:
     check: Callable[[Column], Column] | None = None
     #: what every match of the pattern contains, cheap to look for; texts without it aren't searched
     holds: str | None = None
+    #: a pattern with the same matches that is safe on any text, and those that hold no ``real``
+    runs_as: str | None = None
+    real: str | None = None
+
+
+_LOCAL = r"[a-zA-Z0-9._%+-]"
+#: A run of characters of an address that doesn't end at an ``@`` with a domain holds no address, wherever one would begin.
+EMAIL_RUNS = rf"(?U)\b{_LOCAL}++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}\b|\b{_LOCAL}{{64,}}+"
+
+_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?"
+#: Everything that a host may hold may also follow it, so a match ends where the run of such characters does, if any
+#: label but the first begins with two letters.
+URL_RUNS = rf"(?iU)(?:https?://|www\.){_LABEL}(?:\.(?![a-zA-Z]{{2}}){_LABEL})*+\.[a-zA-Z]{{2}}[/\w\-.~:/?#\[\]@!$&'()*+,;=%]*+"
 
+_GAP = r"\)?[\s.-]?"
+#: A number ends with the last run of four digits or more (five after a parenthesis); shorter runs may stand between,
+#: and the first may end it with five.
+_LONGER = rf"(?:(?:{_GAP}(?:\(\d{{1,4}}|\d{{1,3}})(?!\d))*+{_GAP}(?:\(\d{{5,}}+|\d{{4,}}+))"
+PHONE_RUNS = rf"(?U)\+(?:\d{{5,}}+{_LONGER}*+|(?:\d{{2,4}}(?!\d)|\d(?![\d)])){_LONGER}++)"
 
 # Patterns and types, in order of priority.
 RULES: tuple[Rule, ...] = (
@@ -60,9 +85,9 @@ RULES: tuple[Rule, ...] = (
     Rule("swift_code", "swift_code", r"(?U)\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", holds=r"[A-Z]{6}"),
     Rule("invoice_no", "invoice_no", r"(?iU)(?:发票号[码]?|票号|Invoice[\s]?No\.?|Inv[\s]?[#.])[\s:：#]*([A-Za-z0-9\-]{6,20})", holds=r"(?iu)发票号|票号|inv"),
     Rule("contract_no", "contract_no", r"(?iU)(?:合同[编号]*|Contract[\s]?No\.?|协议[编号]*|Agreement[\s]?No\.?)[\s:：#]*([A-Za-z0-9\-]{4,30})", holds=r"(?iu)合同|协议|contract|agreement"),
-    Rule("email", "email", r"(?U)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", holds=r"@"),
-    Rule("url", "url", r"(?iU)(?:https?://|www\.)[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?)*(?:\.[a-zA-Z]{2,})(?:[/\w\-.~:/?#\[\]@!$&'()*+,;=%]*)?", holds=r"(?iu)https?://|www\."),
-    Rule("phone", "phone", r"(?U)(?:\+\d{1,3}[\s.-]?)(?:\(?\d{1,4}\)?[\s.-]?)*\d{4,}", holds=r"\+\p{Nd}"),
+    Rule("email", "email", r"(?U)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", holds=r"@", runs_as=EMAIL_RUNS, real="@"),
+    Rule("url", "url", r"(?iU)(?:https?://|www\.)[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9\-]*[a-zA-Z0-9])?)*(?:\.[a-zA-Z]{2,})(?:[/\w\-.~:/?#\[\]@!$&'()*+,;=%]*)?", holds=r"(?iu)https?://|www\.", runs_as=URL_RUNS),
+    Rule("phone", "phone", r"(?U)(?:\+\d{1,3}[\s.-]?)(?:\(?\d{1,4}\)?[\s.-]?)*\d{4,}", holds=r"\+\p{Nd}", runs_as=PHONE_RUNS),
     Rule("china_mobile", "phone", r"(?U)\b1[3-9]\d{9}\b", holds=r"1[3-9]\p{Nd}{9}"),
     Rule("tax_id", "tax_id", r"(?U)\b[0-9A-HJ-NP-RTUW-Y]{2}\d{6}[0-9A-HJ-NP-RTUW-Y]{10}\b", holds=r"\p{Nd}{6}[0-9A-HJ-NP-RTUW-Y]{10}"),
     Rule("bank_account", "bank_account", r"(?U)\b\d{9,18}\b", holds=r"\p{Nd}{9}"),
@@ -80,7 +105,8 @@ def find_all(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def _found(text: Column, k: int, rule: Rule) -> Column:
-    spans = _checked(finditer(text, rule.pattern, 1, k, rule.entity_type), rule)
+    spans = finditer(text, rule.runs_as or rule.pattern, 1, k, rule.entity_type)
+    spans = _checked(spans if rule.real is None else F.filter(spans, lambda m: F.contains(m["original"], F.lit(rule.real))), rule)
     return spans if rule.holds is None else F.when(text.rlike(rule.holds), spans).otherwise(no_spans())
 
 

@@ -59,7 +59,8 @@ def scale_number(v: Column, factor: Column) -> Column:
 
 
 #: What Python's float() reads, but for infinities and NaN, which aren't scaled.
-NUMBER = r"^\s*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?\s*$"
+_DIGITS = r"\d++(?:_\d++)*+"
+NUMBER = rf"^\s*+[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*+$"
 
 
 def csv_number(cell: Column) -> Column:
@@ -122,7 +123,7 @@ LEAST_IN_PROSE = 1000
 
 
 def prose_replacement(hit: Column, factor: Column) -> Column:
-    """The scaled form of one match of PROSE_NUMBER, or the match itself."""
+    """The scaled form of one match of PROSE_NUMBER, or the match itself (so of more digits than a double holds)."""
     currency = F.regexp_extract(hit, PROSE_NUMBER, 1)
     number = F.regexp_extract(hit, PROSE_NUMBER, 2)
     v = F.replace(number, F.lit(","), F.lit("")).cast("double")
@@ -132,7 +133,7 @@ def prose_replacement(hit: Column, factor: Column) -> Column:
         value = F.when(places > 0, scaled).otherwise(F.rint(scaled))
         return F.when(F.contains(number, F.lit(",")), fixed_places(value, places, True)).otherwise(fixed_places(value, places, False))
 
-    return F.when(is_year(v) | (v < LEAST_IN_PROSE), hit).otherwise(F.concat(currency, let(scale_number(v, factor), styled)))
+    return F.when(is_year(v) | (v < LEAST_IN_PROSE) | (v == float("inf")), hit).otherwise(F.concat(currency, let(scale_number(v, factor), styled)))
 
 
 def scale_in_text(text: Column, factor: Column) -> Column:

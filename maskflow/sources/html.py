@@ -1,7 +1,7 @@
 """Text nodes of HTML pages, in column expressions.
 
 A page is split at its markup: scripts and styles as wholes, the two ends of
-comments, and single tags, whose quoted attributes may hold a ``>``.  What lies
+comments, and single tags, whose quoted attributes may hold ``<`` and ``>``.  What lies
 between is text.  Markup is kept, so a page can be put together again with its text
 nodes rewritten.
 
@@ -18,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.functions.spans import is_blank
+from maskflow.functions.spans import is_blank, let, scanned
 
-MARKUP = r"""(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--|-->|<[a-z/!?](?:"[^"]*"|'[^']*'|[^'">])*>"""
+#: A script or style without an end goes on to the end of the page; a tag ends where the next begins.
+MARKUP = r"""(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--|-->|<[a-z/!?](?:"[^"]*"|'[^']*'|[^'"<>])*>"""
+#: The same for an engine that would recurse for each turn of the last group and go back into it.
+_RUNS = MARKUP.replace("""(?:"[^"]*"|'[^']*'|[^'"<>])*>""", """(?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+>""")
 # Elements whose own text stays, elements without content, names of characters.
 SKIPPED = ("code", "pre")
 EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -55,27 +58,26 @@ def escaped(text: Column) -> Column:
 def _open_elements(markup: Column) -> Column:
     """For each gap between markup whether its direct parent is one of SKIPPED."""
 
-    def step(acc: Column, tag: Column) -> Column:
+    def step(open_now: Column, tag: Column) -> Column:
         name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][^\s/>]*)", 1))
         ends = tag.startswith("</")
         begins = ~ends & (name != "") & ~tag.endswith("/>") & ~name.isin("script", "style", *EMPTY)
-        at = F.array_position(acc["stack"], name)  # the innermost stands first
+        at = F.array_position(open_now, name)  # the innermost stands first
         stack = (
-            F.when(begins, F.array_prepend(acc["stack"], name))
-            .when(ends & (name != "") & (at > 0), F.slice(acc["stack"], at.cast("int") + 1, F.size(acc["stack"])))
-            .otherwise(acc["stack"])
+            F.when(begins, F.array_prepend(open_now, name))
+            .when(ends & (name != "") & (at > 0), F.slice(open_now, at.cast("int") + 1, F.size(open_now)))
+            .otherwise(open_now)
         )
-        inside = F.coalesce(F.get(stack, F.lit(0)).isin(*SKIPPED), F.lit(False))
-        return F.struct(stack.alias("stack"), F.array_append(acc["inside"], inside).alias("inside"))
+        return let(stack, lambda s: F.struct(s.alias("carried"), F.coalesce(F.get(s, F.lit(0)).isin(*SKIPPED), F.lit(False)).alias("out")))
 
-    begin = F.struct(F.array().cast("array<string>").alias("stack"), F.array(F.lit(False)).alias("inside"))
-    return F.aggregate(markup, begin, step, lambda acc: acc["inside"])
+    after = scanned(markup, F.array().cast("array<string>"), step, "boolean")
+    return F.array_prepend(after, F.lit(False))
 
 
 def text_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, frag_ord, text): the nodes to search, numbered by their place among all stretches between markup."""
-    gaps = F.split(html, MARKUP, -1)
-    skipped = F.when(F.col(html).rlike(rf"(?i)<(?:{'|'.join(SKIPPED)})\b"), _open_elements(F.regexp_extract_all(html, F.lit(MARKUP), F.lit(0))))
+    gaps = F.split(html, _RUNS, -1)
+    skipped = F.when(F.col(html).rlike(rf"(?i)<(?:{'|'.join(SKIPPED)})\b"), _open_elements(F.regexp_extract_all(html, F.lit(_RUNS), F.lit(0))))
     nodes = pages.select(key, F.posexplode(F.arrays_zip(gaps.alias("text"), F.coalesce(skipped, F.array().cast("array<boolean>")).alias("skipped"))).alias("frag_ord", "node"))
     open_nodes = nodes.filter(~F.coalesce("node.skipped", F.lit(False)))
     read = open_nodes.select(key, F.col("frag_ord").cast("bigint").alias("frag_ord"), decoded(F.col("node.text")).alias("text"))
@@ -86,7 +88,7 @@ def with_nodes(pages: DataFrame, nodes: DataFrame, key: str = "page_id", html: s
     """``pages`` with the text nodes put back whose text isn't what it was."""
     changed = nodes.filter(~F.col(text).eqNullSafe(F.col(before)))
     per_page = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("frag_ord").cast("int"), escaped(F.col(text))))).alias("_nodes"))
-    pairs = F.arrays_zip(F.split(html, MARKUP, -1).alias("text"), F.regexp_extract_all(html, F.lit(MARKUP), F.lit(0)).alias("markup"))
+    pairs = F.arrays_zip(F.split(html, _RUNS, -1).alias("text"), F.regexp_extract_all(html, F.lit(_RUNS), F.lit(0)).alias("markup"))
     parts = F.transform(pairs, lambda p, i: F.concat(F.coalesce(F.try_element_at(F.col("_nodes"), i), p["text"]), F.coalesce(p["markup"], F.lit(""))))
     rebuilt = F.when(F.col("_nodes").isNull(), F.col(html)).otherwise(F.array_join(parts, ""))
     return pages.join(per_page, key, "left").withColumn(into, rebuilt).drop("_nodes")
