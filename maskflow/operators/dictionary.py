@@ -1,20 +1,24 @@
 """User keywords: reading a keyword file and finding its entries in text.
 
-Keywords are a list that a user types, so they are compiled into the plan as
-literals, longest first.  Matching ignores case, knows no word boundaries and
-keeps the text's own spelling.
+A few keywords are compiled into the plan as literals, longest first; a longer list is
+searched by an automaton (:mod:`maskflow.operators.keyword_table`), which also takes
+tables of any size.  Matching ignores case, knows no word boundaries and keeps the
+text's own spelling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskflow.functions.spans import find_literal, first_wins, is_blank, let, no_spans
+from maskflow.operators.keyword_table import find
 
 # Marks before a keyword and the types they give.
 PREFIXES = (("[人名]", "person"), ("[公司]", "company"), ("[地址]", "address"), ("[银行]", "bank_name"), ("[签字]", "person"))
 SHORTEST = 2
+#: More keywords than these aren't written into the plan.
+LITERALS = 8
 
 
 def parse_keywords(lines: DataFrame, column: str = "value", order: str = "ord") -> DataFrame:
@@ -59,12 +63,16 @@ def find_keywords(text: Column, keywords: list[tuple[str, str]]) -> Column:
     ranked = by_priority(keywords)
     if not ranked:
         return no_spans()
+    if len(ranked) > LITERALS:
+        return find(SparkSession.getActiveSession(), text, ranked)
     found = F.concat(*[find_literal(text, word, 0, k, kind, True) for k, (kind, word) in enumerate(ranked)])
     return F.when(is_blank(text), no_spans()).otherwise(first_wins(found))
 
 
 def contains_any(text: Column, keywords: list[str]) -> Column:
     """Whether a text holds any keyword, whatever the case."""
+    if len(keywords) > LITERALS:
+        return F.size(find(SparkSession.getActiveSession(), text, [("", k) for k in keywords])) > 0
 
     def held(lowered: Column) -> Column:
         found = F.lit(False)

@@ -2,9 +2,8 @@
 
 New entities are numbered in the order of first sight: by file, by fragment, and
 within a fragment from right to left.  Numbers go on from the rows that a type has.
-Numbering takes two steps, so that a type with a third of all entities isn't sorted
-in one task: rows are ranged by type and order and stored so, counted for each
-range, and numbered within it after the counts before.
+They are numbered over ranges (:mod:`maskflow.functions.numbering`), so that a type with
+a third of all entities isn't sorted in one task.
 
 Spans are found once: :func:`held_spans` stores them, the mapping is made from them
 and :func:`rewrite` brings their replacements back to the fragments.
@@ -12,9 +11,10 @@ and :func:`rewrite` brings their replacements back to the fragments.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskflow.functions.numbering import numbered
 from maskflow.functions.spans import splice
 from maskflow.functions.storage import stored
 from maskflow.operators.pseudonyms import replacement
@@ -42,20 +42,6 @@ def held_spans(detected: DataFrame, *key: str) -> DataFrame:
     return stored(exploded(detected, *key), "spans")
 
 
-def numbered(entities: DataFrame, by: str | None = "entity_type", order: str = "seen", name: str = "number", ranges: int | None = None) -> DataFrame:
-    """``entities`` with their number from 1 within ``by`` (or over all), in the order of ``order``; in ``ranges`` tasks."""
-    ranges = ranges or int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = [by] if by else []
-    # stored, as the ranges have to be the same for counting and for numbering
-    dealt = stored(entities.repartitionByRange(ranges, *groups, order).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_held"))
-    # a row for each type and range
-    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(*groups, "_range", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
-    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(order)))
-    return own.join(F.broadcast(before), [*groups, "_range"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).select(*entities.columns, name)
-
-
 def new_rows(seen: DataFrame, mapping: DataFrame, salt: str = "", created_at=None, ranges: int | None = None) -> DataFrame:
     """Mapping rows for the entities that the mapping doesn't have."""
     fresh = seen.join(mapping.select("original", "entity_type"), ["original", "entity_type"], "left_anti")

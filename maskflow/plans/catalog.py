@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from maskflow.operators import incremental, names, pseudonyms, scaling
 from maskflow.operators import mapping as M
 from maskflow.operators.dictionary import find_keywords, parse_keywords
+from maskflow.operators.keyword_table import matched
 from maskflow.operators.resolve import detect_each, exploded
 from maskflow.operators.rules import RULES, passes_china_id, passes_luhn, raw_matches
 from maskflow.plans import oracle
-from maskflow.plans.oracle import KEYWORDS, KEYWORD_LINES, RESPONSES
+from maskflow.plans.oracle import KEYWORDS
 from maskflow.sources import files, html
 
 FLAGSHIP = "sanitized_emails"
@@ -100,9 +101,21 @@ def cross_layer_resolution(spark, d):
     return exploded(detect_each(_documents(spark, d), KEYWORDS), "doc_id").select("doc_id", "s", "e", "layer", "entity_type", "original")
 
 
+@query
+def dictionary_table_matches(spark, d):
+    """A keyword for each customer and for each stretch of numbers, in texts about orders."""
+    customers = _table(spark, d, "customer").select("c_custkey", "c_name")
+    whole = customers.select(F.lit("company").alias("entity_type"), F.col("c_name").alias("keyword"), F.col("c_custkey").cast("int").alias("ord"))
+    short = customers.select(F.lit("person").alias("entity_type"), F.substring("c_name", 1, 15).alias("keyword"), F.lit(1_000_000_000).alias("ord")).distinct()
+    texts = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(oracle.ORDER_TEXT_SPARK).alias("text"))
+    found = matched(texts, whole.unionByName(short), ["doc_id"])
+    return exploded(found, "doc_id").select("doc_id", "s", "e", "entity_type", "original")
+
+
 @query
 def keyword_file_parse(spark, d):
-    lines = spark.createDataFrame(list(enumerate(KEYWORD_LINES)), "ord int, value string")
+    """Lines made of customers' and nations' names, with every mark and comments."""
+    lines = _table(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("ord"), F.expr(oracle.KEYWORD_LINE_SPARK).alias("value"))
     return parse_keywords(lines)
 
 
@@ -276,8 +289,10 @@ def output_paths(spark, d):
 
 @query
 def new_keywords(spark, d):
-    current = spark.createDataFrame([(k,) for _, k in KEYWORDS], "keyword string")
-    return incremental.new_keywords(current, spark.createDataFrame([(KEYWORDS[0][1],), ("gone",)], "keyword string"))
+    """Customers' names against a snapshot with two thirds of them and names that are gone."""
+    names_ = _table(spark, d, "customer").select(F.col("c_name").alias("keyword"), "c_custkey")
+    before = names_.filter("c_custkey % 3 <> 0").select("keyword").unionByName(_table(spark, d, "supplier").select(F.col("s_name").alias("keyword")))
+    return incremental.new_keywords(names_.select("keyword"), before)
 
 
 @query
@@ -287,5 +302,6 @@ def incremental_documents(spark, d):
 
 @query
 def response_parse(spark, d):
-    df = spark.createDataFrame(list(enumerate(RESPONSES)), "n int, response string")
-    return df.select("n", F.to_json(names.parse_response(F.col("response"))).alias("entities"))
+    """Answers about customers: alone, in a fenced block, amid prose, after thoughts, or none."""
+    df = _table(spark, d, "customer").select("c_custkey", F.expr(oracle.RESPONSE_SPARK).alias("response"))
+    return df.select("c_custkey", F.to_json(names.parse_response(F.col("response"))).alias("entities"))

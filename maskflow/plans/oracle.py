@@ -16,15 +16,6 @@ from maskflow.sources.html import MARKUP, NAMED
 #: Rules that the documents themselves have matches for.
 NATURAL = ("credit_card", "swift_code", "email", "phone", "bank_account")
 KEYWORDS = [("company", "Apache License"), ("company", "MIT License"), ("company", "License"), ("person", "anthe"), ("address", "token")]
-KEYWORD_LINES = ["# comment", "", "  Acme Corp ", "[人名] 张三", "[银行]招商银行", "[地址] 中关村大街1号", "[签字] 制表人：王五", "[公司] Global", "[人名]", "【人名】李四", "[人名] 】X"]
-RESPONSES = [
-    '[{"text": "Acme", "type": "company"}]',
-    '```json\n[{"text": "Zhang", "type": "person"}]\n```',
-    "[]",
-    "no json",
-    'Found:\n[{"text": "B", "type": "company"}]\nEnd.',
-    '<think>hm [1]</think>\n[{"text": "Ali", "type": "company"}]',
-]
 
 
 def _sha(x: str, spark: bool) -> str:
@@ -85,6 +76,17 @@ def built(spark: bool, k: str = "c_custkey") -> str:
 
 BUILT_SPARK = built(True)
 ORIGINALS_SPARK = {k: originals(k, True) for k in FORMED}
+_ORDER_TEXT = """'Order ' || o_orderkey || ' of customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') || ' / CUSTOMER#' || lpad(CAST(o_custkey * 7 AS STRING), 9, '0')
+ || CASE WHEN o_orderkey % 5 = 0 THEN ' Customer#1234' ELSE 'Customer#00000000' || o_orderkey % 10 END"""
+ORDER_TEXT_SPARK = _ORDER_TEXT
+#: A line of a keyword file for each customer.
+_KEYWORD_LINE = """CASE c_custkey % 9 WHEN 0 THEN '# ' || c_name WHEN 1 THEN '   ' WHEN 2 THEN '  ' || c_name || ' ' WHEN 3 THEN '[人名] ' || c_name WHEN 4 THEN '[银行]' || c_mktsegment
+ WHEN 5 THEN '[地址] ' || c_name || '号' WHEN 6 THEN '[签字] 】' || c_name WHEN 7 THEN '[人名]' ELSE '【人名】' || c_name END"""
+KEYWORD_LINE_SPARK = _KEYWORD_LINE
+#: An answer about each customer; its array alone is _ANSWER.
+_ANSWER = """'[{"text":"' || c_name || '","type":"' || CASE WHEN c_custkey % 2 = 0 THEN 'company' ELSE 'person' END || '"}]'"""
+RESPONSE_SPARK = f"""CASE c_custkey % 6 WHEN 0 THEN {_ANSWER} WHEN 1 THEN '```json\\n' || {_ANSWER} || '\\n```' WHEN 2 THEN '[]' WHEN 3 THEN 'no json about ' || c_name
+ WHEN 4 THEN 'Found:\\n' || {_ANSWER} || '\\nEnd.' ELSE '<think>hm [' || c_custkey || ']</think>\\n' || {_ANSWER} END"""
 CSV_CELL = """CASE p_partkey % 8 WHEN 0 THEN '1,234' WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN '3.50' WHEN 3 THEN '2024'
  WHEN 4 THEN '123456789' WHEN 5 THEN 'nan' WHEN 6 THEN p_name ELSE '12345.25' END"""
 _EXTENSION = """CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.CSV' WHEN 2 THEN '.xls' WHEN 3 THEN '.html' WHEN 4 THEN '.pdf' WHEN 5 THEN '.exe' ELSE '.docx' END"""
@@ -308,22 +310,13 @@ SQL: dict[str, str] = {
     "dictionary_matches": _keywords(DOCUMENTS),
     "cross_layer_resolution": _across_layers(DOCUMENTS),
     "sanitized_documents": _sanitized(DOCUMENTS),
-    "keyword_file_parse": "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({_quoted(kind)}, {_quoted(word)}, CAST({k} AS INTEGER))"
-        for kind, word, k in (
-            ("company", "Acme Corp", 2),
-            ("person", "张三", 3),
-            ("bank_name", "招商银行", 4),
-            ("address", "中关村大街1号", 5),
-            ("person", "制表人：王五", 6),
-            ("company", "Global", 7),
-            ("company", "[人名]", 8),
-            ("company", "【人名】李四", 9),
-            ("person", "X", 10),
-        )
-    )
-    + ") AS t(entity_type, keyword, ord)",
+    # what a full name leaves is searched for the short one: names overlap nowhere here
+    "dictionary_table_matches": f"""WITH texts AS (SELECT o_orderkey AS doc_id, {_ORDER_TEXT.replace('STRING', 'VARCHAR')} AS text FROM orders),
+ found AS (SELECT doc_id, s, substr(text, CAST(s + 1 AS BIGINT), 18) AS long, substr(text, CAST(s + 1 AS BIGINT), 15) AS short FROM (SELECT doc_id, text, unnest(range(0, len(text))) AS s FROM texts) WHERE lower(substr(text, CAST(s + 1 AS BIGINT), 9)) = 'customer#')
+ SELECT doc_id, CAST(s AS INTEGER) AS s, CAST(s + CASE WHEN w.k IS NULL THEN 15 ELSE 18 END AS INTEGER) AS e, CASE WHEN w.k IS NULL THEN 'person' ELSE 'company' END AS entity_type, CASE WHEN w.k IS NULL THEN short ELSE long END AS original
+ FROM found LEFT JOIN (SELECT lower(c_name) AS k FROM customer) w ON lower(long) = w.k LEFT JOIN (SELECT DISTINCT lower(substr(c_name, 1, 15)) AS k FROM customer) p ON lower(short) = p.k WHERE w.k IS NOT NULL OR p.k IS NOT NULL""",
+    "keyword_file_parse": """SELECT CASE c_custkey % 9 WHEN 3 THEN 'person' WHEN 4 THEN 'bank_name' WHEN 5 THEN 'address' WHEN 6 THEN 'person' ELSE 'company' END AS entity_type,
+ CASE c_custkey % 9 WHEN 4 THEN c_mktsegment WHEN 5 THEN c_name || '号' WHEN 7 THEN '[人名]' WHEN 8 THEN '【人名】' || c_name ELSE c_name END AS keyword, CAST(c_custkey AS INTEGER) AS ord FROM customer WHERE c_custkey % 9 > 1""",
     **{name: _numbered(*rest) for name, *rest in NUMBERED},
     "map_email": _EMAIL_MAP,
     "sanitized_emails": f"""WITH spans AS ({_EMAILS}), map AS ({_EMAIL_MAP}),
@@ -352,21 +345,7 @@ SQL: dict[str, str] = {
  WHEN extension = '.txt' THEN 'Text' ELSE 'HTML' END AS file_type, count(*) AS n FROM ({_MANIFEST}) GROUP BY file_type""",
     "folder_manifest": f"SELECT relative, extension, size, CAST(row_number() OVER (ORDER BY relative) AS INTEGER) AS file_ord FROM ({_MANIFEST})",
     "output_paths": f"SELECT relative, regexp_replace(replace(relative, 'src1', 'Company_A'), '\\.xls$', '.xlsx') AS output FROM ({_MANIFEST})",
-    "response_parse": "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"(CAST({k} AS INTEGER), {_quoted(x)})"
-        for k, x in enumerate(
-            (
-                '[{"text":"Acme","type":"company"}]',
-                '[{"text":"Zhang","type":"person"}]',
-                "[]",
-                "[]",
-                '[{"text":"B","type":"company"}]',
-                '[{"text":"Ali","type":"company"}]',
-            )
-        )
-    )
-    + ") AS t(n, entities)",
-    "new_keywords": "SELECT * FROM (VALUES ('MIT License'), ('License'), ('anthe'), ('token')) AS t(keyword)",
+    "response_parse": f"SELECT c_custkey, CASE WHEN c_custkey % 6 IN (2, 3) THEN '[]' ELSE {_ANSWER} END AS entities FROM customer",
+    "new_keywords": "SELECT DISTINCT c_name AS keyword FROM customer WHERE c_custkey % 3 = 0",
     "incremental_documents": f"SELECT doc_id FROM documents WHERE text IS NULL OR {_HOLDS}",
 }

@@ -5,7 +5,6 @@ from maskflow.operators import mapping as M
 from maskflow.operators import pseudonyms, scaling
 from maskflow.operators.incremental import Job
 from maskflow.operators.names import ask, parse_response
-from maskflow.plans.oracle import RESPONSES
 
 
 def fragments(spark, *texts):
@@ -107,7 +106,15 @@ def test_scale_number(spark):
 
 
 def test_responses(spark):
-    df = spark.createDataFrame(list(enumerate(RESPONSES)), "n int, r string").select("n", parse_response(F.col("r")).alias("e"))
+    responses = [
+        '[{"text": "Acme", "type": "company"}]',
+        '```json\n[{"text": "Zhang", "type": "person"}]\n```',
+        "[]",
+        "no json",
+        'Found:\n[{"text": "B", "type": "company"}]\nEnd.',
+        '<think>hm [1]</think>\n[{"text": "Ali", "type": "company"}]',
+    ]
+    df = spark.createDataFrame(list(enumerate(responses)), "n int, r string").select("n", parse_response(F.col("r")).alias("e"))
     assert [[x["text"] for x in r["e"]] for r in df.orderBy("n").collect()] == [["Acme"], ["Zhang"], [], [], ["B"], ["Ali"]]
 
     def broken(texts):
