@@ -1,13 +1,15 @@
 """Secret scans: three fixed patterns, and dictionary-primed zstandard novelty.
 
 The patterns give the base spans.  The method then looks at strings of key
-characters that stand shortly after a sensitive word and aren't in a base span.
+characters, 16 or more and a letter among them, that begin within reach of a sensitive
+word and aren't in a base span.
 Each is compressed after its surroundings, with a dictionary; the bytes it adds, in
 proportion to its length, are its novelty.  The dictionary holds code idioms and
-the identifiers that stand most often near sensitive words in the whole table:
+the words of identifiers that stand most often near sensitive words in the whole table:
 tasks count them, Spark adds the counts up and the first ``identifiers`` of them,
 a bounded list, go to every worker.  Identifiers are runs of letters and underscores
-alone, so a key that is copied into many documents doesn't come to be known by it.
+alone and their words are short, so a key that is copied into many documents doesn't
+come to be known by it.
 Copies of it and other candidates are blanked out of the surroundings.  A string
 that is novel at one place is reported wherever the text has it.
 Words and identifiers compress well against them, random keys don't, and those
@@ -63,26 +65,32 @@ PRIMER = "\n".join(
 
 @dataclass(frozen=True)
 class NoveltyRule:
-    """``reach`` characters lie between a sensitive word and a candidate at most; ``identifiers`` of the table prime the compressor."""
+    """``reach`` characters lie between a sensitive word and a candidate at most; ``identifiers`` of the table prime the compressor.
 
-    reach: int = 40
+    A candidate is novel from a share of ``least`` on, without digits from ``least_letters`` on: words
+    that the dictionary doesn't know are put together into names.  Digits alone are numbers.
+    """
+
+    reach: int = 200
     before: int = 400
     after: int = 200
     least: float = 0.68
+    least_letters: float = 0.85
     #: of compression: lower ones change their way of coding with a few bytes more or less, which hides a key's own
     level: int = 15
-    least_kinds: int = 2
     identifiers: int = 2000
 
 
 #: Whole runs only: a key's letters between its digits aren't one.
-IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{5,40}(?![A-Za-z0-9+/_=-])")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{4,80}(?![A-Za-z0-9+/_=-])")
+#: The words of an identifier, shorter than a candidate: a key of letters alone has none, or short ones.
+PARTS = re.compile(r"(?<![a-z])[A-Z]?[a-z]{3,14}(?![a-z])|(?<![A-Za-z])[A-Z]{4,15}(?![A-Za-z])")
 #: Distinct identifiers that a task counts before it passes them on.
 COUNTED = 100_000
 
 
 def identifiers(docs: DataFrame, rule: NoveltyRule) -> list[str]:
-    """The most frequent identifiers near sensitive words, over all texts; ties by name."""
+    """The most frequent words of identifiers near sensitive words, over all texts; ties by name."""
 
     def count(batches):
         import pyarrow as pa
@@ -98,7 +106,7 @@ def identifiers(docs: DataFrame, rule: NoveltyRule) -> list[str]:
                     # each stretch once
                     b, e = max(at, m.start() - rule.before), m.end() + rule.reach + rule.after
                     if b < e:
-                        found.update(x for x in IDENTIFIER.findall(text, b, e))
+                        found.update(x for run in IDENTIFIER.findall(text, b, e) for x in PARTS.findall(run))
                         at = e
                 if len(found) >= COUNTED:
                     yield counted(found)
@@ -178,7 +186,7 @@ class Novelty:
     def spans(self, text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Places of the candidates that are novel anywhere; one decision for each distinct string."""
         taken = Places(base)
-        found = [c for c in self.candidates(text) if self._mixed(text[c[0] : c[1]])]
+        found = [c for c in self.candidates(text) if LETTER(text, *c)]
         starts = [s for s, _ in found]
         reach = max((e - s for s, e in found), default=0)
         novel: set[str] = set()
@@ -188,7 +196,7 @@ class Novelty:
                 continue
             low, high = s - self.rule.before - len(own), e + self.rule.after + len(own)
             others = found[bisect_left(starts, low - reach) : bisect_left(starts, high)]
-            if self.share(text, s, e, others) >= self.rule.least:
+            if self.share(text, s, e, others) >= (self.rule.least if DIGIT(text, s, e) else self.rule.least_letters):
                 novel.add(own)
         return self._places(text, novel, taken) if novel else []
 
@@ -208,11 +216,9 @@ class Novelty:
                         places.append((s, end_before))
         return places
 
-    def _mixed(self, own: str) -> bool:
-        """Digits, lower and upper case: at least ``least_kinds`` of them."""
-        return sum(bool(re.search(p, own)) for p in ("[0-9]", "[a-z]", "[A-Z]")) >= self.rule.least_kinds and bool(re.search("[0-9]", own))
-
 
+LETTER = re.compile(r"[A-Za-z]").search
+DIGIT = re.compile(r"[0-9]").search
 CANDIDATE_CHARACTER = re.compile(r"[A-Za-z0-9+/_=-]").match
 
 

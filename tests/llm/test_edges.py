@@ -214,3 +214,26 @@ def test_novelty_tells_keys_from_identifiers(spark):
     caught = sum(any(own[i][m["start"] : m["end"]] == keys[i] for m in rows[i]) for i in range(150))
     wrong = sum(bool(rows[i]) for i in range(150, 300))
     assert caught >= 145 and wrong <= 8, (caught, wrong)
+
+
+def test_novelty_with_and_without_digits(spark):
+    """Keys of every alphabet are found near a sensitive word and 150 characters from it; names put together from words mostly aren't."""
+    import string
+
+    from maskflow.llm.secrets import scan
+
+    rng = random.Random(31)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_uppercase]
+    filler = " it is kept here and used by all of the other parts of it" * 3
+    words = "user account session manager factory handler default config service request builder context provider stream reader writer customer address payment gateway".split()
+
+    def text(own, k):
+        return f"The service reads its settings. The private key{filler[: (0, 60, 150)[k % 3]]} {own} and then it starts."
+
+    keys = ["".join(rng.choice(alphabets[k % 5]) for _ in range((16, 20, 28, 40)[k % 4])) for k in range(300)]
+    names = [(("".join, str.title), ("_".join, str))[k % 2] for k in range(200)]
+    names = [join(change(rng.choice(words)) for _ in range(4)) for join, change in names]
+    rows = {r["doc_id"]: [(m["start"], m["end"]) for m in r["found"]] for r in scan(spark.createDataFrame([(k, text(x, k)) for k, x in enumerate(keys + names)], "doc_id bigint, text string")).collect()}
+    caught = [(text(x, k).index(x), text(x, k).index(x) + len(x)) in rows[k] for k, x in enumerate(keys)]
+    assert all(sum(caught[a::5]) >= 0.9 * len(caught[a::5]) for a in range(5))
+    assert sum(bool(rows[300 + k]) for k in range(200)) <= 60

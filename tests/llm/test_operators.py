@@ -390,7 +390,7 @@ def test_repeated_secrets(spark):
         line * 2,
         line * 30,
         line + "plain words of some text " * 13 + line,
-        f"{line}{key} and x{key}y",  # also where no sensitive word stands near
+        f"{line}{key} and {'some more words ' * 20}x{key}y",  # also where no sensitive word stands near
         f"private key {key} signature {other}, again: {other} {key}",
         "the private implementation_documentation_specification_v2\n" * 3,
         line + "é" * 5000 + key,
