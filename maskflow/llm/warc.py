@@ -3,10 +3,12 @@
 A bundle is a file ``<bundle>.warc.zst`` in the shared folder: independent Zstandard
 frames, each holding a few whole records, then a skippable frame with the seek table
 of Zstandard's seekable format (compressed and decompressed size of every frame).
-An index table maps a record identifier to its bundle, its frame, and its place
-within the frame's content.  Identifiers begin with the task's number, so the
-index's files have ranges of their own and a look-up reads one of them.  A record
-is read by its bundle's seek table and the bytes of one frame.
+Records are WARC/1.1: every bundle begins with a ``warcinfo`` record, every record has
+its identifier, date, target and digest, and a ``revisit`` names the record that it
+repeats.  An index table maps a record identifier to its bundle, its frame, and its
+place within the frame's content.  Identifiers are hashes, and the index has a folder for
+each of their beginnings, so a look-up reads the files of one folder.  A record is read
+by its bundle's seek table and the bytes of one frame.
 
 A bundle's name has the attempt that wrote it and the index comes from the attempt
 that Spark commits, so a task that runs again leaves at most files that no index
@@ -19,17 +21,20 @@ each task.  Only digests of several pages are joined back to the pages: broadcas
 while they are few, so payloads stay where they are, else by a join that adaptive
 execution splits where a digest is hot.
 
-Defined results: a null html is an empty payload; a null url is an empty target;
+Defined results: a null html is an empty payload; a null url is the target ``about:blank``;
 a null page_id comes after all others and, as the smallest of its digest, makes a
 response; rows that repeat the smallest page_id of a digest are responses
-as well; an empty table makes no bundle; other columns aren't read.
+as well, under one identifier, as it is one record; an empty table makes no bundle; other
+columns aren't read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -53,21 +58,51 @@ class BundleParams:
     frame_bytes: int = 256 << 10
     bundle_bytes: int = 8 << 20
     level: int = 3
+    #: of every record, as the table has none
+    date: str = "2000-01-01T00:00:00Z"
 
 
 INDEX = "record_id string, bundle string, frame int, offset bigint, length bigint"
+SOFTWARE = "maskflow"
+#: Folders of the index at most, as digits of an identifier.
+MOST_DIGITS = 3
+NO_TARGET = "about:blank"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(row: dict, record_id: str) -> bytes:
-    """One WARC/1.1 record; a revisit has no body and names the page that it repeats."""
+def identifier(page_id: int | None, sha: str, place: str = "") -> str:
+    """The identifier of a page's record; a response's follows from the page alone, so that others can name it."""
+    return str(uuid.uuid5(uuid.NAMESPACE_OID, f"{SOFTWARE}:{page_id}:{sha}:{place}"))
+
+
+def written(head: list[tuple[str, str]], body: bytes) -> bytes:
+    head = [*head, ("Content-Length", str(len(body)))]
+    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + CRLF + body + CRLF + CRLF
+
+
+def info_bytes(bundle: str, params: BundleParams) -> bytes:
+    """The record that describes a bundle, which is its first."""
+    head = [
+        ("WARC-Type", "warcinfo"),
+        ("WARC-Record-ID", f"<urn:uuid:{identifier(None, '', bundle)}>"),
+        ("WARC-Date", params.date),
+        ("WARC-Filename", f"{bundle}.warc.zst"),
+        ("Content-Type", "application/warc-fields"),
+    ]
+    return written(head, f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode())
+
+
+def record_bytes(row: dict, record_id: str, params: BundleParams = BundleParams()) -> bytes:
+    """One WARC/1.1 record; a revisit has no body and names the record that it repeats."""
+    target = (row["url"] or NO_TARGET).replace("\r", "%0D").replace("\n", "%0A")
     head = [
         ("WARC-Type", row["kind"]),
-        ("WARC-Record-ID", f"<urn:maskflow:{record_id}>"),
-        ("WARC-Target-URI", (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Record-ID", f"<urn:uuid:{record_id}>"),
+        ("WARC-Date", params.date),
+        ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(row["sha"])).decode()),
         ("X-Payload-Length", str(row["n_bytes"])),
         ("X-Page-Id", "" if row["page_id"] is None else str(row["page_id"])),
@@ -75,11 +110,10 @@ def record_bytes(row: dict, record_id: str) -> bytes:
     if row["kind"] == "revisit":
         head += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", f"<urn:uuid:{identifier(row['refers_to'], row['sha'])}>"),
             ("X-Refers-To-Page-Id", str(row["refers_to"])),
         ]
-    body = row["payload"]
-    head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
-    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + CRLF + body + CRLF + CRLF
+    return written([*head, ("Content-Type", "text/html; charset=utf-8")], row["payload"])
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -202,11 +236,17 @@ def write_bundles(pages: DataFrame, params: BundleParams = BundleParams(), path:
 
         writer, objects, n, number = BundleWriter(params), Objects(f"{path}/bundles"), 0, 0
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        name = ""
+
+        def begin():
+            nonlocal name
+            name = f"{part:06d}-{attempt}-{number:05d}"
+            writer.add("", info_bytes(name, params))
 
         def bundle():
             nonlocal number
             archive, entries = writer.finish()
-            name = f"{part:06d}-{attempt}-{number:05d}"
+            entries = entries[1:]  # all but the description
             number += 1
             objects.put(f"{name}.warc.zst", archive)
             columns = [pa.array([e[c] for e in entries], t) for c, t in (("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()))]
@@ -215,18 +255,28 @@ def write_bundles(pages: DataFrame, params: BundleParams = BundleParams(), path:
         for batch in batches:
             for row in batch.to_pylist():
                 # a revisit's digest and length are those of the payload that it repeats
-                record_id = f"{part:06d}-{n:09d}"
+                own = row["kind"] == "response" and row["page_id"] is not None
+                record_id = identifier(row["page_id"], row["sha"], "" if own else f"{part}-{n}")
                 n += 1
-                writer.add(record_id, record_bytes(row, record_id))
+                if not writer.entries:
+                    begin()
+                writer.add(record_id, record_bytes(row, record_id, params))
                 if writer.full():
                     yield bundle()
         if writer.entries:
             yield bundle()
 
-    _decided(pages, params).mapInArrow(run, INDEX).write.parquet(f"{path}/index")
+    index = _decided(pages, params).mapInArrow(run, INDEX)
+    # as many folders as there are parts of the input, about
+    digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(pages.rdd.getNumPartitions(), 1), 16))))
+    index.withColumn("prefix", F.left("record_id", F.lit(digits))).repartition("prefix").write.partitionBy("prefix").parquet(f"{path}/index")
     return path
 
 
+def read_index(spark, path: str) -> DataFrame:
+    return spark.read.schema(f"{INDEX}, prefix string").parquet(f"{path}/index")
+
+
 RECORDS = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -275,7 +325,7 @@ def read_records(spark, path: str) -> DataFrame:
                         "payload_digest": sha,
                         "record_type": head["WARC-Type"],
                         "refers_to": int(head["X-Refers-To-Page-Id"]) if "X-Refers-To-Page-Id" in head else None,
-                        "url": head["WARC-Target-URI"],
+                        "url": "" if head["WARC-Target-URI"] == NO_TARGET else head["WARC-Target-URI"],
                         "bundle": name,
                         "record_id": e["record_id"],
                         "frame": e["frame"],
@@ -286,12 +336,14 @@ def read_records(spark, path: str) -> DataFrame:
         if reader:
             reader.file.close()
 
-    return spark.read.schema(INDEX).parquet(f"{path}/index").mapInArrow(run, RECORDS)
+    # a bundle's records together and in order: only rows of the index travel
+    by_place = read_index(spark, path).drop("prefix").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    return by_place.mapInArrow(run, RECORDS)
 
 
 def fetch(spark, path: str, record_id: str) -> bytes | None:
-    """One record's bytes: a row of the index, a seek table, one frame."""
-    found = spark.read.schema(INDEX).parquet(f"{path}/index").filter(F.col("record_id") == record_id).limit(1).collect()
+    """One record's bytes: a row from one folder of the index, a seek table, one frame."""
+    found = read_index(spark, path).filter(F.lit(record_id).startswith(F.col("prefix")) & (F.col("record_id") == record_id)).limit(1).collect()
     for e in found:
         with Objects(f"{path}/bundles").open(f"{e['bundle']}.warc.zst") as file:
             return BundleReader(file).record(e["frame"], e["offset"], e["length"])

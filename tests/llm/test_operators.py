@@ -146,6 +146,60 @@ def test_warc(spark, tmp_path):
     assert warc.read_records(spark, warc.write_bundles(pages.limit(0))).count() == 0
 
 
+def strict_records(data):
+    """(headers, body) of every record of an archive; what the standard asks for has to be there."""
+    at, found = 0, []
+    while at < len(data):
+        line_end = data.index(b"\r\n", at)
+        assert data[at:line_end] == b"WARC/1.1"
+        head_end = data.index(b"\r\n\r\n", at)
+        head = {}
+        for line in data[line_end + 2 : head_end].split(b"\r\n"):
+            name, _, value = line.decode().partition(":")
+            assert re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name) and name not in head
+            head[name] = value.strip()
+        n = int(head["Content-Length"])
+        body = data[head_end + 4 : head_end + 4 + n]
+        assert data[head_end + 4 + n : head_end + 8 + n] == b"\r\n\r\n"
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}>", head["WARC-Record-ID"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"])
+        kind = head["WARC-Type"]
+        assert kind in ("warcinfo", "response", "revisit")
+        if kind != "warcinfo":
+            assert re.match("[a-z]+:", head["WARC-Target-URI"])
+        if kind == "revisit":
+            assert n == 0 and head["WARC-Profile"].startswith("http") and head["WARC-Refers-To"]
+        found.append((head, body))
+        at = head_end + 8 + n
+    return found
+
+
+def test_archives_are_valid(spark, tmp_path):
+    """An independent reader of the standard's records takes every archive; revisits name records that are there."""
+    import zstandard
+
+    from maskflow.llm import warc
+
+    rows = [(k, f"http://x.org/{k}" if k % 5 else None, f"<p>{k % 7}" * 40) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    path = str(tmp_path / "w")
+    warc.write_bundles(pages, warc.BundleParams(frame_bytes=600, bundle_bytes=900), path)
+    heads = []
+    for f in (tmp_path / "w" / "bundles").glob("*.warc.zst"):
+        records = strict_records(zstandard.ZstdDecompressor().stream_reader(f.read_bytes(), read_across_frames=True).read(-1))
+        assert records[0][0]["WARC-Type"] == "warcinfo" and records[0][0]["WARC-Filename"] == f.name
+        heads += [h for h, _ in records]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(ids) == len(set(ids))
+    responses = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(responses) == 7 and len(revisits) == 53
+    assert all(responses[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] for h in revisits)
+    one = ids[5].removeprefix("<urn:uuid:").rstrip(">")
+    plan = warc.read_index(spark, path).filter(F.lit(one).startswith(F.col("prefix")))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan or "PartitionFilters: [StartsWith" in plan or "StartsWith" in plan.split("PartitionFilters")[1][:200]
+
+
 def test_seek_table_is_standard():
     import zstandard
 
