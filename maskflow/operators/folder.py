@@ -29,10 +29,10 @@ from maskflow.sources import files, html, office, sinks
 # What a folder's name gets for its output, and the report's name.
 OUTPUT_SUFFIX = "_脱敏"
 REPORT = "_映射报告"
-KEY = ["file_ord", "stage", "frag_ord"]
+KEY = ["file_ord", "stage", "frag_ord", "sub_ord"]
 PATH, CONTENT = 0, 1
-#: Bits of a cell's row and column in its fragment's number.
-COLUMN_BITS, ROW_BITS = 14, 26
+#: Bits of a cell's row in its fragment's number; above them is the sheet, the column is a number of its own.
+ROW_BITS = 40
 
 
 def output_folder(source: str) -> str:
@@ -124,6 +124,7 @@ class FolderJob:
         whole = whole.join(listed.select("file_ord", "relative"), "file_ord")
         unread = listed.filter(F.col("extension").isin(*files.of_kind("pdf"))).select("file_ord", F.lit("no reader for this type").alias("error"))
         bad = [x.filter("error IS NOT NULL").select("file_ord", "error") for x in (cells, paragraphs)]
+        unread = unread.unionByName(files.too_large(listed.filter(~F.col("extension").isin(*files.of_kind("pdf")))))
         return stored(whole, "fragments"), stored(unread.unionByName(bad[0]).unionByName(bad[1]), "unread")
 
     # rewriting
@@ -176,11 +177,11 @@ class FolderJob:
     # writing
 
     def _paths(self, listed: DataFrame, sanitized: DataFrame) -> DataFrame:
-        """(file_ord, output): output paths, from rewritten segments."""
+        """(file_ord, output): output paths, from rewritten segments; each is given once."""
         segments = files.path_parts(listed).select("relative", F.col("part_ord").cast("bigint").alias("frag_ord"), "part_ord", "suffix")
         rewritten = sanitized.filter("kind = 'path'").select("relative", "frag_ord", "sanitized")
         joined = files.joined_paths(segments.join(rewritten, ["relative", "frag_ord"]))
-        return stored(joined.join(listed.select("relative", "file_ord"), "relative").select("file_ord", "output"), "outputs")
+        return stored(files.told_apart(joined.join(listed.select("relative", "file_ord"), "relative").select("file_ord", "output")), "outputs")
 
     def _contents(self, source: str, listed: DataFrame, sanitized: DataFrame, paths: DataFrame) -> DataFrame:
         """(output, content) of every file that was read."""
@@ -213,10 +214,10 @@ def _pages(spark: SparkSession, source: str) -> DataFrame:
 
 
 def _cell_number(sheet: Column) -> Column:
-    """One number for sheet, row and column, in reading order."""
-    above = F.shiftleft(sheet.cast("bigint"), ROW_BITS) + F.col("row")
-    return F.shiftleft(above, COLUMN_BITS) + F.col("col")
+    """One number for sheet and row, in reading order."""
+    return F.shiftleft(sheet.cast("bigint"), ROW_BITS) + F.col("row")
 
 
 def _fragment(df: DataFrame, stage: int, kind: str, number: Column, *keep: str) -> DataFrame:
-    return df.select("file_ord", F.lit(stage).alias("stage"), number.alias("frag_ord"), F.lit(kind).alias("kind"), F.col("text"), *keep)
+    sub = F.col("col") if "col" in keep else F.lit(0)
+    return df.select("file_ord", F.lit(stage).alias("stage"), number.alias("frag_ord"), sub.cast("int").alias("sub_ord"), F.lit(kind).alias("kind"), F.col("text"), *keep)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskflow.operators.mapping import numbered
+from maskflow.sources import csv_cells
 
 # The extensions that are read, and their groups.
 EXTENSIONS = (".xlsx", ".xls", ".csv", ".tsv", ".txt", ".docx", ".pdf", ".html", ".htm")
@@ -41,10 +42,27 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(listed.select("path", F.col("length").alias("size")), folder)
 
 
-def contents(spark: SparkSession, folder: str, *extensions: str) -> DataFrame:
-    """(path, content) of the files with given extensions."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return listed.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content").filter(extension(F.col("path")).isin(*extensions))
+#: Bytes of a file that one task reads as a whole; larger ones aren't read.
+LARGEST = 1 << 30
+
+
+def named_so(*extensions: str) -> str:
+    """A glob for file names with given extensions, in any case."""
+    letters = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*{" + ",".join(letters(e) for e in extensions) + "}"
+
+
+def contents(spark: SparkSession, folder: str | list[str], *extensions: str, largest: int = LARGEST) -> DataFrame:
+    """(path, content) of the files with given extensions, of up to ``largest`` bytes; no other file is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", named_so(*extensions)).load(folder)
+    # files that are too large are left out before their content is read
+    return listed.filter(F.col("length") <= largest).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
+
+
+def too_large(listed: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(file_ord, error) of files that :func:`contents` leaves out; tables of text are read in parts."""
+    apart = ~F.col("extension").isin(*of_kind("csv")) & (F.col("size") > largest)
+    return listed.filter(apart).select("file_ord", F.format_string(f"more than {largest} bytes: %d", "size").alias("error"))
 
 
 #: Bytes at a file's beginning from which its encoding is told.
@@ -93,30 +111,17 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return contents(spark, folder, *of_kind("text")).select("path", decoded(F.col("content")).alias("text"))
 
 
-CELLS = "path string, row int, col int, cell string"
-
-
 def read_csv_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, row, col, cell) of CSV and TSV files: no header, rows of any length."""
-    files = contents(spark, folder, *of_kind("csv")).select("path", decoded(F.col("content")).alias("text"))
-
-    def cells(batches):
-        import csv
-        import io
+    """(path, row, col, cell) of CSV and TSV files of any size: no header, rows of any length."""
 
-        import sys
-
-        import pyarrow as pa
+    @F.pandas_udf(T.StringType())
+    def guess(samples):
+        return samples.map(lambda b: guessed_encoding(bytes(b or b"")))
 
-        csv.field_size_limit(sys.maxsize)
-        for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = csv.reader(io.StringIO(text, newline=""), delimiter="\t" if path.lower().endswith(".tsv") else ",")
-                held = [{"path": path, "row": r, "col": c, "cell": x} for r, row in enumerate(rows) for c, x in enumerate(row)]
-                for k in range(0, len(held), 50_000):
-                    yield pa.RecordBatch.from_pylist(held[k : k + 50_000], schema=pa.schema([("path", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("cell", pa.string())]))
+    def whole(paths: list[str]) -> DataFrame:
+        return contents(spark, paths, *of_kind("csv")).select("path", decoded(F.col("content")).alias("text"))
 
-    return files.mapInArrow(cells, CELLS)
+    return csv_cells.read_cells(spark, folder, named_so(*of_kind("csv")), guess, whole)
 
 
 def read_keyword_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -150,3 +155,17 @@ def joined_paths(parts: DataFrame, text: str = "sanitized") -> DataFrame:
     """(relative, output): rewritten segments put together again."""
     segment = F.struct("part_ord", F.concat(text, output_extension(F.col("suffix"))).alias("segment"))
     return parts.groupBy("relative").agg(F.array_join(F.transform(F.sort_array(F.collect_list(segment)), lambda x: x["segment"]), "/").alias("output"))
+
+
+def told_apart(outputs: DataFrame) -> DataFrame:
+    """(file_ord, output) with one file for each output path: the first keeps it, another has its number put behind the name.
+
+    Old and new workbooks of one name, and paths that were rewritten alike, would else
+    be written over each other.  Letters of either case count as the same.
+    """
+    again = F.row_number().over(Window.partitionBy(F.lower("output")).orderBy("file_ord"))
+    stem, ending = F.regexp_replace("output", r"\.[^./]+$", ""), F.regexp_extract("output", r"\.[^./]+$", 0)
+    for mark in (" (%d)", " (%d)(%d)"):  # a name may be there already with the first mark; then with none twice, as numbers are
+        marked = F.concat(stem, F.format_string(mark, *[F.col("file_ord")] * mark.count("%d")), ending)
+        outputs = outputs.withColumn("_again", again).withColumn("output", F.when(F.col("_again") > 1, marked).otherwise(F.col("output"))).drop("_again")
+    return outputs

@@ -87,3 +87,34 @@ def test_names_from_a_recogniser(spark, tmp_path):
     job = folder.FolderJob(spark, Store(spark, str(tmp_path / "store")), recogniser=recogniser)
     job.run(str(tmp_path / "in"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "a.txt").read_text(encoding="utf-8") == "Company_A met Person_01"
+
+
+def test_wide_tables_clashing_names_and_large_files(spark, tmp_path, monkeypatch):
+    """20,000 columns come back cell by cell, files that would share an output path don't, one that is too large is listed."""
+    from maskflow.sources import files
+
+    root = tmp_path / "in"
+    (root / "Acme").mkdir(parents=True)
+    (root / "Company_A").mkdir()
+    (root / "Acme" / "n.txt").write_text("one", encoding="utf-8")
+    (root / "Company_A" / "n.txt").write_text("two", encoding="utf-8")
+    wide = [["x@y.com" if c == 16384 else f"c{c}" for c in range(20_000)], ["y"] + ["keep this text exactly as it is"] * 3]
+    (root / "wide.csv").write_text("\r\n".join(",".join(r) for r in wide) + "\r\n", encoding="utf-8", newline="")
+    (root / "a.xlsx").write_bytes(workbook())
+    xml = '<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet ss:Name="S"><Table><Row><Cell><Data ss:Type="String">old</Data></Cell></Row></Table></Worksheet></Workbook>'
+    (root / "a.xls").write_text(xml, encoding="utf-8")
+    (root / "large.txt").write_text("z" * 50_000, encoding="utf-8")
+    monkeypatch.setattr(files.contents, "__kwdefaults__", {"largest": 40_000})
+    monkeypatch.setattr(files.too_large, "__defaults__", (40_000,))
+    job = folder.FolderJob(spark, Store(spark, str(tmp_path / "store")), [("company", "Acme")])
+    outcome = job.run(str(root))
+    out = tmp_path / ("in" + folder.OUTPUT_SUFFIX)
+    want = [["user_01@example.com" if x == "x@y.com" else x for x in r] for r in wide]
+    assert [r.split(",") for r in (out / "wide.csv").read_text(encoding="utf-8").split("\n")[:2]] == want
+    assert {r["relative"] for r in outcome.errors.collect()} == {"large.txt"}
+    texts = {p.name: p.read_text(encoding="utf-8") for p in (out / "Company_A").iterdir()}
+    assert sorted(texts.values()) == ["one", "two"] and "n.txt" in texts
+    books = sorted(p.name for p in out.glob("*.xlsx"))
+    assert len(books) == 2 and "a.xlsx" in books
+    cells = [[c[5] for c in office.workbook_cells(read(out / b))][:1] for b in books]
+    assert sorted(cells) == [["Company_A"], ["old"]]
