@@ -3,7 +3,9 @@
 Files of all types become fragments of one table, in one order: files by path, a
 file's path segments before its contents.  Texts are searched once; distinct
 entities get their replacements from the store's mapping and bring them back;
-numbers are scaled by the factor of their seed.  Every file is then put together
+numbers are scaled by the factor of their seed.  A later run for new keywords asks an
+index which files may hold one (:mod:`maskflow.operators.keyword_index`) and reads no
+others.  Every file is then put together
 and written below the output folder, under a path whose segments went through the
 same mapping.  A file that can't be read or written is listed with its error.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from maskflow.functions.storage import stored
 from maskflow.operators import mapping as M
-from maskflow.operators import scaling
+from maskflow.operators import keyword_index, scaling
 from maskflow.operators.incremental import affected, new_keywords
 from maskflow.operators.names import ask, parse_response
 from maskflow.operators.resolve import detect, located
@@ -67,27 +69,39 @@ class FolderJob:
         if posixpath.normpath(output) == posixpath.normpath(source):
             raise ValueError("the output folder must not be the source folder")
         listed = stored(files.scan_folder(self.spark, source), "files")
-        fragments, errors = self._fragments(source, listed)
-        done = "full"
+        done, where, fresh = "full", source, []
         words = [k for _, k in self.keywords]
         if incremental:
             snapshot = self.store.read("keywords")
-            if not snapshot.isEmpty():  # else this run makes the first one
-                current = self.spark.createDataFrame([(k,) for k in words], "keyword string")
-                fresh = [r["keyword"] for r in new_keywords(current, snapshot).collect()]  # a user's list
-                if not fresh:
-                    return Outcome("nothing new", output)
-                touched = affected(fragments.filter((F.col("stage") == CONTENT) & F.col("text").isNotNull()), fresh).select("file_ord").unionByName(errors.select("file_ord")).distinct()
-                listed = stored(listed.join(touched, "file_ord", "left_semi"), "files")
-                if listed.isEmpty():
-                    self.store.save_keywords(words)
-                    return Outcome("nothing affected", output)
-                fragments = stored(fragments.join(listed.select("file_ord"), "file_ord", "left_semi"), "fragments")
-                errors = errors.join(listed.select("file_ord"), "file_ord", "left_semi")
-                done = "incremental"
+            incremental = not snapshot.isEmpty()  # else this run makes the first one
+        if incremental:
+            current = self.spark.createDataFrame([(k,) for k in words], "keyword string")
+            fresh = [r["keyword"] for r in new_keywords(current, snapshot).collect()]  # a user's list
+            if not fresh:
+                return Outcome("nothing new", output)
+            asked = stored(keyword_index.candidates(self.store.read("index"), listed, fresh), "candidates")
+            listed = stored(listed.join(asked, "relative", "left_semi"), "files")
+            where = [r["path"] for r in listed.select("path").collect()]  # the driver lists as many to read them
+            if not where:
+                self.store.save_keywords(words)
+                return Outcome("nothing affected", output)
+        fragments, errors = self._fragments(where, listed)
+        contents = F.col("stage") == CONTENT
+        read = listed.join(errors.select("file_ord"), "file_ord", "left_anti")
+        self.store.update_index(keyword_index.build(fragments.filter(contents), read), listed if incremental else None)
+        if incremental:
+            touched = affected(fragments.filter(contents & F.col("text").isNotNull()), fresh).select("file_ord").unionByName(errors.select("file_ord")).distinct()
+            listed = stored(listed.join(touched, "file_ord", "left_semi"), "files")
+            if listed.isEmpty():
+                self.store.save_keywords(words)
+                return Outcome("nothing affected", output)
+            where = [r["path"] for r in listed.select("path").collect()]
+            fragments = stored(fragments.join(listed.select("file_ord"), "file_ord", "left_semi"), "fragments")
+            errors = errors.join(listed.select("file_ord"), "file_ord", "left_semi")
+            done = "incremental"
         sanitized, spans = self._sanitized(fragments)
-        paths = self._paths(listed, sanitized)
-        contents = self._contents(source, listed, sanitized, paths)
+        paths = self._paths(listed, sanitized, incremental)
+        contents = self._contents(where, listed, sanitized, paths)
         written = stored(sinks.write_files(contents, output), "written")
         self.store.save_keywords(words)
         sinks.report_csv(M.report(self.store.read("mapping").unionByName(self._factor_rows())), f"{output}/{REPORT}")
@@ -99,7 +113,7 @@ class FolderJob:
 
     # reading
 
-    def _fragments(self, source: str, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _fragments(self, source: str | list[str], listed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(fragments of all files, (file_ord, error) of those without a reader or that can't be read)."""
         spark, number = self.spark, listed.select("path", "file_ord")
         cells = stored(office.read_cells(files.contents(spark, source, *files.of_kind("xlsx"), *files.of_kind("xls"))).join(number, "path"), "cells")
@@ -176,14 +190,19 @@ class FolderJob:
 
     # writing
 
-    def _paths(self, listed: DataFrame, sanitized: DataFrame) -> DataFrame:
+    def _paths(self, listed: DataFrame, sanitized: DataFrame, incremental: bool) -> DataFrame:
         """(file_ord, output): output paths, from rewritten segments; each is given once."""
         segments = files.path_parts(listed).select("relative", F.col("part_ord").cast("bigint").alias("frag_ord"), "part_ord", "suffix")
         rewritten = sanitized.filter("kind = 'path'").select("relative", "frag_ord", "sanitized")
         joined = files.joined_paths(segments.join(rewritten, ["relative", "frag_ord"]))
-        return stored(files.told_apart(joined.join(listed.select("relative", "file_ord"), "relative").select("file_ord", "output")), "outputs")
-
-    def _contents(self, source: str, listed: DataFrame, sanitized: DataFrame, paths: DataFrame) -> DataFrame:
+        own = joined.join(listed.select("relative", "file_ord"), "relative").select("file_ord", "output")
+        taken = self.store.read("outputs").join(listed, "relative", "left_anti") if incremental else None
+        done = stored(files.told_apart(own, taken), "outputs")
+        rows = done.join(listed.select("relative", "file_ord"), "file_ord").select("relative", "output")
+        self.store.update_outputs(rows, listed if incremental else None)
+        return done
+
+    def _contents(self, source: str | list[str], listed: DataFrame, sanitized: DataFrame, paths: DataFrame) -> DataFrame:
         """(output, content) of every file that was read."""
         spark, number = self.spark, listed.select("path", "file_ord")
         own = lambda kind: sanitized.filter(F.col("kind") == kind).join(paths, "file_ord")
@@ -209,7 +228,7 @@ class FolderJob:
         return whole
 
 
-def _pages(spark: SparkSession, source: str) -> DataFrame:
+def _pages(spark: SparkSession, source: str | list[str]) -> DataFrame:
     return files.contents(spark, source, *files.of_kind("html")).select("path", files.decoded(F.col("content")).alias("html"))
 
 

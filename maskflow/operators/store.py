@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskflow.operators import mapping as M
+from maskflow.operators.keyword_index import INDEX
 from maskflow.operators.scaling import drawn_factor
 
 TABLES = {
@@ -20,6 +21,8 @@ TABLES = {
     "scale_factors": "seed string, factor double",
     "meta": "key string, value string",
     "keywords": "keyword string",
+    "index": INDEX,
+    "outputs": "relative string, output string",
 }
 
 
@@ -64,6 +67,17 @@ class Store:
             self.write("scale_factors", kept.unionByName(fresh.select("seed", drawn_factor(F.col("seed"), self.salt(), low, high).alias("factor"))))
         return self.read("scale_factors").join(seeds.select("seed").distinct(), "seed", "left_semi")
 
+    def update_index(self, rows: DataFrame, files: DataFrame | None) -> None:
+        """Put a run's rows of the keyword index in place of those of its ``files``, or of all."""
+        self._replace("index", rows, files)
+
+    def update_outputs(self, rows: DataFrame, files: DataFrame | None) -> None:
+        """The same for output paths."""
+        self._replace("outputs", rows, files)
+
+    def _replace(self, table: str, rows: DataFrame, files: DataFrame | None) -> None:
+        self.write(table, rows if files is None else self.read(table).join(files.select("relative"), "relative", "left_anti").unionByName(rows))
+
     def save_keywords(self, keywords: list[str]) -> None:
         self.write("keywords", self.spark.createDataFrame([(k,) for k in sorted(set(keywords))], TABLES["keywords"]))
 

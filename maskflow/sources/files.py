@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ def extension(path: Column) -> Column:
 def manifest(listed: DataFrame, root: str = "") -> DataFrame:
     """(path, relative, extension, size, file_ord) of listed files (path, size): no hidden folders, no temporary files, known types."""
     path = F.regexp_replace(F.col("path"), r"^file:/*", "/")
-    df = listed.select(path.alias("path"), "size").withColumn("relative", F.expr(f"ltrim('/', substring(path, {len(root.rstrip('/')) + 1}))") if root else F.col("path"))
+    df = listed.select(path.alias("path"), *[c for c in listed.columns if c != "path"]).withColumn("relative", F.expr(f"ltrim('/', substring(path, {len(root.rstrip('/')) + 1}))") if root else F.col("path"))
     folders = F.regexp_replace("path", r"[^/]*$", "")
     name = F.substring_index("path", "/", -1)
     kept = df.withColumn("extension", extension(F.col("path"))).filter(
@@ -39,7 +41,7 @@ def manifest(listed: DataFrame, root: str = "") -> DataFrame:
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest of a folder, at any depth."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return manifest(listed.select("path", F.col("length").alias("size")), folder)
+    return manifest(listed.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")), folder)
 
 
 #: Bytes of a file that one task reads as a whole; larger ones aren't read.
@@ -52,9 +54,14 @@ def named_so(*extensions: str) -> str:
     return "*{" + ",".join(letters(e) for e in extensions) + "}"
 
 
+def literally(paths: str | list[str]) -> str | list[str]:
+    """Paths of single files without their marks of patterns; a folder as it is."""
+    return paths if isinstance(paths, str) else [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+
+
 def contents(spark: SparkSession, folder: str | list[str], *extensions: str, largest: int = LARGEST) -> DataFrame:
     """(path, content) of the files with given extensions, of up to ``largest`` bytes; no other file is read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", named_so(*extensions)).load(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", named_so(*extensions)).load(literally(folder))
     # files that are too large are left out before their content is read
     return listed.filter(F.col("length") <= largest).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
 
@@ -106,12 +113,12 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+def read_texts(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """(path, text): each text file as one fragment."""
     return contents(spark, folder, *of_kind("text")).select("path", decoded(F.col("content")).alias("text"))
 
 
-def read_csv_cells(spark: SparkSession, folder: str) -> DataFrame:
+def read_csv_cells(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """(path, row, col, cell) of CSV and TSV files of any size: no header, rows of any length."""
 
     @F.pandas_udf(T.StringType())
@@ -121,7 +128,7 @@ def read_csv_cells(spark: SparkSession, folder: str) -> DataFrame:
     def whole(paths: list[str]) -> DataFrame:
         return contents(spark, paths, *of_kind("csv")).select("path", decoded(F.col("content")).alias("text"))
 
-    return csv_cells.read_cells(spark, folder, named_so(*of_kind("csv")), guess, whole)
+    return csv_cells.read_cells(spark, literally(folder), named_so(*of_kind("csv")), guess, whole)
 
 
 def read_keyword_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -157,15 +164,19 @@ def joined_paths(parts: DataFrame, text: str = "sanitized") -> DataFrame:
     return parts.groupBy("relative").agg(F.array_join(F.transform(F.sort_array(F.collect_list(segment)), lambda x: x["segment"]), "/").alias("output"))
 
 
-def told_apart(outputs: DataFrame) -> DataFrame:
+def told_apart(outputs: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """(file_ord, output) with one file for each output path: the first keeps it, another has its number put behind the name.
 
     Old and new workbooks of one name, and paths that were rewritten alike, would else
-    be written over each other.  Letters of either case count as the same.
+    be written over each other; ``taken`` has the outputs of files that aren't written
+    now.  Letters of either case count as the same.
     """
+    all_ = outputs.select("output", "file_ord")
+    if taken is not None:
+        all_ = all_.unionByName(taken.select("output", F.lit(-1).alias("file_ord")))
     again = F.row_number().over(Window.partitionBy(F.lower("output")).orderBy("file_ord"))
     stem, ending = F.regexp_replace("output", r"\.[^./]+$", ""), F.regexp_extract("output", r"\.[^./]+$", 0)
-    for mark in (" (%d)", " (%d)(%d)"):  # a name may be there already with the first mark; then with none twice, as numbers are
+    for mark in (" (%d)", " (%d)(%d)"):  # a file may have the name with the first mark already
         marked = F.concat(stem, F.format_string(mark, *[F.col("file_ord")] * mark.count("%d")), ending)
-        outputs = outputs.withColumn("_again", again).withColumn("output", F.when(F.col("_again") > 1, marked).otherwise(F.col("output"))).drop("_again")
-    return outputs
+        all_ = all_.withColumn("_again", again).withColumn("output", F.when((F.col("_again") > 1) & (F.col("file_ord") >= 0), marked).otherwise(F.col("output"))).drop("_again")
+    return all_.filter("file_ord >= 0").select("file_ord", "output")
