@@ -47,24 +47,39 @@ def scanned(values: Column, carried: Column, step, kind: str) -> Column:
     return F.when(F.size(values) > 0, parts).otherwise(none)
 
 
-def finditer(text: Column, pattern: str, layer: int, rule_id: int, entity_type: str) -> Column:
-    """Every match of a pattern that never matches the empty string.
+def search(text: Column, pattern: str, rule_id: int, entity_type: str, guard: Column | None = None) -> Column:
+    """Matches of a pattern and the stretches between them, both from the same regular expression; none where ``guard`` is false."""
+    found = F.struct(
+        F.lit(rule_id).alias("rule_id"),
+        F.lit(entity_type).alias("entity_type"),
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+    )
+    return found if guard is None else F.when(guard, found)
 
-    Matches and the stretches between them come from the same regular expression,
-    so summing their lengths gives the offsets.
-    """
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
-    def add(at: Column, pair: Column) -> Column:
-        s = at + F.length(pair["gap"])
-        e = s + F.coalesce(F.length(pair["hit"]), F.lit(0))
-        span = F.struct(
-            s.alias("s"), e.alias("e"), F.lit(layer).alias("layer"), F.lit(rule_id).alias("rule_id"), F.lit(entity_type).alias("entity_type"), pair["hit"].alias("original")
-        )
-        return F.struct(e.alias("carried"), span.alias("out"))
+def found_by(searches: list[Column], layer: int) -> Column:
+    """Spans of what each search found: summing the lengths of matches and stretches gives the offsets."""
+
+    def spans(x: Column) -> Column:
+        def add(at: Column, pair: Column) -> Column:
+            s = at + F.length(pair["gap"])
+            e = s + F.length(pair["hit"])
+            span = F.struct(
+                s.alias("s"), e.alias("e"), F.lit(layer).alias("layer"), x["rule_id"].alias("rule_id"), x["entity_type"].alias("entity_type"), pair["hit"].alias("original")
+            )
+            return F.struct(e.alias("carried"), span.alias("out"))
 
-    found = let(pairs, lambda p: scanned(p, F.lit(0), add, SPAN))
-    return F.coalesce(F.filter(found, lambda m: m["original"].isNotNull()), no_spans())
+        pairs = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), x["hits"], lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+        return let(pairs, lambda p: scanned(p, F.lit(0), add, SPAN))
+
+    some = F.filter(F.array(*searches), lambda x: F.coalesce(F.size(x["hits"]) > 0, F.lit(False)))
+    return F.flatten(F.transform(some, spans))
+
+
+def finditer(text: Column, pattern: str, layer: int, rule_id: int, entity_type: str) -> Column:
+    """Every match of a pattern that never matches the empty string."""
+    return found_by([search(text, pattern, rule_id, entity_type)], layer)
 
 
 def quoted(literal: Column) -> Column:
@@ -72,10 +87,9 @@ def quoted(literal: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def find_literal(text: Column, literal: str, layer: int, rule_id: int, entity_type: str, ignore_case: bool) -> Column:
-    """Every occurrence of a literal from left to right, none overlapping another; the text's own spelling is kept."""
-    pattern = "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return finditer(text, ("(?iu)" if ignore_case else "") + pattern, layer, rule_id, entity_type)
+def literal(text: str, ignore_case: bool) -> str:
+    """The pattern of a literal."""
+    return ("(?iu)" if ignore_case else "") + "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def _greedy(spans: Column) -> Column:

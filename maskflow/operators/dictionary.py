@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskflow.functions.spans import find_literal, first_wins, is_blank, let, no_spans
+from maskflow.functions.spans import first_wins, found_by, is_blank, let, literal, no_spans, search
 from maskflow.operators.keyword_table import find
 
 # Marks before a keyword and the types they give.
@@ -65,7 +65,7 @@ def find_keywords(text: Column, keywords: list[tuple[str, str]]) -> Column:
         return no_spans()
     if len(ranked) > LITERALS:
         return find(SparkSession.getActiveSession(), text, ranked)
-    found = F.concat(*[find_literal(text, word, 0, k, kind, True) for k, (kind, word) in enumerate(ranked)])
+    found = found_by([search(text, literal(word, True), k, kind) for k, (kind, word) in enumerate(ranked)], 0)
     return F.when(is_blank(text), no_spans()).otherwise(first_wins(found))
 
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskflow.functions.spans import finditer, first_wins, is_blank, no_spans
+from maskflow.functions.spans import first_wins, found_by, is_blank, no_spans, search
 
 
 def passes_luhn(number: Column) -> Column:
@@ -95,21 +95,24 @@ RULES: tuple[Rule, ...] = (
 
 def raw_matches(text: Column, rule: Rule) -> Column:
     """All matches of one rule, checked, whatever other rules find."""
-    return _found(text, RULES.index(rule) if rule in RULES else 0, rule)
+    return _checked(text, [(RULES.index(rule) if rule in RULES else 0, rule)])
 
 
 def find_all(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Spans of all rules, earlier rules first where they overlap, sorted by start."""
-    found = F.concat(*[_found(text, k, rule) for k, rule in enumerate(rules)])
-    return F.when(is_blank(text), no_spans()).otherwise(first_wins(found))
+    return F.when(is_blank(text), no_spans()).otherwise(first_wins(_checked(text, list(enumerate(rules)))))
 
 
-def _found(text: Column, k: int, rule: Rule) -> Column:
-    spans = finditer(text, rule.runs_as or rule.pattern, 1, k, rule.entity_type)
-    spans = _checked(spans if rule.real is None else F.filter(spans, lambda m: F.contains(m["original"], F.lit(rule.real))), rule)
-    return spans if rule.holds is None else F.when(text.rlike(rule.holds), spans).otherwise(no_spans())
+def _checked(text: Column, numbered: list[tuple[int, Rule]]) -> Column:
+    """Matches of numbered rules that pass their rule's check."""
+    found = found_by([search(text, rule.runs_as or rule.pattern, k, rule.entity_type, text.rlike(rule.holds) if rule.holds else None) for k, rule in numbered], 1)
+    checks = [(k, rule) for k, rule in numbered if rule.check or rule.real]
 
+    def passes(m: Column) -> Column:
+        out = F.lit(True)
+        for k, rule in checks:
+            own = rule.check(m["original"]) if rule.check else F.contains(m["original"], F.lit(rule.real))
+            out = F.when(m["rule_id"] == k, own).otherwise(out)
+        return out
 
-def _checked(spans: Column, rule: Rule) -> Column:
-    check = rule.check
-    return spans if check is None else F.filter(spans, lambda m: check(m["original"]))
+    return F.filter(found, passes) if checks else found
