@@ -119,31 +119,31 @@ def _piece_frame(spark, table: PieceTable) -> DataFrame:
     return spark.createDataFrame(rows, "p_piece string, score double, id int").withColumn("p_key", F.xxhash64("p_piece"))
 
 
+#: An edge is one number: its end, its start, and its id as 32 bits; a step of a cut is that without the end.
+END_BIT, START_BIT, START_MASK, STEP_MASK = 40, 32, 255, (1 << 40) - 1
+
+
 def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, edges): every edge of a word's lattice as (end, start, score, step), a step being start and id in one number.
+    """(word, edges): every edge of a word's lattice as (code, score), by end, then start.
 
-    The join is on a hash of the substring and on the substring itself, so that its
-    key is a number.  A character that is no piece has the id -1 - code point.
+    The join is on a hash of the substring, so that its key is a number, and then on
+    the substring itself.  A character that is no piece has the id -1 - code point.
+    Words are numbered, so that the grouping finds its rows in order.
     """
     pieces = F.broadcast(_piece_frame(words.sparkSession, table))  # a vocabulary: its size doesn't follow the data
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    substrings = starts.select(
-        "word",
-        "start",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1))).alias("len"),
-    ).withColumn("piece", F.substring("word", F.col("start"), F.col("len")))
-    keyed = substrings.withColumn("key", F.xxhash64("piece"))
-    edges = keyed.join(pieces, (F.col("key") == F.col("p_key")) & (F.col("piece") == F.col("p_piece")), "left").filter(
-        F.col("id").isNotNull() | (F.col("len") == 1)
-    )
-    start = (F.col("start") - 1).alias("start")
-    edge = F.struct(
-        (F.col("start") + F.col("len") - 1).alias("end"),
-        start,
-        F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
-        (start.cast("bigint") * (1 << 32) + (F.coalesce("id", -1 - F.ascii("piece")).cast("bigint") + (1 << 31))).alias("step"),
+    numbered = words.select("word", F.monotonically_increasing_id().alias("number"))
+    ends = numbered.select("number", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("end"))
+    first = F.greatest(F.lit(0), F.col("end") - table.longest)
+    substrings = ends.select("number", "word", "end", F.explode(F.sequence(first, F.col("end") - 1)).alias("start")).withColumn(
+        "piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start"))
     )
-    return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    met = substrings.withColumn("key", F.xxhash64("piece")).join(pieces, F.col("key") == F.col("p_key"), "left")
+    same = F.coalesce(F.col("piece") == F.col("p_piece"), F.lit(False))
+    edges = met.filter(same | (F.col("start") + 1 == F.col("end")))
+    number = F.when(same, F.col("id")).otherwise(-1 - F.ascii("piece")).cast("bigint") + (1 << 31)
+    code = F.shiftleft(F.col("end").cast("bigint"), END_BIT) + F.shiftleft(F.col("start").cast("bigint"), START_BIT) + number
+    edge = F.struct(code.alias("code"), F.when(same, F.col("score")).otherwise(F.lit(table.unknown_score)).alias("score"))
+    return edges.groupBy("number", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges")).select("word", "edges")
 
 
 def _met(substrings: DataFrame, table: PieceTable) -> DataFrame:
@@ -257,23 +257,26 @@ def best_cuts(lattices: DataFrame) -> DataFrame:
     begin = F.struct(
         F.array(F.lit(0.0)).alias("scores"),
         F.array().cast("array<bigint>").alias("steps"),
-        F.lit(1).alias("end"),
+        F.lit(1).cast("bigint").alias("end"),
         F.lit(float("-inf")).alias("top"),
         F.lit(0).cast("bigint").alias("step"),
     )
 
     def grow(acc: Column, e: Column) -> Column:
-        in_place = F.get(acc["scores"], e["start"]) + e["score"]
-        better = F.struct(acc["scores"].alias("scores"), acc["steps"].alias("steps"), acc["end"].alias("end"), in_place.alias("top"), e["step"].alias("step"))
-        before = F.when(e["start"] == acc["end"], acc["top"]).otherwise(F.get(acc["scores"], e["start"]))
+        end = F.shiftright(e["code"], END_BIT)
+        start = F.shiftright(e["code"], START_BIT).bitwiseAND(START_MASK).cast("int")
+        step = e["code"].bitwiseAND(STEP_MASK)
+        in_place = F.get(acc["scores"], start) + e["score"]
+        better = F.struct(acc["scores"].alias("scores"), acc["steps"].alias("steps"), acc["end"].alias("end"), in_place.alias("top"), step.alias("step"))
+        before = F.when(start == acc["end"], acc["top"]).otherwise(F.get(acc["scores"], start))
         further = F.struct(
             F.array_append(acc["scores"], acc["top"]).alias("scores"),
             F.array_append(acc["steps"], acc["step"]).alias("steps"),
-            e["end"].alias("end"),
+            end.alias("end"),
             (before + e["score"]).alias("top"),
-            e["step"].alias("step"),
+            step.alias("step"),
         )
-        return F.when(acc["end"] != e["end"], further).when(in_place > acc["top"], better).otherwise(acc)
+        return F.when(acc["end"] != end, further).when(in_place > acc["top"], better).otherwise(acc)
 
     folded = lattices.select("word", F.aggregate("edges", begin, grow, lambda acc: F.array_append(acc["steps"], acc["step"])).alias("steps"))
     n = F.size("steps")
