@@ -23,7 +23,7 @@ from maskflow.functions.storage import stored
 from maskflow.operators import mapping as M
 from maskflow.operators import keyword_index, scaling
 from maskflow.operators.incremental import affected, new_keywords
-from maskflow.operators.names import ask, parse_response
+from maskflow.operators.names import answered, ask, parse_response
 from maskflow.operators.resolve import detect, located
 from maskflow.operators.store import Store
 from maskflow.sources import files, html, office, sinks
@@ -154,11 +154,14 @@ class FolderJob:
         searched = typed.filter("action = 'sanitize' AND text IS NOT NULL").select(*KEY, "relative", "text")
         names = None
         if self.recogniser is not None:
-            searched = ask(searched, self.recogniser).withColumn("names", located(F.col("text"), parse_response(F.col("response"))))
+            asked = stored(ask(searched, self.recogniser, answers=self.store.read("answers")), "answers")
+            known = self.store.read("answers").select("hash", "length")
+            self.store.append("answers", answered(asked).join(known, ["hash", "length"], "left_anti"))
+            searched = asked.drop("error").withColumn("names", located(F.col("text"), parse_response(F.col("response"))))
             names = "names"
         spans = M.held_spans(detect(searched, self.keywords, names=names), *KEY, "relative")
         salt = self.store.salt()
-        self.store.write("mapping", M.upsert(M.first_seen(spans, KEY, "relative"), self.store.read("mapping"), salt))
+        self.store.append("mapping", M.new_rows(M.first_seen(spans, KEY, "relative"), self.store.read("mapping"), salt))
         rewritten = M.rewrite(typed, spans, self.store.read("mapping"), KEY)
         name = F.substring_index("relative", "/", -1)
         seed = (

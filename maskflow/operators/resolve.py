@@ -9,6 +9,9 @@ from maskflow.functions.spans import earliest_wins, no_spans, quoted
 from maskflow.operators.dictionary import find_keywords
 from maskflow.operators.rules import RULES, Rule, find_all
 
+#: Characters of a text that may repeat, as cells and names of files do.
+REPEATED = 200
+
 
 def detect(
     fragments: DataFrame,
@@ -19,23 +22,22 @@ def detect(
 ) -> DataFrame:
     """``fragments`` with ``spans``: what is to be replaced, by start.
 
-    Each distinct text is searched once and joined back, as texts of tables and
-    forms repeat.  ``names`` is a column of spans from a recogniser (layer 2).
+    Each distinct short text is searched once and joined back, as texts of tables and
+    forms repeat; longer ones are searched where they lie, so no long text is exchanged.
+    ``names`` is a column of spans from a recogniser (layer 2).
     """
+    def found() -> Column:
+        return earliest_wins(
+            F.concat(find_keywords(F.col(text), list(keywords)), find_all(F.col(text), rules), F.coalesce(F.col(names), no_spans()) if names else no_spans())
+        )
+
+    short = F.coalesce(F.length(text) <= REPEATED, F.lit(False))
     carried = [text] + ([names] if names else [])
-    distinct = fragments.select(*carried).dropDuplicates([text])
-    found = distinct.select(
-        F.col(text).alias("_text"),
-        earliest_wins(
-            F.concat(
-                find_keywords(F.col(text), list(keywords)),
-                find_all(F.col(text), rules),
-                F.coalesce(F.col(names), no_spans()) if names else no_spans(),
-            )
-        ).alias("spans"),
-    )
-    hits = found.filter(F.size("spans") > 0)
-    return fragments.join(hits, F.col(text) == F.col("_text"), "left").drop("_text").withColumn("spans", F.coalesce("spans", no_spans()))
+    distinct = fragments.filter(short).select(*carried).dropDuplicates([text])
+    hits = distinct.select(F.col(text).alias("_text"), found().alias("spans")).filter(F.size("spans") > 0)
+    joined = fragments.filter(short).join(hits, F.col(text) == F.col("_text"), "left").drop("_text").withColumn("spans", F.coalesce("spans", no_spans()))
+    long = fragments.filter(~short)
+    return joined.unionByName(long.withColumn("spans", found()))
 
 
 def detect_each(fragments: DataFrame, keywords: list[tuple[str, str]] = (), rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

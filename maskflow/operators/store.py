@@ -1,8 +1,10 @@
 """What lasts from run to run: the mapping, scale factors, the salt, and the keywords of the last run.
 
 Each table is kept in versions; a run writes the next one and then names it in a
-small pointer table, so a run that fails leaves the last version in force.  One run
-at a time may write.
+small pointer table, so a run that fails leaves the last version in force.  A version
+is a whole table, or, of the mapping, the rows that a run adds: what is written follows
+what is new, and :meth:`Store.compact` puts the rows together again from time to time.
+One run at a time may write.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from maskflow.operators import mapping as M
 from maskflow.operators.keyword_index import INDEX
+from maskflow.operators.names import ANSWERS
 from maskflow.operators.scaling import drawn_factor
 
 TABLES = {
@@ -22,6 +25,7 @@ TABLES = {
     "meta": "key string, value string",
     "keywords": "keyword string",
     "index": INDEX,
+    "answers": ANSWERS,
     "outputs": "relative string, output string",
 }
 
@@ -30,25 +34,40 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _version(self, table: str) -> int:
+    def _versions(self, table: str) -> tuple[int, int]:
+        """(first, last) version that is in force; (1, 0) if there is none."""
         try:
-            row = self.spark.read.schema("n bigint").parquet(f"{self.path}/{table}/current").agg(F.max("n")).first()
+            row = self.spark.read.schema("n bigint, base bigint").parquet(f"{self.path}/{table}/current").orderBy(F.desc("n")).first()
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return 0
+                return 1, 0
             raise
-        return row[0] or 0
+        return (row["base"] or row["n"], row["n"]) if row else (1, 0)
 
     def read(self, table: str) -> DataFrame:
-        n = self._version(table)
+        first, last = self._versions(table)
         schema = TABLES[table]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v{n}") if n else self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{table}/v{n}" for n in range(first, last + 1)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def write(self, table: str, df: DataFrame) -> None:
-        n = self._version(table) + 1
+        """``df`` is the table from now on."""
+        n = self._versions(table)[1] + 1
+        self._put(table, df, n, n)
+
+    def append(self, table: str, df: DataFrame) -> None:
+        """The rows of ``df`` belong to the table from now on."""
+        first, last = self._versions(table)
+        self._put(table, df, last + 1, first)
+
+    def compact(self, table: str) -> None:
+        """Write the table's rows as one version."""
+        self.write(table, self.read(table))
+
+    def _put(self, table: str, df: DataFrame, n: int, base: int) -> None:
         columns = [c.split()[0] for c in TABLES[table].split(", ")]
         df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{table}/v{n}")
-        self.spark.range(n, n + 1).select(F.col("id").alias("n")).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}/current")
+        self.spark.range(n, n + 1).select(F.col("id").alias("n"), F.lit(base).cast("bigint").alias("base")).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}/current")
 
     def salt(self) -> str:
         """Made once for a store."""
