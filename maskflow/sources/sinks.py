@@ -50,5 +50,5 @@ def csv_contents(cells: DataFrame, key: str = "output", cell: str = "cell", deli
 
 
 def report_csv(report: DataFrame, folder: str) -> None:
-    """The mapping report as CSV with a header, in the report's order."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(folder)
+    """The mapping report as CSV files with headers; the report is sorted by ranges, and the files follow each other in its order."""
+    report.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(folder)
