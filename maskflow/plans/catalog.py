@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskflow.operators import incremental, names, pseudonyms, scaling
+from maskflow.functions.storage import stored
+from maskflow.operators import incremental, keyword_index, names, pseudonyms, scaling
 from maskflow.operators import mapping as M
 from maskflow.operators.dictionary import find_keywords, parse_keywords
 from maskflow.operators.keyword_table import matched
@@ -300,6 +301,17 @@ def incremental_documents(spark, d):
     return incremental.affected(_documents(spark, d), [k for _, k in KEYWORDS]).select("doc_id")
 
 
+@query
+def indexed_documents(spark, d):
+    """Documents as files with an index, asked for keywords; what may hold one is searched exactly."""
+    texts = _documents(spark, d).select(F.col("doc_id").cast("string").alias("relative"), "text")
+    listed = texts.select("relative", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), F.lit(EPOCH).cast("timestamp").alias("modified"))
+    words = [k for _, k in KEYWORDS]
+    index = stored(keyword_index.build(texts, listed), "index")
+    asked = keyword_index.candidates(index, listed, words)
+    return incremental.affected(texts.join(asked, "relative", "left_semi"), words).select(F.col("relative").cast("bigint").alias("doc_id"))
+
+
 @query
 def response_parse(spark, d):
     """Answers about customers: alone, in a fenced block, amid prose, after thoughts, or none."""

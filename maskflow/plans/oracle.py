@@ -347,5 +347,6 @@ SQL: dict[str, str] = {
     "output_paths": f"SELECT relative, regexp_replace(replace(relative, 'src1', 'Company_A'), '\\.xls$', '.xlsx') AS output FROM ({_MANIFEST})",
     "response_parse": f"SELECT c_custkey, CASE WHEN c_custkey % 6 IN (2, 3) THEN '[]' ELSE {_ANSWER} END AS entities FROM customer",
     "new_keywords": "SELECT DISTINCT c_name AS keyword FROM customer WHERE c_custkey % 3 = 0",
+    "indexed_documents": f"SELECT doc_id FROM documents WHERE {_HOLDS}",
     "incremental_documents": f"SELECT doc_id FROM documents WHERE text IS NULL OR {_HOLDS}",
 }

@@ -139,7 +139,7 @@ def test_queries_match_sql(spark):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem documents pages".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("sanitized_emails", "spans_resolved", "map_company", "csv_cells", "html_text_nodes", "mask_iban"):
+    for name in ("sanitized_emails", "spans_resolved", "map_company", "csv_cells", "html_text_nodes", "mask_iban", "dictionary_table_matches", "keyword_file_parse", "response_parse", "new_keywords", "indexed_documents"):
         got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
         rows = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
         assert rows(got) == rows(want), name
