@@ -18,6 +18,7 @@ counts; an empty list finds nothing; a character whose small form has another le
 stays as it is.
 """
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,7 +31,7 @@ from maskflow.functions.storage import stored
 SHORTEST = 2
 #: Characters of the keywords of one automaton.
 BLOCK = 2_000_000
-#: The automaton of this worker, by the number of its broadcast; one at a time.
+#: The automaton of this worker, by its finder's number; one at a time.
 _built: dict = {}
 
 
@@ -68,14 +69,15 @@ def _finder(spark: SparkSession, block: list[tuple[str, str]], first: int) -> Ca
     """A function of text columns: the spans of a block's keywords (type, keyword), whose ranks begin with ``first``."""
     import pyarrow as pa
 
-    held = spark.sparkContext.broadcast(block)
+    held, number = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(texts: pa.Array) -> pa.Array:
-        number = held.id if hasattr(held, "id") else id(held.value)
-        if number not in _built:
-            _built.clear()
-            _built[number] = automaton([w for _, w in held.value]), [len(w) for _, w in held.value]
-        made, lengths = _built[number]
+        from maskflow.operators import keyword_table as here  # the worker's module, not a copy that travels with the task
+
+        if number not in here._built:
+            here._built.clear()
+            here._built[number] = automaton([w for _, w in held.value]), [len(w) for _, w in held.value]
+        made, lengths = here._built[number]
         offsets, starts, ends, ranks, kinds, originals = [0], [], [], [], [], []
         for text in texts.to_pylist():
             for s, k in occurrences(made, lengths, text) if text and lengths else ():
