@@ -19,6 +19,10 @@ when ``den * |A & B| >= num * |A | B|``.  The join is exact:
    component has in its prefixes is dropped.
 4. Pairs with at least the smaller of their two ``l`` in common are verified on
    whole sets, and the components are found again.
+5. Links lie within components, so all of them are counted there: a component's
+   classes are dealt into blocks of bounded size, alike in the sizes of their sets,
+   and each pair of blocks that may link is one row, whose overlaps are a product of
+   two small matrices.  Pairs of documents are never rows.
 
 Shingles come by array arithmetic in tasks; joins, groupings and components are
 Spark's.  Defined results: null and empty texts have no shingles and link with
@@ -31,6 +35,7 @@ tables; other columns aren't read by :func:`similar` and pass through
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +59,9 @@ class JaccardRule:
     rounds: int = 1
     most_matches: int = 8
     candidate_cost: int = 50
+    #: classes and shingles of a block, about
+    block: int = 512
+    block_shingles: int = 131_072
 
 
 def need(n, rule: JaccardRule):
@@ -341,11 +349,110 @@ def verified(shelf: Shelf, docs: DataFrame, pairs: DataFrame, rule: JaccardRule)
     return joined.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def similar(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id, links_verified.
+def packed(nodes: np.ndarray, sets: list[np.ndarray]) -> list[bytes]:
+    """A block: its nodes, their sizes, its distinct shingles, and the places of each set's shingles among them."""
+    import zlib
+
+    universe, places = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    return [nodes.tobytes(), sizes.tobytes(), universe.tobytes(), zlib.compress(places.astype(np.uint32).tobytes(), 1)]
+
+
+def overlaps(own: list[bytes], other: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(nodes, nodes, sizes, sizes, overlap of each with each) of two packed blocks, some thousand shingles at a time."""
+    import zlib
+
+    nodes, sizes, universes, places = zip(*[(np.frombuffer(n, np.int64), np.frombuffer(s, np.int64), np.frombuffer(u, np.uint64), np.frombuffer(zlib.decompress(p), np.uint32)) for n, s, u, p in (own, other)])
+    _, *shared = np.intersect1d(*universes, assume_unique=True, return_indices=True)
+    entries = []
+    for k in (0, 1):
+        column = np.full(len(universes[k]), -1, np.int64)
+        column[shared[k]] = np.arange(len(shared[k]))
+        at, row = column[places[k]], np.repeat(np.arange(len(sizes[k])), sizes[k])
+        row, at = row[at >= 0], at[at >= 0]
+        order = np.argsort(at, kind="stable")
+        entries.append((row[order], at[order]))
+    both = np.zeros((len(sizes[0]), len(sizes[1])), np.int64)
+    for first in range(0, len(shared[0]), 4096):
+        wide = min(4096, len(shared[0]) - first)
+        part = []
+        for (row, at), size in zip(entries, sizes):
+            b, e = np.searchsorted(at, [first, first + wide])
+            dense = np.zeros((len(size), wide), np.float32)
+            dense[row[b:e], at[b:e] - first] = 1
+            part.append(dense)
+        both += (part[0] @ part[1].T).astype(np.int64)
+    return *nodes, *sizes, both
+
+
+def link_counts(shelf: Shelf, docs: DataFrame, members: DataFrame, rule: JaccardRule) -> DataFrame:
+    """(node, n_links): with how many others each of ``members`` (node, root, n) links, every pair within a component being compared."""
+    # sets of sizes that may link are in one size class or in two that follow each other
+    step = max(math.log(rule.den / rule.num) * 1.000001, 1e-3)
+    key = ["root", "size_class", "part"]
+    members = members.withColumn("size_class", F.floor(F.log("n") / step))
+    parts = members.groupBy("root", "size_class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rule.block), F.ceil(F.sum("n") / rule.block_shingles)).alias("parts"))
+    dealt = sized_join(members, shelf.put("link-parts", parts), ["root", "size_class"], "inner")
+    dealt = shelf.put("dealt", dealt.select(F.col("node").alias("doc_id"), "root", "size_class", F.pmod(F.xxhash64("node"), "parts").alias("part")))
 
-    ``links_verified`` counts the links of the class that were looked at; components
-    need no more, so in a group of near copies there are others.
+    def sets_of(batches):
+        import pyarrow as pa
+
+        for part, sets in _batches(batches, rule.words):
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", *key, "own"])
+        release()
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                # rows that repeat a doc_id: either text stands for it
+                held = {m["node"]: m["own"] for m in batch.column(3)[k].as_py()}
+                block = packed(np.fromiter(held, np.int64, len(held)), [np.frombuffer(x, np.uint64) for x in held.values()])
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns[:3], *[pa.array([x], pa.binary()) for x in block]], names=[*key, *fields])
+        release()
+
+    def count(two: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    block = [c[k].as_py() for c in batch.columns]
+                    a, b, n_a, n_b, both = overlaps(block[:4], block[4:] if two else block[:4])
+                    linked = (both > 0) & (rule.den * both >= rule.num * (n_a[:, None] + n_b[None, :] - both))
+                    if not two:
+                        np.fill_diagonal(linked, False)
+                    found = [(a, linked.sum(1)), (b, linked.sum(0))] if two else [(a, linked.sum(1))]
+                    for nodes, links in found:
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64))], names=["node", "links"])
+            release()
+
+        return run
+
+    fields = ["nodes", "sizes", "universe", "places"]
+    kinds, out = "root bigint, size_class bigint, part bigint", "node bigint, links bigint"
+    sets = sized_join(docs, dealt, "doc_id", "inner").select("doc_id", "text", *key).mapInArrow(sets_of, f"node bigint, {kinds}, own binary")
+    blocks = sets.groupBy(*key).agg(F.collect_list(F.struct("node", "own")).alias("held")).mapInArrow(pack, f"{kinds}, {', '.join(f'{f} binary' for f in fields)}")
+    blocks = shelf.put("blocks", blocks)
+    left, right = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "lr")
+    named = lambda side: [f"{side}_{c}" for c in key]
+    follows = (F.col("r_size_class") == F.col("l_size_class") + 1) | ((F.col("r_size_class") == F.col("l_size_class")) & (F.col("r_part") > F.col("l_part")))
+    pairs = shelf.put("block-pairs", left.select(*named("l")).join(right.select(*named("r")), (F.col("l_root") == F.col("r_root")) & follows))
+    theirs = shelf.put("their-blocks", sized_join(right, shelf.put("their-keys", pairs.select(*named("r")).distinct()), named("r"), "left_semi"))
+    met = sized_join(sized_join(left, pairs, named("l"), "inner"), theirs, named("r"), "inner", otherwise="merge")
+    across = met.select(*[f"{side}_{f}" for side in "lr" for f in fields]).mapInArrow(count(True), out)
+    within = blocks.select(*fields).mapInArrow(count(False), out)
+    return within.unionByName(across).groupBy("node").agg(F.sum("links").alias("n_links"))
+
+
+def similar(docs: DataFrame, rule: JaccardRule = JaccardRule(), count_links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_id, n_links.
+
+    ``n_links`` counts the classes (different sets) that the document's class links
+    with, all of them; copies of a text aren't counted.  It is null unless asked for.
     """
     docs = docs.select("doc_id", "text")
     shelf = Shelf(docs.sparkSession)
@@ -370,11 +477,13 @@ def similar(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataFrame:
     rest = candidates(_across(shelf, rows.join(roots, "doc_id")), rule).join(tried, ["a", "b"], "left_anti")
     all_links = shelf.put("links", links.unionByName(verified(shelf, docs, shelf.put("pairs", rest), rule)).distinct())
     final = components(all_links, shelf)
-    met = all_links.select(F.col("a").alias("node")).unionByName(all_links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links_verified"))
+    sizes = classes.groupBy(F.col("class_id").alias("node")).agg(F.min("n").alias("n"))
+    none = F.lit(0 if count_links else None).cast("bigint")
+    met = link_counts(shelf, docs, shelf.put("members", final.join(sizes, "node")), rule) if count_links else final.select("node", none.alias("n_links"))
     placed = shelf.put(
         "placed",
         classes.join(final.join(met, "node", "left").withColumnRenamed("node", "class_id"), "class_id", "left").select(
-            F.col("n").alias("c_n"), F.col("fp_a").alias("c_a"), F.col("fp_b").alias("c_b"), "class_id", "root", F.coalesce("links_verified", F.lit(0)).alias("links_verified")
+            F.col("n").alias("c_n"), F.col("fp_a").alias("c_a"), F.col("fp_b").alias("c_b"), "class_id", "root", F.coalesce("n_links", none).alias("n_links")
         ),
     )
     shelf.drop(*[name for name in shelf.paths if name not in ("signatures", "placed")])
@@ -388,7 +497,7 @@ def similar(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.coalesce("root", "class_id", "doc_id").alias("component_id"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("links_verified", F.lit(0)).alias("links_verified"),
+        F.coalesce("n_links", none).alias("n_links"),
     )
 
 
@@ -399,6 +508,6 @@ def keep_one(docs: DataFrame, rule: JaccardRule = JaccardRule()) -> DataFrame:
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index("doc_id")]
-    dropped = stored(similar(docs, rule).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    dropped = stored(similar(docs, rule, count_links=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
     inner = docs.toDF(*names)
     return sized_join(inner, dropped, inner[at] == dropped["_dropped"], "left_anti").toDF(*docs.columns)
