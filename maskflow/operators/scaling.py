@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskflow.functions.spans import let
+from maskflow.functions.spans import let, scanned
 
 
 # The seed of all numbers, the range that holds unless another is given, and those that a user can pick.
@@ -117,6 +117,50 @@ def cell_action(text: str = "s") -> Column:
     return F.when(kind == "number", number).when(kind == "string", of_text).otherwise("keep")
 
 
+#: From here on not every digit of a double means something, and libraries differ in those they print.
+LONG = 1e15
+LIMB = 1_000_000_000
+
+
+def _times(limbs: Column, by: Column) -> Column:
+    """A number in limbs of nine digits, the lowest first, times another of up to 2**29."""
+
+    def step(carry: Column, limb: Column) -> Column:
+        return let(limb * by + carry, lambda p: F.struct(F.call_function("div", p, F.lit(LIMB)).alias("carried"), (p % LIMB).alias("out")))
+
+    # a limb more than needed stays zero
+    return scanned(F.array_append(limbs, F.lit(0).cast("bigint")), F.lit(0).cast("bigint"), step, "bigint")
+
+
+def exact_digits(v: Column) -> Column:
+    """All digits of a whole double from 2**53 on, however large."""
+    e = F.greatest(F.floor(F.log2(v)).cast("int") - 53, F.lit(0))
+
+    def multiplied(x: Column) -> Column:
+        first = F.array(x["q"] % LIMB, F.call_function("div", x["q"], F.lit(LIMB)))
+        turns = F.call_function("div", x["e"], F.lit(29)).cast("int")
+        whole = F.aggregate(F.sequence(F.lit(0), turns), first, lambda acc, k: F.when(k == 0, acc).otherwise(_times(acc, F.lit(1 << 29).cast("bigint"))))
+        limbs = _times(whole, F.call_function("shiftleft", F.lit(1).cast("bigint"), x["e"] % 29))
+        return F.ltrim(F.array_join(F.transform(F.reverse(limbs), lambda l: F.lpad(l.cast("string"), 9, "0")), ""), F.lit("0"))
+
+    # half the exponent at a time, as 2**e may be too large for a double
+    q = (v / F.pow(F.lit(2.0), F.floor(e / 2)) / F.pow(F.lit(2.0), e - F.floor(e / 2))).cast("bigint")
+    return let(F.struct(q.alias("q"), e.alias("e")), multiplied)
+
+
+def long_digits(v: Column, meant: int = 17) -> Column:
+    """A whole double from LONG on with the digits that tell it from others, rounded half to even, then zeros."""
+
+    def rounded(d: Column) -> Column:
+        head, rest = F.substring(d, 1, meant).cast("bigint"), F.substring(d, F.lit(meant + 1), F.length(d))
+        half = F.rpad(F.lit("5"), F.length(rest), "0")
+        up = (rest > half) | ((rest == half) & (head % 2 == 1))
+        # 99...9 and one more has a digit more, which takes the place of a zero
+        return F.when(F.length(d) <= meant, d).otherwise(let(head + up.cast("bigint"), lambda h: F.concat(h.cast("string"), F.repeat(F.lit("0"), F.length(d) - meant))))
+
+    return let(exact_digits(v), rounded)
+
+
 # Fixed value: numbers in prose, with an optional currency before them.
 PROSE_NUMBER = r"(?U)(?<![.\d])((?:HK\$|USD|CNY|EUR|GBP|SGD|JPY|[¥$€£₩₿])\s*)?(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{4,}(?:\.\d+)?|\d+\.\d{2,})(?![.\d])"
 LEAST_IN_PROSE = 1000
@@ -131,7 +175,12 @@ def prose_replacement(hit: Column, factor: Column) -> Column:
 
     def styled(scaled: Column) -> Column:
         value = F.when(places > 0, scaled).otherwise(F.rint(scaled))
-        return F.when(F.contains(number, F.lit(",")), fixed_places(value, places, True)).otherwise(fixed_places(value, places, False))
+        zeros = F.when(places > 0, F.concat(F.lit("."), F.repeat(F.lit("0"), F.least(places, F.lit(10))))).otherwise(F.lit(""))
+
+        def long(digits: Column) -> Column:
+            return F.concat(F.when(F.contains(number, F.lit(",")), F.regexp_replace(digits, r"(?<=\d)(?=(?:\d{3})+$)", ",")).otherwise(digits), zeros)
+
+        return F.when(value >= LONG, let(long_digits(value), long)).when(F.contains(number, F.lit(",")), fixed_places(value, places, True)).otherwise(fixed_places(value, places, False))
 
     return F.when(is_year(v) | (v < LEAST_IN_PROSE) | (v == float("inf")), hit).otherwise(F.concat(currency, let(scale_number(v, factor), styled)))
 
