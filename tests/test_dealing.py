@@ -1,5 +1,8 @@
+import re
+
 from pyspark.sql import functions as F
 
+from maskflow.functions.spans import MARK
 from maskflow.operators import pseudonyms
 from maskflow.operators.resolve import exploded
 from maskflow.operators.rules import RULES, raw_matches
@@ -31,3 +34,14 @@ def test_a_stream_is_made_once_for_an_original(spark):
     # the original's own and four of its stream
     assert plan(made).count("sha2(") == 9
     assert {len(r["y"]) for r in made.collect()} == {42}
+
+
+def test_matches_are_marked_in_one_pass(spark):
+    rule = next(r for r in RULES if r.name == "tx_hash")
+    texts = ["x " + "ab" * 32, "0x" + "1" * 64 + " " + "c" * 64, f"{MARK}{MARK} {'d' * 64}{MARK}, {'e' * 64}", MARK, "", "none", None, "\U0001f600 " + "f" * 64 + "\U0001f600"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = exploded(rows.select("doc_id", raw_matches(F.col("text"), rule).alias("spans")), "doc_id").select("doc_id", "s", "e", "original")
+    want = [(i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for m in re.finditer(r"\b(?:0x)?[0-9a-fA-F]{64}\b", t or "")]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    # the text that holds the mark is searched and split by the pattern, all others are searched once
+    assert plan(found).count("regexp_replace(") == 1
